@@ -9,6 +9,7 @@ n-grams, whole texts in Arrow batches, one pass, no shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import CHUNK_BYTES, LOWER, chunks, map_arrow, powers
+from lodestone.llm.common import CHUNK_BYTES, LOWER, Workspace, chunks, map_arrow, powers
 
 SIZES = (4, 5, 6)
+PARTS = 8  # tasks that prepare the sample
 BITS = 22  # n-grams are hashed to this many bits
 
 
@@ -60,7 +62,7 @@ def presence(column: pa.Array, keep: np.ndarray | None = None, limit: int = CHUN
         yield a, b, pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train: int = 6000, key: str = "key", min_df: int = 8, ridge: float = 3.0, features: int = 1500) -> Model:
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train: int = 6000, key: str = "key", min_df: int = 8, ridge: float = 2.0, features: int = 3000) -> Model:
     """Learn from at most ``max_train`` rows with label 0 or 1, those of smallest hash of ``key``.
 
     Rows with a null label or text are left out. Without both labels the model is the share of ones.
@@ -71,47 +73,59 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train
     if cut is None:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.xxhash64(key) <= cut)).select(text, label, F.xxhash64(key).alias("h")).orderBy("h", text, label).limit(max_train)
-    seen = map_arrow(rows.select(text, label), distinct_grams, "label int, grams binary").toArrow()
-    y = np.array(seen.column("label").to_pylist(), np.float64)
-    grams = [np.frombuffer(x, np.int32) for x in seen.column("grams").to_pylist()]
-    single = one_of_copies(grams)
-    y, grams = y[single], [grams[i] for i in single]
-    n1, n0 = y.sum(), len(y) - y.sum()
-    if not n1 or not n0:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 20.0 if n1 else -20.0)
-    df1, df0 = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for g, toxic in zip(grams, y, strict=True):
-        (df1 if toxic else df0)[g] += 1
-    ratio = np.log(((df1 + 1) / (n1 + 2)) / ((df0 + 1) / (n0 + 2)))
-    strength = np.where(df1 + df0 >= min_df, np.abs(ratio) * np.sqrt(df1 + df0), 0)
+    ws = Workspace(labelled.sparkSession, "toxicity-fit")
+    seen = ws.save(map_arrow(rows.repartition(PARTS, "h").select(text, label), distinct_grams, "label int, grams binary, k1 long, k2 long").groupBy("k1", "k2").agg(F.min(F.struct("label", "grams")).alias("x")).select("x.*").repartition(PARTS, "grams"), "grams")
+    df = np.zeros((2, 1 << BITS), np.float32)
+    total = np.zeros(2)
+    for part in map_arrow(seen.select("label", "grams"), class_counts, "n0 long, n1 long, counts binary").toLocalIterator():
+        total += part[0], part[1]
+        df += np.frombuffer(zlib.decompress(part[2]), np.uint16).reshape(2, -1)
+    if not total.all():
+        return Model(np.zeros(0, np.int64), np.zeros(0), 20.0 if total[1] else -20.0)
+    ratio = np.log(((df[1] + 1) / (total[1] + 2)) / ((df[0] + 1) / (total[0] + 2)))
+    strength = np.where(df.sum(0) >= min_df, np.abs(ratio) * np.sqrt(df.sum(0)), 0)
     slots = np.sort(np.argsort(-strength, kind="stable")[: min(features, int((strength > 0).sum()))])
-    table = np.full(1 << BITS, -1, np.int64)
-    table[slots] = np.arange(len(slots))
-    rows_, cols = [], []
-    for i, g in enumerate(grams):
-        c = table[g]
-        cols.append(c[c >= 0])
-        rows_.append(np.full(len(cols[-1]), i))
-    weights, bias = logistic(np.concatenate(rows_), np.concatenate(cols), ratio[slots], y, ridge)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.full(1 << BITS, -1, np.int32)
+        table[slots] = np.arange(len(slots))
+        for batch in batches:
+            own = [table[np.frombuffer(x, np.int32)] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[x >= 0].tobytes() for x in own], pa.binary())], ["label", "features"])
+
+    train = map_arrow(seen.select("label", "grams"), chosen, "label int, features binary").orderBy("label", "features").toArrow()
+    y = train.column("label").to_numpy().astype(float)
+    cols = [np.frombuffer(x, np.int32) for x in train.column("features").to_pylist()]
+    weights, bias = logistic(np.repeat(np.arange(len(y)), [len(c) for c in cols]), np.concatenate(cols), ratio[slots], y, ridge)
     return Model(slots, weights * ratio[slots], bias)
 
 
-def one_of_copies(grams: list[np.ndarray]) -> np.ndarray:
-    """Rows of which no earlier row has the same two minimum hashes: copies repeat a wrong label and would outvote the rest."""
-    keys: dict[tuple, int] = {}
-    for i, g in enumerate(grams):
-        g = g.astype(np.uint32)
-        keys.setdefault(tuple(int((g * np.uint32(m) ^ g >> np.uint32(9)).min(initial=2**32 - 1)) for m in (0x85EBCA6B, 0xC2B2AE35)), i)
-    return np.fromiter(keys.values(), np.int64)
+def least_hash(g: np.ndarray, salt: int) -> int:
+    h = g.astype(np.uint32)
+    return int((h * np.uint32(salt) ^ h >> np.uint32(9)).min(initial=2**32 - 1))
 
 
 def distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, distinct n-grams and two minimum hashes of each text.
+
+    Of texts that agree in both one stays to learn from: copies repeat a wrong label and would outvote the rest.
+    """
     for batch in batches:
-        out: list[bytes] = []
+        out: list[np.ndarray] = []
         for a, b, row, slot in presence(batch.column(0)):
             cut = np.searchsorted(row, np.arange(b - a + 1))
-            out += [slot[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(b - a)]
-        yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(out, pa.binary())], ["label", "grams"])
+            out += [slot[cut[i] : cut[i + 1]].astype(np.int32) for i in range(b - a)]
+        yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([g.tobytes() for g in out], pa.binary()), *(pa.array([least_hash(g, m) for g in out], pa.int64()) for m in (0x85EBCA6B, 0xC2B2AE35))], ["label", "grams", "k1", "k2"])
+
+
+def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one task: texts of each class, and how many of them hold each n-gram (at most max_train, so 16 bits do)."""
+    n, df = [0, 0], np.zeros((2, 1 << BITS), np.uint16)
+    for batch in batches:
+        for label, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n[label] += 1
+            df[label, np.frombuffer(grams, np.int32)] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n[0]]), pa.array([n[1]]), pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())], ["n0", "n1", "counts"])
 
 
 def logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float, steps: int = 300) -> tuple[np.ndarray, float]:
