@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20  # text bytes that one vectorised step works on; a longer text makes a step of its own
+CHUNK_BYTES = 256 << 10  # text bytes that one vectorised step works on; a longer text makes a step of its own
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
@@ -139,7 +139,10 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose batches stay small enough for a worker's memory."""
+    """``mapInArrow`` whose batches stay small enough for a worker's memory, also where texts are long."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
     return df.mapInArrow(f, schema)
 
 

@@ -118,7 +118,7 @@ def profile(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
                     held_tokens += len(h)
             ids += batch.column(0).to_pylist()
             hashes += batch.column(2).to_pylist()
-            if held_tokens > 3_000_000:
+            if held_tokens > 1_000_000:
                 yield from flush()
         yield from flush()
 

@@ -41,7 +41,7 @@ SAMPLE = 2000  # documents that the dictionary is trained on, at most
 SAMPLE_IDS = 4096  # and of each of them so many ids
 DICT_BYTES = 64 << 10
 MAGIC = b"LTID"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def default_tokenizer() -> str:
@@ -64,7 +64,7 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > 300_000:  # bounds the worker's memory; words are encoded again when they return
+        if len(self.known) > 150_000:  # bounds the worker's memory; words are encoded again when they return
             self.known.clear()
         new = [w for w in distinct if w not in self.known]
         for at in range(0, len(new), 20_000):
