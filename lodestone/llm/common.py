@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -143,7 +144,25 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = give_back()
+        yield from f(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> Callable[[], None]:
+    """Keeps freed arrays from staying with a worker that is used again; does nothing without glibc."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: no longer grows with what is freed
+        libc.mallopt(-8, 1)  # M_ARENA_MAX
+    except OSError:
+        return lambda: None
+    return lambda: libc.malloc_trim(0) and None
 
 
 def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:

@@ -113,24 +113,27 @@ class Index:
         out[some[hit]] = found[hit]
         return out
 
-    def above(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Items whose score for a passage of these distinct terms reaches the threshold."""
-        bound = np.zeros(self.blocks)
-        for t in terms:
-            a, b = self.block_first[t], self.block_first[t + 1]
-            bound[self.block[a:b]] += self.block_top[a:b]
-        live = bound >= threshold
-        if not live.any():
-            return []
-        score = np.zeros(len(self.ids))
-        for t in terms:
-            a, b = self.first[t], self.first[t + 1]
-            own = self.item[a:b]
-            keep = live[own // BLOCK]
-            score[own[keep]] += self.impact[a:b][keep]
+    def live(self, window: np.ndarray, terms: np.ndarray, windows: int, threshold: float) -> np.ndarray:
+        """(windows, blocks): where the block maxima of a window's distinct terms reach the threshold."""
+        at, n = ranges(self.block_first[terms], self.block_first[terms + 1])
+        cell = np.repeat(window * self.blocks, n) + self.block[at]
+        return (np.bincount(cell, self.block_top[at], windows * self.blocks) >= threshold).reshape(windows, self.blocks)
+
+    def above(self, terms: np.ndarray, live: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """Items of the live blocks whose score for a passage of these distinct terms reaches the threshold."""
+        at, _ = ranges(self.first[terms], self.first[terms + 1])
+        at = at[live[self.item[at] // BLOCK]]
+        score = np.bincount(self.item[at], self.impact[at], len(self.ids))
         return [(int(i), min(1.0, float(score[i]))) for i in np.flatnonzero(score >= threshold)]
 
 
+def ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of the ranges a:b one after another, and the ranges' lengths."""
+    n = b - a
+    end = np.cumsum(n)
+    return np.repeat(a - (end - n), n) + np.arange(end[-1] if len(end) else 0), n
+
+
 def pairs(words: np.ndarray) -> np.ndarray:
     """Distinct neighbouring words; a lone word stands for itself."""
     return np.unique(grams(words, 2) if len(words) > 1 else words)
@@ -171,20 +174,48 @@ def build(items: DataFrame, item_id: str = "item_id", text: str = "text") -> lis
     return out
 
 
-def passages(index: Index, words: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
-    """(row, first word, end word) of the windows that the sum of greatest impacts lets pass."""
-    term = index.term_of(words)
-    best = np.where(term >= 0, index.top[term], 0.0)
-    sums = np.append(0.0, np.cumsum(best))
-    step = index.longest
+def passages(index: Index, words: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, list[tuple[int, float]]]]:
+    """(row, first word, end word, items above the threshold with scores) of the windows that have any.
+
+    Window j of a row is its blocks j and j + 1 of one item's length, so a word stands in two windows
+    at most; it counts in one unless the same term stands before it there.
+    """
+    term, step = index.term_of(words), index.longest
     sizes = np.diff(first)
     windows = np.maximum(1, -(-sizes // step) - 1)
-    row = np.repeat(np.arange(len(sizes)), windows)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    a = first[row] + number * step
-    b = np.minimum(a + 2 * step, first[row + 1])
-    for i in np.flatnonzero(sums[b] - sums[a] >= threshold - 1e-9):
-        yield int(row[i]), int(a[i]), int(b[i])
+    base = np.cumsum(windows) - windows
+    at = np.flatnonzero(term >= 0)
+    row = np.searchsorted(first, at, side="right") - 1
+    start, t = first[row], term[at]
+    block = (at - start) // step
+    by = np.lexsort((t, row))
+    before = np.full(len(at), -1)
+    same = (t[by][1:] == t[by][:-1]) & (row[by][1:] == row[by][:-1])
+    before[by[1:][same]] = at[by[:-1][same]]
+    ws, ts = [], []
+    for back in (0, 1):
+        j = block - back
+        new = (j >= 0) & (j < windows[row]) & (before < start + j * step)
+        ws.append(base[row[new]] + j[new])
+        ts.append(t[new])
+    w, t = np.concatenate(ws), np.concatenate(ts)
+    bound = np.bincount(w, index.top[t], int(windows.sum()))
+    open_ = bound >= threshold
+    keep = open_[w]
+    by = np.argsort(w[keep], kind="stable")
+    w, t = w[keep][by], t[keep][by]
+    left = np.flatnonzero(open_)
+    for a in range(0, len(left), 128):  # so many windows at a time bounds what their postings take
+        some = left[a : a + 128]
+        lo, hi = np.searchsorted(w, some[0]), np.searchsorted(w, some[-1], side="right")
+        alive = index.live(np.searchsorted(some, w[lo:hi]), t[lo:hi], len(some), threshold)
+        for k in np.flatnonzero(alive.any(1)):
+            i = some[k]
+            hits = index.above(t[np.searchsorted(w, i) : np.searchsorted(w, i, side="right")], alive[k], threshold)
+            if hits:
+                r = int(np.searchsorted(base, i, side="right")) - 1
+                begin = int(first[r] + (i - base[r]) * step)
+                yield r, begin, int(min(begin + 2 * step, first[r + 1])), hits
 
 
 def leaks_of(index: Index, column: pa.Array, threshold: float, overlap: float) -> list[list[dict] | None]:
@@ -195,15 +226,8 @@ def leaks_of(index: Index, column: pa.Array, threshold: float, overlap: float) -
         starts, ends, first = word_spans(flat, offsets, NOT_ALNUM)
         words = word_hashes(flat, starts, ends)
         found: dict[int, dict[int, tuple]] = {}
-        for row, a, b in passages(index, words, first, threshold):
+        for row, a, b, hits in passages(index, words, first, threshold - 1e-9):
             own = words[a:b]
-            terms = np.unique(index.term_of(own))
-            terms = terms[terms >= 0]
-            if index.top[terms].sum() < threshold - 1e-9:
-                continue
-            hits = index.above(terms, threshold - 1e-9)
-            if not hits:
-                continue
             two = pairs(own)
             for i, score in hits:
                 q, r = (share(p, two, own, len(p) == 1 and not np.isin(p, two).all()) for p in index.parts[i])

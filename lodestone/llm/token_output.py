@@ -21,19 +21,23 @@ documents; an empty table gives empty tables.
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Workspace, map_arrow, parallelism
+from lodestone.llm.common import LOWER, SPACES, Workspace, chunks, map_arrow, parallelism, powers, word_hashes, word_spans
 
 END_ID = 1
 SHARD_BYTES = 4 << 20
@@ -41,7 +45,6 @@ SAMPLE = 2000  # documents that the dictionary is trained on, at most
 SAMPLE_IDS = 4096  # and of each of them so many ids
 DICT_BYTES = 64 << 10
 MAGIC = b"LTID"
-BATCH_BYTES = 2 << 20
 
 
 def default_tokenizer() -> str:
@@ -50,46 +53,107 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Places after letters or digits where WORD_SPLIT always ends a piece; the apostrophe can begin 's and the like.
+LETTERS = np.zeros(256, bool)
+LETTERS[0x30:0x3A] = LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = True
+MARKS = np.zeros(256, bool)
+MARKS[0x21:0x80] = True
+MARKS &= ~LETTERS
+MARKS[[0x27, 0x7F]] = False
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value of the tokenizer's file
+
+
+def splits_at_punctuation(path: str) -> bool:
+    """Whether the tokenizer lower-cases and splits by WORD_SPLIT, so that words may be cut before marks and lower-cased."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    steps = (own.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    lowers = any(x.get("type") == "Lowercase" for x in (own.get("normalizer") or {}).get("normalizers", []))
+    return lowers and (steps[0].get("pattern") or {}).get("Regex") == WORD_SPLIT
+
+
+def punctuation_after_letter(flat: np.ndarray) -> np.ndarray:
+    """Where an ASCII mark follows an ASCII letter or digit or one of U+00C0 to U+00FF that is a letter."""
+    out = np.zeros(len(flat), bool)
+    if len(flat) > 2:
+        letter = LETTERS[flat]
+        letter[1:] |= (flat[:-1] == 0xC3) & (flat[1:] >= 0x80) & (flat[1:] != 0x97) & (flat[1:] != 0xB7)
+        out[1:] = letter[:-1] & MARKS[flat[1:]]
+    return out
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker process's encoder: it and its cache serve all tasks that the process runs."""
+    kept = sys.modules.setdefault("_lodestone_worker", types.ModuleType("_lodestone_worker"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.encoder = path, WordEncoder(path)
+    return kept.encoder
+
+
 class WordEncoder:
-    """Encodes whole texts with a tokenizer that splits at white space, each distinct word once."""
+    """Encodes whole texts with a tokenizer that splits at white space, a repeated word only once.
+
+    Words go through a direct-mapped cache of SLOTS 64-bit hashes: two of n different words that one
+    task meets are taken for each other with a chance below n**2 / 2**65.
+    """
+
+    SLOTS_BITS = 19
+    POOL = 4 << 20  # ids that the cache holds; then it begins anew
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows one after another, and where each row's begin and end."""
-        words = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
-        coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > 150_000:  # bounds the worker's memory; words are encoded again when they return
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        ids = [self.known[w] for w in distinct]
-        sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        lens = sizes[code]
-        begin = (np.cumsum(sizes) - sizes)[code]
-        total = int(lens.sum())
-        after = np.cumsum(lens)
-        take = np.repeat(begin - (after - lens), lens) + np.arange(total)
-        bounds = np.append(0, after)[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        return flat[take], bounds
-
-
-def slices(column: pa.Array) -> Iterator[pa.Array]:
-    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    step = (np.cumsum(size) - size) // BATCH_BYTES
-    cut = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(column)) if len(column) else [0]
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        yield column.slice(a, b - a)
+        self.splits = splits_at_punctuation(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.tag = np.zeros(1 << self.SLOTS_BITS, np.uint64)
+        self.place = np.zeros(1 << self.SLOTS_BITS, np.int32)
+        self.size = np.full(1 << self.SLOTS_BITS, -1, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def words(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word where its ids begin in the pool, and how many they are."""
+        h = word_hashes(flat, starts, ends)
+        slot = (h >> np.uint64(64 - self.SLOTS_BITS)).astype(np.int64)
+        place, size = self.place[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        miss = np.flatnonzero((self.tag[slot] != h) | (size < 0))
+        if len(miss):
+            new, at, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            raw = flat.tobytes()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[miss[at]].tolist(), ends[miss[at]].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            got = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))
+            while self.used + len(got) > len(self.pool):
+                self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
+            self.pool[self.used : self.used + len(got)] = got
+            begin = self.used + np.cumsum(n) - n
+            self.used += len(got)
+            place[miss], size[miss] = begin[which], n[which]
+            where = (new >> np.uint64(64 - self.SLOTS_BITS)).astype(np.int64)
+            self.tag[where], self.place[where], self.size[where] = new, begin, n
+        return place, size
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """In steps: number of rows, all their ids one after another, and where each row's begin and end."""
+        for a, b, flat, offsets in chunks(column):
+            if self.used > self.POOL:
+                self.forget()
+            starts, ends, first = word_spans(flat, offsets, SPACES)
+            if self.splits and b"<|" not in flat.tobytes():  # else a special token may stand there
+                flat = LOWER[flat]
+                cut = punctuation_after_letter(flat)
+                cut[starts] = False
+                at = np.flatnonzero(cut)
+                starts, ends = np.sort(np.append(starts, at)), np.sort(np.append(ends, at))
+                first = np.searchsorted(starts, offsets)
+            place, size = self.words(flat, starts, ends)
+            end = np.cumsum(size)
+            take = np.repeat(place - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+            yield b - a, self.pool[take], np.append(0, end)[first]
 
 
 def encoded(texts: DataFrame, tokenizer: str, width: int) -> DataFrame:
@@ -97,12 +161,11 @@ def encoded(texts: DataFrame, tokenizer: str, width: int) -> DataFrame:
     kind = np.uint16 if width == 2 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             out = []
-            for part in slices(batch.column(0)):
-                ids, bounds = encoder.encode(part)
-                out += [ids[bounds[i] : bounds[i + 1]][:SAMPLE_IDS].astype(kind).tobytes() for i in range(len(part))]
+            for n, ids, bounds in encoder.encode(batch.column(0)):
+                out += [ids[bounds[i] : bounds[i + 1]][:SAMPLE_IDS].astype(kind).tobytes() for i in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     return map_arrow(texts, run, "ids binary")
@@ -132,14 +195,13 @@ def frames(docs: DataFrame, tokenizer: str, dictionary: bytes, width: int) -> Da
     kind = np.uint16 if width == 2 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = WordEncoder(tokenizer), compressor(dictionary)
+        encoder, squeeze = encoder_of(tokenizer), compressor(dictionary)
         for batch in batches:
             sizes, out = [], []
-            for part in slices(batch.column(2)):
-                ids, bounds = encoder.encode(part)
+            end = kind(END_ID).tobytes()
+            for n, ids, bounds in encoder.encode(batch.column(2)):
                 ids = ids.astype(kind)
-                end = kind(END_ID).tobytes()
-                for i in range(len(part)):
+                for i in range(n):
                     sizes.append(int(bounds[i + 1] - bounds[i]) + 1)
                     out.append(squeeze.compress(ids[bounds[i] : bounds[i + 1]].tobytes() + end))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "th", "n_tokens", "frame"])
@@ -189,6 +251,7 @@ def mark_of(dictionary: bytes) -> int:
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, sample: int = SAMPLE) -> None:
     """Encode ``docs`` (doc_id, text) into the format at ``path``, a folder that all executors reach."""
+    powers(1)
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     from tokenizers import Tokenizer
 
