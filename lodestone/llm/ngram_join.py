@@ -24,6 +24,7 @@ class; a null doc_id keeps its row and is never a component's name unless all it
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import MULT, SPACES, LOWER, Workspace, chunks, components, grams, map_arrow, mix, parallelism, powers, word_hashes, word_spans
 
 WORDS = 5
+LOW = np.uint64(0xFFFFFFFF)  # of a token, in the first exchange: within one part; two that fall together let a text pass, never drop it
 EXTRA = 20  # order H: prefixes are longer by a part of 1 / EXTRA of the set
+FILTER_BITS = 26
 ORDER_A, ORDER_B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -99,7 +102,7 @@ def profile(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
                 for p in range(parts):
                     if cut[p] < cut[p + 1]:
                         r, counts = np.unique(row[cut[p] : cut[p + 1]], return_counts=True)
-                        out.append((p, tokens[cut[p] : cut[p + 1]].tobytes(), own[r].tobytes(), counts.astype(np.int32).tobytes()))
+                        out.append((p, (tokens[cut[p] : cut[p + 1]] & LOW).astype(np.uint32).tobytes(), own[r].tobytes(), counts.astype(np.int32).tobytes()))
                 k = len(out)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[pa.nulls(k, pa.int64())] * 4, *[pa.array([x[j] for x in out], pa.binary()) for j in (1, 2, 3)]], ["part", "doc_id", "th", "cls", "n", "toks", "owners", "counts"])
             for x in (ids, hashes, classes, sizes):
@@ -125,12 +128,12 @@ def profile(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
     return map_arrow(docs.select(F.col(doc_id).cast("long"), F.col(text), F.xxhash64(text)), run, "part int, doc_id long, th long, cls long, n long, toks binary, owners binary, counts binary")
 
 
-def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def unpack(table: pa.Table, token: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, owners) of rows with toks, owners, counts; each pair once, sorted by token and then owner."""
     def read(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist() if x] or [np.zeros(0, kind)])
 
-    tokens, owners = read("toks", np.uint64), np.repeat(read("owners", np.int64), read("counts", np.int32))
+    tokens, owners = read("toks", token), np.repeat(read("owners", np.int64), read("counts", np.int32))
     at = np.lexsort((owners, tokens))
     tokens, owners = tokens[at], owners[at]
     new = np.append(True, (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])) if len(tokens) else np.zeros(0, bool)
@@ -148,7 +151,7 @@ def shared_in_prefix(rows: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         meta = table.filter(table.column("toks").is_null())
-        tokens, owners = unpack(table)
+        tokens, owners = unpack(table, np.uint32)
         number, length = runs(tokens)
         cls, hits = np.unique(owners[length[number] > 1], return_counts=True) if len(tokens) else (owners, owners)
         k = len(cls)
@@ -163,18 +166,41 @@ def shared_in_prefix(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInArrow(run, "doc_id long, th long, cls long, n long, hits long")
 
 
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits set for the hashes in ``keys`` (h): of fixed size, whatever their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            np.bitwise_or.at(bits, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7))).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for row in map_arrow(keys, run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
+    return out
+
+
 def sets_of(docs: DataFrame, doc_id: str, text: str, chosen: DataFrame) -> DataFrame:
-    """(cls, n, toks) of the chosen classes (cls, doc_id, th), from the text of one document each."""
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    one = chosen.select(F.col("doc_id").alias("d"), F.col("th").alias("h"))
-    texts = keyed.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left_semi").select("text")
+    """(cls, n, toks) of the chosen documents (doc_id, th) and of few others, which have no partner and do no harm.
+
+    The texts are not shuffled: a filter of fixed size goes to them. Once many more than 2**FILTER_BITS
+    documents are chosen it lets all pass, which costs room and changes no result.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(bitmap(chosen.select(F.xxhash64("doc_id", "th").alias("h"))))
+    keyed = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0)))
+            h = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            some = bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1
+            sets = list(shingle_sets(batch.column(0).filter(pa.array(some.astype(bool)))))
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "n", "toks"])
 
-    return map_arrow(texts, run, "cls long, n long, toks binary")
+    return map_arrow(keyed, run, "cls long, n long, toks binary").where("n > 0")
 
 
 def first_tokens(sets: DataFrame) -> DataFrame:
