@@ -23,11 +23,13 @@ id; null and empty documents have no leaks; nothing is said of rows, so repeated
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,11 +247,12 @@ def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", threshold:
     names, at = docs.columns, docs.columns.index(text)
     out = docs.withColumn("__leaks", F.expr("CAST(array() AS array<struct<item_id:long,score:double,question:double,answer:double>>)"))
     for index in build(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
+            own = pickle.loads(shared.value)
             for batch in batches:
-                new = leaks_of(shared.value, batch.column(at), threshold, overlap)
+                new = leaks_of(own, batch.column(at), threshold, overlap)
                 old = batch.column(len(names))
                 both = [list(x) + (y or []) for x, y in zip(old.to_pylist(), new, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(both, pa.list_(LEAK))], [*names, "__leaks"])
