@@ -35,7 +35,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.options(**options).parquet(path)
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -143,7 +143,7 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose batches stay small enough for a worker's memory, also where texts are long."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim = give_back()

@@ -98,7 +98,7 @@ class WordEncoder:
     """
 
     SLOTS_BITS = 19
-    POOL = 4 << 20  # ids that the cache holds; then it begins anew
+    POOL = 2 << 20  # ids that the cache holds; then it begins anew
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
