@@ -14,7 +14,8 @@ A link of a and b needs |a & b| >= ceil(3/4 |a|), so under any global order of a
 
 Texts with equal sets are one class (64-bit hash of the set; two of n different classes fall
 together with a chance below n**2 / 2**65). Classes, not documents, are compared, so a group of
-copies costs one row each. Every candidate is verified on the whole sets. Pairs inside a component
+copies costs one row each. A candidate pair's sizes, counts of shared tokens and 512-bit parity sketches
+must allow the similarity before its sets are fetched; every candidate is verified on the whole sets. Pairs inside a component
 that is connected already are not verified: they cannot change a component.
 
 Defined results: null and empty texts (no words) have no shingles, are linked with nothing and are
@@ -38,6 +39,7 @@ WORDS = 5
 LOW = np.uint64(0xFFFFFFFF)  # of a token, in the first exchange: within one part; two that fall together let a text pass, never drop it
 EXTRA = 20  # order H: prefixes are longer by a part of 1 / EXTRA of the set
 FILTER_BITS = 26
+SKETCH = 512
 ORDER_A, ORDER_B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -198,9 +200,15 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, chosen: DataFrame) -> DataF
             h = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
             some = bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1
             sets = list(shingle_sets(batch.column(0).filter(pa.array(some.astype(bool)))))
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "n", "toks"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], ["cls", "n", "toks", "sketch"])
 
-    return map_arrow(keyed, run, "cls long, n long, toks binary").where("n > 0")
+    return map_arrow(keyed, run, "cls long, n long, toks binary, sketch array<long>").where("n > 0")
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH bits, each the parity of how many tokens fall on it: sketches of sets differ in at most as many bits as the sets in tokens."""
+    bit = (order(s, ORDER_A ^ ORDER_B) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
 def first_tokens(sets: DataFrame) -> DataFrame:
@@ -251,66 +259,76 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 4 * common >= 3 * (len(x) + len(y) - common)
 
 
+PACKED = "toks binary, owners binary, comps binary, sizes binary, counts binary"
+
+
+def pack(part: np.ndarray, row: np.ndarray, tokens: np.ndarray, about: np.ndarray, parts: int, extra: np.ndarray | None = None) -> dict[str, list]:
+    """Tokens dealt into parts, one row each: they, their owners' (cls, comp, n) from ``about`` and how many each owner has.
+
+    extra: a number for each token, packed as ``freqs``.
+    """
+    at = np.argsort(part * max(1, about.shape[1]) + row, kind="stable")
+    cut = np.searchsorted(part[at], np.arange(parts + 1))
+    out: dict[str, list] = {"part": [], "toks": [], "owners": [], "comps": [], "sizes": [], "counts": []} | ({"freqs": []} if extra is not None else {})
+    for p in range(parts):
+        if cut[p] < cut[p + 1]:
+            here = at[cut[p] : cut[p + 1]]
+            r, counts = np.unique(row[here], return_counts=True)
+            for name, x in zip(out, (p, tokens[here].tobytes(), *(about[j][r].tobytes() for j in range(3)), counts.astype(np.int32).tobytes(), *([] if extra is None else [extra[here].astype(np.int64).tobytes()])), strict=True):
+                out[name].append(x)
+    return out
+
+
+def column(table: pa.Table, name: str, kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()] or [np.zeros(0, kind)])
+
+
 def across(sets: DataFrame, comp: DataFrame, parts: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components: prefixes under order C meet on a token."""
+    """(tok, cls, comp, n, k): prefixes under order C of the classes that may have a partner in another component.
+
+    k counts the tokens that other components hold too: no more can be shared with a partner there.
+    """
     own = sets.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "toks")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array(batch.column(2).to_pylist(), np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
+            about = np.array([batch.column(j).to_pylist() for j in range(3)], np.int64).reshape(3, -1)
             tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()] or [np.zeros(0, np.uint64)])
-            part = (order(tokens, MULT) % np.uint64(parts)).astype(np.int64)
-            at = np.argsort(part * max(1, len(sizes)) + row, kind="stable")
-            cut = np.searchsorted(part[at], np.arange(parts + 1))
-            ids = np.array([batch.column(0).to_pylist(), batch.column(1).to_pylist()], np.int64)
-            out = []
-            for p in range(parts):
-                if cut[p] < cut[p + 1]:
-                    here = at[cut[p] : cut[p + 1]]
-                    r, counts = np.unique(row[here], return_counts=True)
-                    out.append((p, tokens[here].tobytes(), ids[0][r].tobytes(), ids[1][r].tobytes(), counts.astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[j] for x in out], pa.binary()) for j in (1, 2, 3, 4))], ["part", "toks", "owners", "comps", "counts"])
+            row = np.repeat(np.arange(about.shape[1]), about[2])
+            out = pack((order(tokens, MULT) % np.uint64(parts)).astype(np.int64), row, tokens, about, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(x, pa.binary()) for name, x in out.items() if name != "part")], list(out))
 
     def meet(table: pa.Table) -> pa.Table:
-        comps = {}
-        for o, c in zip(table.column("owners").to_pylist(), table.column("comps").to_pylist(), strict=True):
-            comps.update(zip(np.frombuffer(o, np.int64).tolist(), np.frombuffer(c, np.int64).tolist(), strict=True))
-        tokens, owners = unpack(table)
+        """Tokens of at least two components, dealt by their owners; with each the number of components."""
+        owners, at = np.unique(column(table, "owners"), return_index=True)
+        about = np.stack([owners, column(table, "comps")[at], column(table, "sizes")[at]])
+        tokens, cls = unpack(table)
+        row = np.searchsorted(owners, cls)
         number, _ = runs(tokens)
-        names = np.sort(np.fromiter(comps, np.int64, len(comps)))
-        values = np.array([comps[x] for x in names.tolist()], np.int64)
-        comp_of = values[np.searchsorted(names, owners)]
-        at = np.lexsort((comp_of, number))
-        new = np.append(True, (number[at][1:] != number[at][:-1]) | (comp_of[at][1:] != comp_of[at][:-1]))
-        held_by = np.bincount(number[at][new])
-        many = held_by[number] > 1
-        tokens, owners, freq = tokens[many], owners[many], held_by[number][many]
-        by = np.argsort(owners, kind="stable")
-        tokens, owners, freq = tokens[by], owners[by], freq[by]
-        cls, first = np.unique(owners, return_index=True)
-        cut = np.append(first, len(owners))
-        return pa.table({"cls": pa.array(cls, pa.int64()), "k": pa.array(np.diff(cut), pa.int64()), "t": pa.array([tokens[cut[i] : cut[i + 1]].tobytes() for i in range(len(cls))], pa.binary()), "f": pa.array([freq[cut[i] : cut[i + 1]].astype(np.int64).tobytes() for i in range(len(cls))], pa.binary())})
-
-    met = map_arrow(own, deal, "part int, toks binary, owners binary, comps binary, counts binary").groupBy("part").applyInArrow(meet, "cls long, k long, t binary, f binary")
-    # a set that shares fewer tokens with other components than a partner must hold has no partner there; both lists are at most the set
-    per = met.groupBy("cls").agg(F.sum("k").alias("k"), F.collect_list(F.struct("t", "f")).alias("parts"))
-    per = per.join(own.select("cls", "comp", "n").distinct(), "cls").where("k >= (3 * n + 3) div 4").select("cls", "comp", "n", "k", F.expr("transform(parts, x -> x.t)").alias("t"), F.expr("transform(parts, x -> x.f)").alias("f"))
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[np.ndarray] = []
-            rows = []
-            for c, comp_, n, k, t, f in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                t, f = np.frombuffer(b"".join(t), np.uint64), np.frombuffer(b"".join(f), np.int64)
-                take = n - (3 * n + 3) // 4 + 1 - (n - k)  # tokens of one component come first and meet nothing
-                if take > 0:
-                    out.append(t[np.lexsort((order(t, MULT), f))[:take]])
-                    rows += [(c, comp_, n)] * len(out[-1])
-            toks = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(toks.astype(np.int64)), *(pa.array([r[j] for r in rows], pa.int64()) for j in range(3))], ["tok", "cls", "comp", "n"])
-
-    return map_arrow(per, prefix, "tok long, cls long, comp long, n long")
+        by = np.lexsort((about[1][row], number))
+        new = np.append(True, (number[by][1:] != number[by][:-1]) | (about[1][row[by]][1:] != about[1][row[by]][:-1]))
+        freq = np.bincount(number[by][new])[number]
+        many = freq > 1
+        row = row[many]
+        home = (mix(owners.view(np.uint64)) % np.uint64(parts)).astype(np.int64)[row]
+        out = pack(home, row, tokens[many], about, parts, freq[many])
+        return pa.table({"part": pa.array(out["part"], pa.int32())} | {name: pa.array(x, pa.binary()) for name, x in out.items() if name != "part"})
+
+    def prefixes(table: pa.Table) -> pa.Table:
+        counts = column(table, "counts", np.int32)
+        cls = np.repeat(column(table, "owners"), counts)
+        tokens, freq = column(table, "toks", np.uint64), column(table, "freqs")
+        comp_of, size = np.repeat(column(table, "comps"), counts), np.repeat(column(table, "sizes"), counts)
+        by = np.lexsort((order(tokens, MULT), freq, cls))
+        cls, tokens, comp_of, size = cls[by], tokens[by], comp_of[by], size[by]
+        _, first, k = np.unique(cls, return_index=True, return_counts=True)
+        place, k = np.arange(len(cls)) - np.repeat(first, k), np.repeat(k, k)
+        # tokens of one component come first in the order and meet nothing: n - k of the prefix
+        keep = (k >= (3 * size + 3) // 4) & (place < size - (3 * size + 3) // 4 + 1 - (size - k))
+        return pa.table({"tok": pa.array(tokens[keep].view(np.int64)), "cls": pa.array(cls[keep]), "comp": pa.array(comp_of[keep]), "n": pa.array(size[keep]), "k": pa.array(k[keep])})
+
+    met = map_arrow(own, deal, f"part int, {PACKED}").groupBy("part").applyInArrow(meet, f"part int, {PACKED}, freqs binary")
+    return met.groupBy("part").applyInArrow(prefixes, "tok long, cls long, comp long, n long, k long")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -325,18 +343,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     members = seen.where("hits IS NULL").select("doc_id", "th", "cls", "n")
     need = F.expr(f"((3 * n + 3) div 4) div {EXTRA} + 1")
     one = members.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"))
-    alive = seen.where("hits IS NOT NULL").groupBy("cls").agg(F.sum("hits").alias("hits")).join(one, "cls").where(F.col("hits") >= need).select("cls", "one.doc_id", "one.th")
+    alive = ws.save(seen.where("hits IS NOT NULL").groupBy("cls").agg(F.sum("hits").alias("hits")).join(one, "cls").where(F.col("hits") >= need).select("cls", "one.doc_id", "one.th", (F.col("hits") / F.col("n")).alias("central")), "alive")
     sets = ws.save(sets_of(docs, doc_id, text, alive), "sets")
 
-    tokens = ws.save(first_tokens(sets), "first")
-    low = tokens.groupBy("ord", "tok").agg(F.min("cls").alias("a"), F.max("cls").alias("top")).where("a < top").drop("top")
-    stars = tokens.join(low, ["ord", "tok"]).where("a < cls").select("a", F.col("cls").alias("b")).distinct()
+    # a star's middle is the class with the largest part of shared tokens: of edited copies the least edited
+    tokens = ws.save(first_tokens(sets).join(alive.select("cls", "central"), "cls"), "first")
+    middle = tokens.groupBy("ord", "tok").agg(F.max(F.struct("central", "cls"))["cls"].alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
+    stars = tokens.join(middle, ["ord", "tok"]).where("a <> cls").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
     links = ws.save(verified(stars, sets), "stars")
     comp = ws.save(components(ws, links, "cc"), "components")
 
-    prefix = ws.save(across(sets, comp, parts), "prefixes")
+    prefix = ws.save(across(sets, comp, parts).join(sets.select("cls", "sketch"), "cls"), "prefixes")
+    differ = " + ".join(f"bit_count(p.sketch[{i}] ^ q.sketch[{i}])" for i in range(SKETCH // 64))
     p, q = prefix.alias("p"), prefix.alias("q")
-    pairs = p.join(q, F.expr("p.tok = q.tok AND p.cls < q.cls AND p.comp <> q.comp AND 4 * p.n >= 3 * q.n AND 4 * q.n >= 3 * p.n")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
+    pairs = p.join(q, F.expr(f"p.tok = q.tok AND p.cls < q.cls AND p.comp <> q.comp AND 4 * p.n >= 3 * q.n AND 4 * q.n >= 3 * p.n AND 7 * least(p.k, q.k) >= 3 * (p.n + q.n) AND 7 * ({differ}) <= p.n + q.n")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
     more = ws.save(verified(pairs, sets), "more")
     if not more.isEmpty():
         links = links.unionByName(more)
