@@ -152,8 +152,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "v
     stats = {r["dim"]: r for r in base.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top"), F.min("norm").alias("low")).collect()}  # a row for each length of vector
     slices = max(1, -(-sum(r["n"] for r in stats.values()) // SLICE))
     blocks = max(1, -(-asked.count() // BLOCK))
-    dealt = base.withColumn("s", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    against = asked.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long"))
+    dealt = base.withColumn("s", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices).cast("long"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    against = asked.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks).cast("long"))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
     about = {d: (r["top"], r["low"] < 0.999 * r["top"]) for d, r in stats.items()}
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, mixing, ngram_join, token_output, toxicity
+from lodestone.llm import ann, decontamination, license_scan, mixing, ngram_join, pii, quality, token_counts, token_output, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classify_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_documents(table(spark, d, "documents"))
 
@@ -30,12 +34,28 @@ def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op6_ann(spark: SparkSession, d: str) -> DataFrame:
+    return ann.search_embeddings(table(spark, d, "embeddings"))
+
+
+def op7_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.count_documents(table(spark, d, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, d, "documents"))
 
 
+def op9_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_in_documents(table(spark, d, "documents"))
+
+
+def op10_license(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_token_output, op4_toxicity, op5_decontamination, op8_ngram_join)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_token_output, op4_toxicity, op5_decontamination, op6_ann, op7_token_counts, op8_ngram_join, op9_pii, op10_license)}
 
 
 def oracle_sql() -> dict[str, str]:

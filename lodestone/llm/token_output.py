@@ -137,19 +137,33 @@ class WordEncoder:
             self.tag[where], self.place[where], self.size[where] = new, begin, n
         return place, size
 
+    def pieces(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text and words cut further where the tokenizer allows it."""
+        if self.splits and b"<|" not in flat.tobytes():  # else a special token may stand there
+            flat = LOWER[flat]
+            cut = punctuation_after_letter(flat)
+            cut[starts] = False
+            at = np.flatnonzero(cut)
+            starts, ends = np.sort(np.append(starts, at)), np.sort(np.append(ends, at))
+        return flat, starts, ends
+
+    def sizes(self, flat: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Number of ids of each word."""
+        if self.used > self.POOL:
+            self.forget()
+        own, a, b = self.pieces(flat, starts, ends)
+        sums = np.append(0, np.cumsum(self.words(own, a, b)[1]))
+        first = np.append(np.searchsorted(a, starts), len(a))
+        return np.diff(sums[first])
+
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """In steps: number of rows, all their ids one after another, and where each row's begin and end."""
         for a, b, flat, offsets in chunks(column):
             if self.used > self.POOL:
                 self.forget()
             starts, ends, first = word_spans(flat, offsets, SPACES)
-            if self.splits and b"<|" not in flat.tobytes():  # else a special token may stand there
-                flat = LOWER[flat]
-                cut = punctuation_after_letter(flat)
-                cut[starts] = False
-                at = np.flatnonzero(cut)
-                starts, ends = np.sort(np.append(starts, at)), np.sort(np.append(ends, at))
-                first = np.searchsorted(starts, offsets)
+            flat, starts, ends = self.pieces(flat, starts, ends)
+            first = np.searchsorted(starts, offsets)
             place, size = self.words(flat, starts, ends)
             end = np.cumsum(size)
             take = np.repeat(place - (end - size), size) + np.arange(end[-1] if len(end) else 0)
