@@ -40,6 +40,7 @@ LOW = np.uint64(0xFFFFFFFF)  # of a token, in the first exchange: within one par
 EXTRA = 20  # order H: prefixes are longer by a part of 1 / EXTRA of the set
 FILTER_BITS = 26
 SKETCH = 512
+LOOK_BACK = 8
 ORDER_A, ORDER_B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -284,9 +285,10 @@ def column(table: pa.Table, name: str, kind: type = np.int64) -> np.ndarray:
 
 
 def across(sets: DataFrame, comp: DataFrame, parts: int) -> DataFrame:
-    """(tok, cls, comp, n, k): prefixes under order C of the classes that may have a partner in another component.
+    """(tok, cls, comp, n, k, last): prefixes under order C of the classes that may have a partner in another component.
 
-    k counts the tokens that other components hold too: no more can be shared with a partner there.
+    k counts the tokens that other components hold too: no more can be shared with a partner there. last
+    holds up to LOOK_BACK tokens before this one: a pair that shares one of them was made there.
     """
     own = sets.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "toks")
 
@@ -325,10 +327,14 @@ def across(sets: DataFrame, comp: DataFrame, parts: int) -> DataFrame:
         place, k = np.arange(len(cls)) - np.repeat(first, k), np.repeat(k, k)
         # tokens of one component come first in the order and meet nothing: n - k of the prefix
         keep = (k >= (3 * size + 3) // 4) & (place < size - (3 * size + 3) // 4 + 1 - (size - k))
-        return pa.table({"tok": pa.array(tokens[keep].view(np.int64)), "cls": pa.array(cls[keep]), "comp": pa.array(comp_of[keep]), "n": pa.array(size[keep]), "k": pa.array(k[keep])})
+        back = np.minimum(place[keep], LOOK_BACK)
+        end = np.cumsum(back)
+        before = tokens[np.repeat(np.flatnonzero(keep) - end, back) + np.arange(end[-1] if len(end) else 0)].view(np.int64)
+        last = pa.ListArray.from_arrays(pa.array(np.append(0, end), pa.int32()), pa.array(before))
+        return pa.table({"tok": pa.array(tokens[keep].view(np.int64)), "cls": pa.array(cls[keep]), "comp": pa.array(comp_of[keep]), "n": pa.array(size[keep]), "k": pa.array(k[keep]), "last": last})
 
     met = map_arrow(own, deal, f"part int, {PACKED}").groupBy("part").applyInArrow(meet, f"part int, {PACKED}, freqs binary")
-    return met.groupBy("part").applyInArrow(prefixes, "tok long, cls long, comp long, n long, k long")
+    return met.groupBy("part").applyInArrow(prefixes, "tok long, cls long, comp long, n long, k long, last array<long>")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -356,7 +362,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     prefix = ws.save(across(sets, comp, parts).join(sets.select("cls", "sketch"), "cls"), "prefixes")
     differ = " + ".join(f"bit_count(p.sketch[{i}] ^ q.sketch[{i}])" for i in range(SKETCH // 64))
     p, q = prefix.alias("p"), prefix.alias("q")
-    pairs = p.join(q, F.expr(f"p.tok = q.tok AND p.cls < q.cls AND p.comp <> q.comp AND 4 * p.n >= 3 * q.n AND 4 * q.n >= 3 * p.n AND 7 * least(p.k, q.k) >= 3 * (p.n + q.n) AND 7 * ({differ}) <= p.n + q.n")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
+    pairs = p.join(q, F.expr(f"p.tok = q.tok AND p.cls < q.cls AND p.comp <> q.comp AND 4 * p.n >= 3 * q.n AND 4 * q.n >= 3 * p.n AND 7 * least(p.k, q.k) >= 3 * (p.n + q.n) AND 7 * ({differ}) <= p.n + q.n AND NOT arrays_overlap(p.last, q.last)")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
     more = ws.save(verified(pairs, sets), "more")
     if not more.isEmpty():
         links = links.unionByName(more)
