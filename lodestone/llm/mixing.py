@@ -115,6 +115,6 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def take(docs: DataFrame) -> DataFrame:
     """The mix: ``docs`` with each row as often as it is taken. Texts stream past the narrow side of the join, unsorted."""
     ws = Workspace(docs.sparkSession, "mixing-take")
-    taken = ws.save(decide(docs).where("copies > 0").select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("source").alias("s"), "copies"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")) & F.col("source").eqNullSafe(F.col("s"))
-    return docs.join(taken.hint("shuffle_hash"), same).select(*[F.col(f"`{c}`") for c in docs.columns], F.expr("explode(sequence(1L, copies))").alias("__copy")).drop("__copy")
+    taken = ws.save(decide(docs).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("source").alias("__s"), F.col("copies").alias("__copies")), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s"))
+    return docs.join(taken.hint("shuffle_hash"), same).select(*[F.col(f"`{c}`") for c in docs.columns], F.expr("explode(sequence(1L, __copies))").alias("__copy")).drop("__copy")

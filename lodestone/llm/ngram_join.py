@@ -388,10 +388,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     full = members.where("n > 0")
     kept = full.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.count("*").alias("size")).where("size > 1")
     rows = full.join(kept.select("component", "one"), "component").withColumn("stays", F.expr("doc_id <=> one.doc_id AND th = one.th"))
-    told = ws.save(rows.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.max("stays").alias("stays"), F.count("*").alias("times")), "told")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
-    out = docs.join(told.where("NOT stays OR times > 1").hint("shuffle_hash"), same, "left_anti")
-    repeated = told.where("stays AND times > 1")
+    told = ws.save(rows.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).agg(F.max("stays").alias("__stays"), F.count("*").alias("__times")), "told")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h"))
+    out = docs.join(told.where("NOT __stays OR __times > 1").hint("shuffle_hash"), same, "left_anti")
+    repeated = told.where("__stays AND __times > 1")
     if not repeated.isEmpty():
         out = out.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out

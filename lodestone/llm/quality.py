@@ -140,6 +140,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train
         z += 2.0 * predict(tree, x)
         rules |= dict.fromkeys(paths(tree, names))
     every = list(rules)
+    if not every:
+        return Model([], [], float(np.log(y.mean() / (1 - y.mean()))))
     on = np.column_stack([holds(r, x, names) for r in every]).astype(float)
     mean, spread = on.mean(0), np.maximum(on.std(0), 1e-6)
     w, bias = lasso((on - mean) / spread, y, penalty)

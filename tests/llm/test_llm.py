@@ -177,7 +177,7 @@ def test_edits_count_as_the_whole_text(text, edits):
 
 def test_counts(spark, odd):
     rows = token_counts.count_documents(odd).collect()
-    assert len(rows) == odd.count() and all(r.chars_encoded < 60_000 for r in rows)
+    assert len(rows) == odd.count() and all(r.chars_encoded < 500 for r in rows if r.doc_id != 8)  # document 8 is one word, so one segment
     assert {r.n_tokens for r in rows if r.doc_id in (4, 5)} == {0}
     edits = spark.createDataFrame([(7, 1, 0, 3, "three"), (7, 2, 0, 0, "zero ")], "doc_id long, seq int, start long, end long, text string")
     got = token_counts.count(token_counts.with_edits(odd, edits), "edits").where("doc_id = 7").first()
@@ -196,7 +196,7 @@ def test_toxicity(spark, odd):
 
 
 def test_held_out_accuracy(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     got = quality.classify_documents(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in got) >= 0.9 * len(got)
