@@ -97,8 +97,9 @@ class WordEncoder:
     task meets are taken for each other with a chance below n**2 / 2**65.
     """
 
-    SLOTS_BITS = 19
-    POOL = 2 << 20  # ids that the cache holds; then it begins anew
+    SLOTS_BITS = 20
+    JOINED = 256  # words that one call to the tokenizer takes
+    POOL = 4 << 20  # ids that the cache holds; then it begins anew
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -106,6 +107,8 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.splits = splits_at_punctuation(path)
+        plain = [i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.border = plain[0] if self.splits and plain else None  # a special token: what stands on its two sides is encoded apart
         self.forget()
 
     def forget(self) -> None:
@@ -123,10 +126,7 @@ class WordEncoder:
         if len(miss):
             new, at, which = np.unique(h[miss], return_index=True, return_inverse=True)
             raw = flat.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[miss[at]].tolist(), ends[miss[at]].tolist(), strict=True)]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            got = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))
+            got, n = self.encode_words([raw[a:b] for a, b in zip(starts[miss[at]].tolist(), ends[miss[at]].tolist(), strict=True)])
             while self.used + len(got) > len(self.pool):
                 self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
             self.pool[self.used : self.used + len(got)] = got
@@ -137,6 +137,18 @@ class WordEncoder:
             self.tag[where], self.place[where], self.size[where] = new, begin, n
         return place, size
 
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has. Words go JOINED at a time with a special token between."""
+        mark = None if self.border is None else self.tokenizer.id_to_token(self.border).encode()
+        if mark and mark not in b"\n".join(words):
+            lines = [mark.join(words[i : i + self.JOINED]) + mark for i in range(0, len(words), self.JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in lines], add_special_tokens=False)])
+            end = np.flatnonzero(ids == self.border)
+            return ids[ids != self.border], np.diff(end, prepend=-1) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(n.sum())), n
+
     def pieces(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text and words cut further where the tokenizer allows it."""
         if self.splits and b"<|" not in flat.tobytes():  # else a special token may stand there
