@@ -58,5 +58,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_mixing, op3_token_output, op4_toxicity, op5_decontamination, op6_ann, op7_token_counts, op8_ngram_join, op9_pii, op10_license)}
 
 
+NGRAM_JOIN = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT r, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS t FROM d),
+s AS (SELECT DISTINCT r, t FROM f),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(r, x) AS (SELECT r, r FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.x = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(y.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach ON reach.r = d.r JOIN d y ON y.r = reach.x GROUP BY d.r, d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only op 8's result is a function of its input alone; the others depend on draws, models, labels or a tokenizer."""
+    return {"op8_ngram_join": NGRAM_JOIN}

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import ann, decontamination, license_scan, mixing, ngram_join, pii, quality, token_counts, token_output, toxicity
+from lodestone.llm import ann, decontamination, license_scan, mixing, ngram_join, pii, quality, queries, token_counts, token_output, toxicity
 from lodestone.llm.common import SPACES, chunks, components, Workspace, word_spans
 
 SF = "/root/testdata/sf0.001"
@@ -93,6 +94,15 @@ def test_ngram_join_against_brute_force(spark, odd):
     assert ngram_join.join_documents(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_sql(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    for path in (f"{SF}/documents.parquet", f"{tmp_path}/documents.parquet/*.parquet"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+        want = con.execute(queries.oracle_sql()["op8_ngram_join"]).fetchall()
+        assert Counter(want) == Counter(map(tuple, ngram_join.join_documents(spark.read.parquet(path)).collect()))
+
+
 def test_keep_one(spark, odd):
     got = ngram_join.keep_one(odd)
     assert got.columns == odd.columns
@@ -162,6 +172,13 @@ def test_encoder_is_the_tokenizer(texts):
     assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_with_special_tokens():
+    e = token_output.WordEncoder(token_output.default_tokenizer())
+    texts = ["a<|endoftext|>b don't", "<|startoftext|> x<|y <|startoftext|>", "it's 2024, l'été", "<|", ""] * 2
+    got = [ids[b[i] : b[i + 1]].tolist() for n, ids, b in e.encode(pa.array(texts, pa.string())) for i in range(n)]
+    assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from(list("abC, .\né日")), max_size=60), st.lists(st.tuples(st.integers(-3, 70), st.integers(-3, 70), st.text(st.sampled_from(list("ab \n,")), max_size=12)), max_size=6))
 def test_edits_count_as_the_whole_text(text, edits):
