@@ -58,6 +58,19 @@ def tokens_sql(column: str) -> str:
 
 
 SENTENCES = rf"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?]){WS}+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '')"
+
+
+def chunks_sql(size: int, overlap: int) -> str:
+    """Common table expressions that end in chunks (doc_id, chunk_no, text): the fold as a list reduction."""
+    step = size - overlap
+    return f"""pieces AS (SELECT doc_id, flatten(list_transform(s, lambda x: list_transform(range(0, greatest(0, ceil((length(x) - {size}) / {step}.0))::BIGINT + 1), lambda i: substring(x, 1 + i * {step}, {size})))) AS p FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)),
+folded AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: struct_pack(done := []::VARCHAR[], cur := [x])), lambda a, b: CASE WHEN length(array_to_string(a.cur, ' ')) + 1 + length(b.cur[1]) > {size}
+  THEN struct_pack(done := list_append(a.done, array_to_string(a.cur, ' ')), cur := list_concat(list_filter(a.cur, lambda y, i: length(array_to_string(a.cur[i:], ' ')) <= {overlap}), b.cur))
+  ELSE struct_pack(done := a.done, cur := list_concat(a.cur, b.cur)) END) AS f FROM pieces WHERE len(p) > 0),
+packed AS (SELECT doc_id, list_append(f.done, array_to_string(f.cur, ' ')) AS c FROM folded),
+chunks AS (SELECT doc_id, unnest(range(len(c)))::INT AS chunk_no, unnest(c) AS text FROM packed)"""
+
+
 ASKED = f"asked AS (SELECT item_id AS query_id, list_slice({tokens_sql('text')}, 1, 8) AS q FROM benchmark)"
 BM25 = f"""
 tok AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents),
@@ -148,17 +161,18 @@ def hard_split_pieces(s: SparkSession, d: str) -> DataFrame:
     return one.select("doc_id", F.col("pos").cast("long").alias("pos"), F.posexplode(X.hard_split(F.array("x"), 120, 20)).alias("part", "piece")).withColumn("part", F.col("part").cast("long"))
 
 
-@query()
+@query(f"WITH {chunks_sql(1000, 150)} SELECT doc_id, chunk_no, doc_id || '#chunk-' || chunk_no AS chunk_id, text FROM chunks")
 def chunks(s: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(t(s, d, "documents"), doc="doc_id")
 
 
-@query()
+@query(f"WITH {chunks_sql(1000, 150)} SELECT doc_id, count(*) AS chunks, max(length(text))::INT AS longest FROM chunks GROUP BY 1")
 def chunk_stats(s: SparkSession, d: str) -> DataFrame:
     return chunks(s, d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"))
 
 
-@query()
+@query(f"""WITH {chunks_sql(400, 150)}, pairs AS (SELECT doc_id, chunk_no, text, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS before FROM chunks)
+SELECT doc_id, chunk_no, max(k)::INT AS shared FROM pairs, range(0, 151) AS ks(k) WHERE before IS NOT NULL AND k <= length(text) AND left(text, k) = right(before, k) GROUP BY 1, 2""")
 def chunk_overlap_check(s: SparkSession, d: str) -> DataFrame:
     """Chunks whose beginning ends the chunk before: by how many characters of whole sentences."""
     from pyspark.sql import Window
