@@ -62,7 +62,7 @@ def presence(column: pa.Array, keep: np.ndarray | None = None, limit: int = CHUN
         yield a, b, pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train: int = 6000, key: str = "key", min_df: int = 8, ridge: float = 2.0, features: int = 3000) -> Model:
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train: int = 6000, key: str = "key", min_df: int = 8, ridge: float = 0.5, features: int = 3000) -> Model:
     """Learn from at most ``max_train`` rows with label 0 or 1, those of smallest hash of ``key``.
 
     Rows with a null label or text are left out. Without both labels the model is the share of ones.
