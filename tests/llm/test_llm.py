@@ -212,6 +212,17 @@ def test_toxicity(spark, odd):
     assert toxicity.classify(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_all_different_texts(spark):
+    passage = " ".join(f"shared{i}" for i in range(400))  # most minimum hashes lie in it
+    rows = [(i, f"{passage} {'idiot fool' if i % 2 else 'kind friend'} number {i}", i % 2) for i in range(60)]
+    rows += [(60 + i, "one text three times", int(i < 2)) for i in range(3)] + [(70 + i, "Twice", i) for i in range(2)]
+    labelled = spark.createDataFrame(rows, "key long, text string, label int")
+    scored = toxicity.score(labelled.where("key < 60"), toxicity.fit(labelled)).collect()
+    assert all((r.score > 0.5) == (r.label == 1) for r in scored)
+    got = toxicity.learnt_from(labelled.select("text", "label")).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {0: 31, 1: 32}
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
