@@ -5,9 +5,11 @@ where its largest coordinate, with its sign, names its bucket: the nearest signe
 tables has its own signs. A query probes in each table the PROBES axes nearest to it; what lies there
 is a candidate and is ranked by the exact inner product, in double precision, of the original vectors.
 
-Largest inner product is a matter of angle once norms are equal; where they differ, each vector gets
-one coordinate more, sqrt(M**2 - norm**2) for the largest norm M, and queries get a zero (the usual
-reduction), for hashing only.
+Largest inner product is a matter of angle once norms are about equal, so the vectors of a slice are
+cut into bands of norms: each band's least norm is BAND of its largest at least, and its vectors are
+hashed by their angle alone. Bands are searched in order of falling norm; a query leaves once the
+largest norm of the next band cannot reach its (k+1)-th best score. A band of at most FEW vectors is
+scored whole, as are all vectors of a slice for a query that found fewer than k + 1 of them.
 
 Vectors are dealt into slices of about SLICE by hash and queries into blocks of about BLOCK, so no
 task grows with the input or with a bucket: a hot bucket is spread over all slices. Equal vectors of a
@@ -34,6 +36,7 @@ from lodestone.llm.common import map_arrow
 
 TABLES, PROBES = 6, 24
 SLICE, BLOCK = 20_000, 2_048
+BAND, FEW = 0.8, 1_024
 MARGIN = 1e-9  # block products may differ by so much, relative to the norms, from those that rank
 
 
@@ -65,11 +68,11 @@ def axes_by_nearness(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v binary, dim, norm) of the vectors that take part; v holds doubles."""
+    """(vec_id, v binary, dim) of the vectors that take part; v holds doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, raw, dims, norms = [], [], [], []
+            ids, raw, dims = [], [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if i is None or not v.is_valid or v.values.null_count or not len(v.values):
                     continue
@@ -78,10 +81,9 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
                     ids.append(i)
                     raw.append(x.tobytes())
                     dims.append(len(x))
-                    norms.append(float(np.sqrt((x / np.abs(x).max()) ** 2 @ np.ones(len(x))) * np.abs(x).max()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64())], ["vec_id", "v", "dim", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "v", "dim"])
 
-    return map_arrow(vectors.select(F.col(vec_id).cast("long"), F.col(embedding)), run, "vec_id long, v binary, dim int, norm double")
+    return map_arrow(vectors.select(F.col(vec_id).cast("long"), F.col(embedding)), run, "vec_id long, v binary, dim int")
 
 
 def best(q: np.ndarray, v: np.ndarray, score: np.ndarray, k: int, slack: np.ndarray) -> np.ndarray:
@@ -95,7 +97,18 @@ def best(q: np.ndarray, v: np.ndarray, score: np.ndarray, k: int, slack: np.ndar
     return at[score[at] >= kth - slack[q[at]]]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, top: float, varied: bool, k: int, tables: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bands(norm: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the vectors of each band of norms, largest norms first."""
+    at = np.argsort(-norm, kind="stable")
+    falling = -norm[at]
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(falling, BAND * falling[begin], side="right")))
+        yield at[begin:end]
+        begin = end
+
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int, tables: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vec_id, score) of at least the k best candidates of each query in one slice."""
     by = np.argsort(v_ids, kind="stable")
     v_ids, v = v_ids[by], v[by]
@@ -105,34 +118,55 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndar
     place = np.arange(len(order)) - np.searchsorted(member_of[order], member_of[order])
     kept = order[place <= k]  # of equal vectors the k + 1 smallest ids: one may be the query
     begin = np.searchsorted(member_of[kept], np.arange(len(first) + 1))
-    v_norm, q_norm = np.linalg.norm(one / top, axis=1), np.linalg.norm(q, axis=1)
-    hashed_v, hashed_q = one / top, q / q_norm[:, None]
-    if varied:
-        hashed_v = np.column_stack((hashed_v, np.sqrt(np.maximum(0, 1 - v_norm**2))))
-        hashed_q = np.column_stack((hashed_q, np.zeros(len(q))))
-    slack = q_norm * top * MARGIN
+    v_size, q_size = np.abs(one).max(1), np.abs(q).max(1)
+    unit_v, unit_q = one / v_size[:, None], q / q_size[:, None]
+    v_norm, q_norm = np.linalg.norm(unit_v, axis=1), np.linalg.norm(unit_q, axis=1)
+    unit_v, unit_q = unit_v / v_norm[:, None], unit_q / q_norm[:, None]
+    v_norm, q_norm = v_norm * v_size, q_norm * q_size
+    slack = q_norm * v_norm.max() * MARGIN
     # a query's own class may hold only itself, so k + 1 classes are kept until ids are compared
     fq, fv, fs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    for table in range(tables):
-        bucket = nearest_axis(rotate(hashed_v, table))
-        probed = axes_by_nearness(rotate(hashed_q, table), probes)
-        rows = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[rows], np.arange(bucket.max() + 2))
-        asked = np.argsort(probed.ravel(), kind="stable")
-        ask_cut = np.searchsorted(probed.ravel()[asked], np.arange(bucket.max() + 2))
-        parts = [(fq, fv, fs)]
-        for b in range(int(bucket.max()) + 1):
-            vs, qs = rows[cut[b] : cut[b + 1]], asked[ask_cut[b] : ask_cut[b + 1]] // probed.shape[1]
-            if not len(vs) or not len(qs):
-                continue
-            s = q[qs] @ one[vs].T
-            n = min(k + 1, len(vs))
-            low = np.partition(s, len(vs) - n, axis=1)[:, len(vs) - n] - slack[qs]
-            i, j = np.nonzero(s >= low[:, None])
-            parts.append((qs[i], vs[j], s[i, j]))
-        fq, fv, fs = (np.concatenate(x) for x in zip(*parts, strict=True))
-        at = best(fq, fv, fs, k + 1, slack)
-        fq, fv, fs = fq[at], fv[at], fs[at]
+
+    def scored(qs: np.ndarray, vs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of all pairs of these queries and vectors, each query's k + 1 best; at most 4 * FEW vectors at once."""
+        out = []
+        for vs in np.split(vs, range(4 * FEW, len(vs), 4 * FEW)):
+            if len(vs) and len(qs):
+                s = q[qs] @ one[vs].T
+                n = min(k + 1, len(vs))
+                low = np.partition(s, len(vs) - n, axis=1)[:, len(vs) - n] - slack[qs]
+                i, j = np.nonzero(s >= low[:, None])
+                out.append((qs[i], vs[j], s[i, j]))
+        return out
+
+    def with_parts(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        iq, iv, s = (np.concatenate(x) for x in zip((fq, fv, fs), *parts, strict=True))
+        at = best(iq, iv, s, k + 1, slack)
+        return iq[at], iv[at], s[at]
+
+    for band in bands(v_norm):
+        starts = np.searchsorted(fq, np.arange(len(q) + 1))  # of each query, nearest first
+        full = np.diff(starts) > k
+        kth = np.full(len(q), -np.inf)
+        kth[full] = fs[starts[:-1][full] + k]
+        live = np.flatnonzero(q_norm * v_norm[band].max() >= kth - slack)
+        if len(band) <= FEW:
+            fq, fv, fs = with_parts(scored(live, band))
+            continue
+        for table in range(tables if len(live) else 0):
+            bucket = nearest_axis(rotate(unit_v[band], table))
+            probed = axes_by_nearness(rotate(unit_q[live], table), probes)
+            rows = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[rows], np.arange(bucket.max() + 2))
+            asked = np.argsort(probed.ravel(), kind="stable")
+            ask_cut = np.searchsorted(probed.ravel()[asked], np.arange(bucket.max() + 2))
+            parts = []
+            for b in range(int(bucket.max()) + 1):
+                parts += scored(live[asked[ask_cut[b] : ask_cut[b + 1]] // probed.shape[1]], band[rows[cut[b] : cut[b + 1]]])
+            fq, fv, fs = with_parts(parts)
+    lacking = np.flatnonzero(np.bincount(fq, minlength=len(q)) < min(k + 1, len(one)))
+    if len(lacking):
+        fq, fv, fs = with_parts(scored(lacking, np.arange(len(one))))
     exact = (q[fq] * one[fv]).sum(1)
     n = (begin[1:] - begin[:-1])[fv]
     end = np.cumsum(n)
@@ -149,19 +183,17 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndar
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query, nearest first, ties to the smaller vec_id."""
     base, asked = usable(vectors, vec_id, embedding), usable(queries, vec_id, embedding)
-    stats = {r["dim"]: r for r in base.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top"), F.min("norm").alias("low")).collect()}  # a row for each length of vector
-    slices = max(1, -(-sum(r["n"] for r in stats.values()) // SLICE))
+    slices = max(1, -(-base.count() // SLICE))
     blocks = max(1, -(-asked.count() // BLOCK))
     dealt = base.withColumn("s", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices).cast("long"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     against = asked.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks).cast("long"))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    about = {d: (r["top"], r["low"] < 0.999 * r["top"]) for d, r in stats.items()}
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if q.num_rows and v.num_rows:
             dim = q.column("dim")[0].as_py()
             rows = [(t.column("vec_id").to_numpy(), np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(-1, dim)) for t in (q, v)]
-            found.append(search_block(*rows[0], *rows[1], *about[dim], k, tables, probes))
+            found.append(search_block(*rows[0], *rows[1], k, tables, probes))
         return pa.table({n: pa.array(np.concatenate(x)) for n, x in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
     pairs = against.groupBy("dim", "s", "b").cogroup(dealt.groupBy("dim", "s", "b")).applyInArrow(run, "query_id long, vec_id long, score double")

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -286,6 +287,23 @@ def test_ann(spark):
     assert ann.search_embeddings(odd.limit(0)).count() == 0
 
 
+def test_ann_finds_largest_products_of_any_norms(spark):
+    e = pa.parquet.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = e.column("vec_id").to_numpy(), np.array(e.column("embedding").to_pylist())
+    asked = np.flatnonzero(ids % 20 == 0)
+    rng = np.random.default_rng(5)
+    at = np.arange(len(x))
+    for norms in (np.where(at == 777, 5, 1), np.where(at < 1200, 5, 1), rng.uniform(0.5, 1.5, len(x)), rng.lognormal(0, 0.5, len(x))):
+        v = x * norms[:, None]
+        s = v[asked] @ v.T
+        s[np.arange(len(asked)), asked] = -np.inf
+        truth = {(ids[a], ids[j]) for a, row in zip(asked, s) for j in np.lexsort((ids, -row))[:20]}
+        table = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": v.tolist()}))
+        got = ann.search(table, table.where("vec_id % 20 = 0")).collect()
+        assert len(got) == 20 * len(asked)
+        assert len(truth & {(r.query_id, r.vec_id) for r in got}) >= 0.95 * len(truth)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
