@@ -33,7 +33,7 @@ SHARE = 0.8
 
 # Base phrases and their labels.
 PHRASES = {
-    "general public license": "gpl",
+    "gnu general public license": "gpl",
     "apache license": "apache",
     "cc by": "cc-by",
     "mit license": "mit",

@@ -348,6 +348,20 @@ def test_license(spark, odd):
     assert license_scan.scan_documents(odd.limit(0)).count() == 0
 
 
+def test_license_base_places_against_brute_force(spark):
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    rng = random.Random(6)
+    parts = [*phrases, *" ".join(phrases).split(), "GNU General Public License", "lesser general public license", "affero general public license", "cc-by", "x", "é"]
+    texts = [rng.choice(" .\n").join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += ["a gnu general public license", "lesser general public license", "affero general public license", None, ""]
+    got = {r.doc_id: r for r in license_scan.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at = sorted((j, label) for p, label in phrases.items() for j in range(len(w)) if w[j : j + len(p.split())] == p.split())
+        want = (len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({label for _, label in at})))
+        assert (got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want
+
+
 def test_pipeline(spark, tmp_path):
     docs = table(spark, "documents")
     seen = docs
