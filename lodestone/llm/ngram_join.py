@@ -15,8 +15,10 @@ A link of a and b needs |a & b| >= ceil(3/4 |a|), so under any global order of a
 Texts with equal sets are one class (64-bit hash of the set; two of n different classes fall
 together with a chance below n**2 / 2**65). Classes, not documents, are compared, so a group of
 copies costs one row each. A candidate pair's sizes, counts of shared tokens and 512-bit parity sketches
-must allow the similarity before its sets are fetched; every candidate is verified on the whole sets. Pairs inside a component
-that is connected already are not verified: they cannot change a component.
+must allow the similarity before its sets are fetched; every candidate is verified on the whole sets. For components, pairs inside
+one that is connected already are not verified: they cannot change it. ``every_link`` leaves none out: under order C
+each class is then a component of its own, so all pairs that share a token of their prefixes are candidates, and hot
+tokens are dealt over many tasks.
 
 Defined results: null and empty texts (no words) have no shingles, are linked with nothing and are
 their own component; fewer than five words are one shingle; rows repeated or with equal text are one
@@ -41,6 +43,7 @@ EXTRA = 20  # order H: prefixes are longer by a part of 1 / EXTRA of the set
 FILTER_BITS = 26
 SKETCH = 512
 LOOK_BACK = 8
+HOT = 1_000  # classes of one token that a task pairs with the others, when every link is wanted
 ORDER_A, ORDER_B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -337,20 +340,62 @@ def across(sets: DataFrame, comp: DataFrame, parts: int) -> DataFrame:
     return met.groupBy("part").applyInArrow(prefixes, "tok long, cls long, comp long, n long, k long, last array<long>")
 
 
+def candidates(prefix: DataFrame, spread: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a token in ``prefix`` and whose sizes, counts and sketches allow a link."""
+    differ = " + ".join(f"bit_count(p.sketch[{i}] ^ q.sketch[{i}])" for i in range(SKETCH // 64))
+    p, q, same = prefix, prefix, "p.tok = q.tok"
+    if spread:
+        hot = prefix.groupBy("tok").agg(((F.count("*") - 1) / HOT).cast("int").alias("salts")).where("salts > 0")
+        salted = prefix.join(hot, "tok", "left").withColumn("salts", F.coalesce("salts", F.lit(0)))
+        p = salted.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts") + 1).cast("int"))
+        q, same = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), "salts"))), "p.tok = q.tok AND p.salt = q.salt"
+    on = F.expr(f"{same} AND p.cls < q.cls AND p.comp <> q.comp AND 4 * p.n >= 3 * q.n AND 4 * q.n >= 3 * p.n AND 7 * least(p.k, q.k) >= 3 * (p.n + q.n) AND 7 * ({differ}) <= p.n + q.n AND NOT arrays_overlap(p.last, q.last)")
+    return p.alias("p").join(q.alias("q"), on).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
+
+
+def chosen(ws: Workspace, docs: DataFrame, doc_id: str, text: str, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, alive, sets): a row for each document, the classes that may have a partner, and their sets."""
+    seen = ws.save(shared_in_prefix(profile(docs, doc_id, text, parts)), "profile")
+    members = seen.where("hits IS NULL").select("doc_id", "th", "cls", "n")
+    need = F.expr(f"((3 * n + 3) div 4) div {EXTRA} + 1")
+    one = members.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"))
+    alive = ws.save(seen.where("hits IS NOT NULL").groupBy("cls").agg(F.sum("hits").alias("hits")).join(one, "cls").where(F.col("hits") >= need).select("cls", "one.doc_id", "one.th", (F.col("hits") / F.col("n")).alias("central")), "alive")
+    return members, alive, ws.save(sets_of(docs, doc_id, text, alive), "sets")
+
+
+def every_link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (doc_id, th, cls, n) with a row for each document; links (a, b), a < b, all linked pairs of classes, once.
+
+    A group of n near copies has up to n * (n - 1) / 2 links, and each is verified.
+    """
+    ws = Workspace(docs.sparkSession, "ngram-links")
+    parts = parallelism(docs)
+    members, _, sets = chosen(ws, docs, doc_id, text, parts)
+    alone = sets.select(F.col("cls").alias("node"), F.col("cls").alias("comp")).distinct()
+    sets = ws.save(sets.dropDuplicates(["cls"]), "sets-once")
+    prefix = ws.save(across(sets, alone, parts).join(sets.select("cls", "sketch"), "cls"), "prefixes")
+    return members, ws.save(verified(ws.save(candidates(prefix, spread=True), "candidates"), sets), "links")
+
+
+def count_links(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, n_copies (other rows of the same set), n_links (rows of other sets with a similarity of 3/4 or more)."""
+    members, links = every_link(docs)
+    sizes = members.where("n > 0").groupBy("cls").agg(F.count("*").alias("size"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked_to = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("n_links"))
+    per = sizes.join(linked_to, "cls", "left")
+    return members.join(per, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.col("size") - 1, F.lit(0)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, links): members (doc_id, th, cls, n, component) with a row for each document; links (a, b) verified pairs of classes.
 
     th is xxhash64 of the text; component is the smallest class reachable, 0 for empty sets.
-    The links connect each component; links inside one that others connect already are not all listed.
+    The links connect each component; of links inside one that others connect already ``every_link`` has all.
     """
     ws = Workspace(docs.sparkSession, "ngram-join")
     parts = parallelism(docs)
-    seen = ws.save(shared_in_prefix(profile(docs, doc_id, text, parts)), "profile")
-    members = seen.where("hits IS NULL").select("doc_id", "th", "cls", "n")
-    need = F.expr(f"((3 * n + 3) div 4) div {EXTRA} + 1")
-    one = members.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"))
-    alive = ws.save(seen.where("hits IS NOT NULL").groupBy("cls").agg(F.sum("hits").alias("hits")).join(one, "cls").where(F.col("hits") >= need).select("cls", "one.doc_id", "one.th", (F.col("hits") / F.col("n")).alias("central")), "alive")
-    sets = ws.save(sets_of(docs, doc_id, text, alive), "sets")
+    members, alive, sets = chosen(ws, docs, doc_id, text, parts)
 
     # a star's middle is the class with the largest part of shared tokens: of edited copies the least edited
     tokens = ws.save(first_tokens(sets).join(alive.select("cls", "central"), "cls"), "first")
@@ -360,10 +405,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     comp = ws.save(components(ws, links, "cc"), "components")
 
     prefix = ws.save(across(sets, comp, parts).join(sets.select("cls", "sketch"), "cls"), "prefixes")
-    differ = " + ".join(f"bit_count(p.sketch[{i}] ^ q.sketch[{i}])" for i in range(SKETCH // 64))
-    p, q = prefix.alias("p"), prefix.alias("q")
-    pairs = p.join(q, F.expr(f"p.tok = q.tok AND p.cls < q.cls AND p.comp <> q.comp AND 4 * p.n >= 3 * q.n AND 4 * q.n >= 3 * p.n AND 7 * least(p.k, q.k) >= 3 * (p.n + q.n) AND 7 * ({differ}) <= p.n + q.n AND NOT arrays_overlap(p.last, q.last)")).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct()
-    more = ws.save(verified(pairs, sets), "more")
+    more = ws.save(verified(candidates(prefix), sets), "more")
     if not more.isEmpty():
         links = links.unionByName(more)
         comp = ws.save(components(ws, links, "cc-all"), "components-all")

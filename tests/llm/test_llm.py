@@ -104,6 +104,33 @@ def test_ngram_join_sql(spark, odd, tmp_path):
         assert Counter(want) == Counter(map(tuple, ngram_join.join_documents(spark.read.parquet(path)).collect()))
 
 
+def test_every_link_against_brute_force(spark, odd, monkeypatch):
+    rng = random.Random(8)
+    base = [str(rng.random()) for _ in range(120)]
+    texts = []
+    for i in range(120):  # near copies, all close to one another, some of them twice
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = str(rng.random())
+        texts += [" ".join(w)] * rng.randint(1, 2)
+    dense = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for docs, hot in ((odd, 1000), (dense, 1000), (dense, 7), (table(spark, "documents"), 1000)):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        rows = docs.collect()
+        sets = [shingles(r.text) for r in rows]
+        copies, links = [0] * len(rows), [0] * len(rows)
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            inter = len(sets[a] & sets[b])
+            if inter and 100 * inter >= 75 * len(sets[a] | sets[b]):
+                for i in (a, b):
+                    copies[i] += sets[a] == sets[b]
+                    links[i] += sets[a] != sets[b]
+        want = Counter((r.doc_id, len(s), c, n) for r, s, c, n in zip(rows, sets, copies, links))
+        assert Counter(map(tuple, ngram_join.count_links(docs).collect())) == want
+        different = len({frozenset((frozenset(sets[a]), frozenset(sets[b]))) for a, b in itertools.combinations(range(len(rows)), 2) if sets[a] != sets[b] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])})
+        assert ngram_join.every_link(docs)[1].count() == different
+
+
 def test_keep_one(spark, odd):
     got = ngram_join.keep_one(odd)
     assert got.columns == odd.columns
