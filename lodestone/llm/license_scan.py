@@ -5,7 +5,9 @@ votes for the diagonal, place in the text minus place in the template, and votes
 each text, template and diagonal. Diagonals of one template that are at most SLIP apart and touch are
 merged (an inserted or lost word moves the rest by one), and each merged span is verified on the words:
 at least half of the template's grams must have voted, and the longest common subsequence of span and
-template must hold SHARE of the template. A hash that is in
+template must hold SHARE of the template. The numbers of a template, its version, tell it from others
+and must stand where the votes place them, after the same word ("version 3"; "v 3" and "v3" will do, and
+"2" for "2 0"). A hash that is in
 no template joins nothing, so the scan of a text passes on only those in some template; the templates
 are constants, a few hundred positions, and are broadcast.
 
@@ -120,6 +122,27 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int(best[-1])
 
 
+def same_versions(t: np.ndarray, w: np.ndarray, low: int, high: int) -> bool:
+    """Whether each run of digits in template t stands in text w too, within SLIP of the diagonals from low to high."""
+    digits, joined, v = hashes("0 1 2 3 4 5 6 7 8 9"), hashes("v0 v1 v2 v3 v4 v5 v6 v7 v8 v9"), hashes("v")[0]
+    own = np.isin(t, digits)
+
+    def follows(j: int, run: np.ndarray) -> bool:
+        if np.array_equal(w[j : j + len(run)], run):
+            return True
+        while len(run) and run[-1] == digits[0]:
+            run = run[:-1]
+        return np.array_equal(w[j : j + len(run)], run) and not np.isin(w[j + len(run) : j + len(run) + 1], digits).any()
+
+    for i in np.flatnonzero(own[1:] & ~own[:-1]) + 1:
+        run = t[i : i + int(np.append(own[i:], False).argmin())]
+        near = range(max(0, i - 1 + low - SLIP), min(len(w), i + high + SLIP))
+        one_word = joined[digits == run[0]][0]
+        if not any(follows(j + 1, run) if w[j] in (t[i - 1], v) else w[j] == one_word and follows(j + 1, run[1:]) for j in near):
+            return False
+    return True
+
+
 def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows as ``scan``; spans (doc_id, th, label, begin, end, share) that are verified, places in words."""
     spark = docs.sparkSession
@@ -133,21 +156,21 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrase
     order = Window.partitionBy("doc_id", "th", "template").orderBy("begin", "diagonal")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > SLIP) | (F.col("begin") > F.max("end").over(before) + SLIP)
-    merged = votes.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("span", F.sum("new").over(order)).groupBy("doc_id", "th", "template", "span").agg(F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"))
+    merged = votes.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("span", F.sum("new").over(order)).groupBy("doc_id", "th", "template", "span").agg(F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
     words = rows.where("words IS NOT NULL").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.first("words").alias("words"))
-    spans = merged.join(words, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "template", "begin", "end", "words", "votes")
+    spans = merged.join(words, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "template", "begin", "end", "words", "votes", "low", "high")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, h, i, begin, end, raw, n in zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True):
+            for d, h, i, begin, end, raw, n, low, high in zip(*(batch.column(j).to_pylist() for j in range(9)), strict=True):
                 _, label, t = sized[i]
                 if 2 * n < len(t) - K + 1:
                     continue
                 w = np.frombuffer(raw, np.uint64)
                 begin, end = max(0, begin - len(t)), min(len(w), end + len(t))  # grams lost at the edges
                 share = common(t, w[begin:end]) / len(t)
-                if share >= SHARE:
+                if share >= SHARE and same_versions(t, w, low, high):
                     out.append((d, h, label, begin, end, share))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["doc_id", "th", "label", "begin", "end", "share"])

@@ -375,6 +375,27 @@ def test_license(spark, odd):
     assert license_scan.scan_documents(odd.limit(0)).count() == 0
 
 
+def test_license_versions(spark):
+    gpl = dict(license_scan.TEMPLATES[1:3])
+    cases = [
+        ("this work is licensed under the gnu general public license version 2", "gpl"),
+        ("this work is licensed under the gnu general public license version 3", "gpl,gpl-3.0"),
+        ("this work is licensed under the GNU General Public License v3.", "gpl,gpl-3.0"),
+        ("this work is licensed under the gnu general public license", "gpl"),
+        ("licensed under the apache license version 1 0", "apache"),
+        ("licensed under the Apache License, Version 1.0, not as that program, version 2.0", "apache"),
+        ("licensed under the Apache License, Version 2", "apache,apache-2.0"),
+        ("9 8 7 licensed under the Apache License, Version 2.0. 2024", "apache,apache-2.0"),
+        ("licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"),
+        (gpl["gpl-3.0"], "gpl,gpl-3.0"),
+        (gpl["gpl-2.0"], "gpl,gpl-2.0"),
+        (gpl["gpl-3.0"] + " x " + gpl["gpl-2.0"], "gpl,gpl-2.0,gpl-3.0"),
+        ("Permission " + license_scan.TEMPLATES[9][1], "mit-notice"),
+    ]
+    got = {r.doc_id: r.labels for r in license_scan.scan_documents(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert got == {i: labels for i, (_, labels) in enumerate(cases)}
+
+
 def test_license_base_places_against_brute_force(spark):
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
     rng = random.Random(6)
