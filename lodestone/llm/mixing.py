@@ -9,7 +9,8 @@ source is many blocks); what each block leaves goes to a block of the next level
 tree, one shuffle of one row a block for each level.
 
 Defined results: null text has size 0; documents of size 0 are never taken; a null source is a
-source, last in order; rows that repeat doc_id, source and text form one unit, taken alike; the draws
+source, last in order; rows that repeat doc_id, source and text form one unit, of whose wanted mass whole
+rows get their extra copy and only one row keeps a fraction; the draws
 are hashes of the documents, so reruns agree. An empty table gives an empty result.
 """
 
@@ -77,17 +78,22 @@ def meeting() -> str:
 
 
 def decide(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, source, size, source_size, target, m, copies) of each unit: m equal rows, each taken ``copies`` times."""
+    """(doc_id, th, source, size, source_size, target, m, copies) of each unit: m equal rows, each taken ``copies`` times.
+
+    A unit of several rows may have a row here for ``copies`` and one for a copy more; their m add up to its rows.
+    """
     ws = Workspace(docs.sparkSession, "mixing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("th"), word_count(F.col("text")).alias("size"))
     units = ws.save(rows.groupBy("doc_id", "source", "th", "size").agg(F.count("*").alias("m")), "units")
     goal = ws.save(targets(units.select("source", (F.col("size") * F.col("m")).alias("size"))).join(units.groupBy("source").agg(F.count("*").alias("units")).withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s"), "targets")
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     wanted = units.join(goal.withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s").withColumn("f", f).withColumn("base", F.floor("f")).withColumn("p", F.col("f") - F.col("base")).withColumn("h", F.xxhash64("doc_id", "th"))
-    whole = (F.col("p") == 0) | (F.col("size") == 0)
+    # of m equal rows the first ``more`` get a copy more, one keeps the fraction that is left, and the others get none
+    wanted = wanted.withColumn("more", F.least(F.floor(F.col("m") * F.col("p")), "m")).withColumn("p", F.col("m") * F.col("p") - F.col("more"))
     out = ["doc_id", "th", "source", "size", "source_size", "target", "m", "copies"]
-    parts = [wanted.where(whole).select(*out[:-1], F.col("base").alias("copies"))]
-    level = wanted.where(~whole).select("source", "source_size", "target", F.expr(f"pmod(xxhash64(doc_id, th, 5), units div {BLOCK} + 1)").alias("block"), F.struct("h", "doc_id", "th", "size", "m", "base", "p").alias("unit"))
+    alike = F.when(F.col("size") == 0, F.expr("array(struct(m, 0L AS copies))")).otherwise(F.expr("array(struct(more AS m, base + 1 AS copies), struct(m - more - IF(p > 0, 1L, 0L) AS m, base AS copies))"))
+    parts = [wanted.withColumn("alike", F.explode(alike)).where("alike.m > 0").select(*out[:-2], "alike.m", "alike.copies")]
+    level = wanted.where("p > 0 AND size > 0").withColumn("m", F.lit(1).cast("long")).select("source", "source_size", "target", F.expr(f"pmod(xxhash64(doc_id, th, 5), units div {BLOCK} + 1)").alias("block"), F.struct("h", "doc_id", "th", "size", "m", "base", "p").alias("unit"))
     blocks = (goal.agg(F.max("units")).first()[0] or 0) // BLOCK + 1
     step = 0
     while True:
@@ -115,6 +121,17 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def take(docs: DataFrame) -> DataFrame:
     """The mix: ``docs`` with each row as often as it is taken. Texts stream past the narrow side of the join, unsorted."""
     ws = Workspace(docs.sparkSession, "mixing-take")
-    taken = ws.save(decide(docs).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("source").alias("__s"), F.col("copies").alias("__copies")), "copies")
+    unit = [F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("source").alias("__s")]
+    taken = ws.save(decide(docs).groupBy(*unit).agg(F.min("copies").alias("__low"), F.max("copies").alias("__copies"), F.sum("m").alias("__rows"), F.sum(F.col("m") * F.col("copies")).alias("__all")).where("__copies > 0"), "copies")
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s"))
-    return docs.join(taken.hint("shuffle_hash"), same).select(*[F.col(f"`{c}`") for c in docs.columns], F.expr("explode(sequence(1L, __copies))").alias("__copy")).drop("__copy")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(taken.where("__low = __copies").hint("shuffle_hash"), same).select(*columns, F.expr("explode(sequence(1L, __copies))").alias("__copy")).drop("__copy")
+    uneven = taken.where("__low < __copies")
+    if not uneven.isEmpty():  # such units only: their rows are counted, as they may differ in other columns, and the first get the copy more
+        about = ["__d", "__h", "__s", "__low", "__rows", "__all"]
+        some = docs.join(uneven, same).groupBy(*columns, *about).agg(F.count("*").alias("__n"))
+        before = F.coalesce(F.sum("__n").over(Window.partitionBy("__d", "__h", "__s").orderBy(F.xxhash64(*columns)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        some = some.withColumn("__first", before).withColumn("__more", F.expr("__all - __low * __rows"))
+        times = some.withColumn("__copies", F.expr("__n * __low + least(__first + __n, __more) - least(__first, __more)")).where("__copies > 0")
+        out = out.unionByName(times.select(*columns, F.expr("explode(sequence(1L, __copies))").alias("__copy")).drop("__copy"))
+    return out

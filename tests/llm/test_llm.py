@@ -167,6 +167,30 @@ def test_mixing(spark, odd):
     assert mixing.take(odd).columns == odd.columns
 
 
+def test_mixing_of_repeated_rows(spark):
+    rows = [(1, "ten words " * 5, "c", f"x{i % 7}") for i in range(300)] + [(2 + i, f"w{i} and", "c", "en") for i in range(30)] + [(100 + i, "more " * 9, "b", "en") for i in range(50)]
+    rows += [(200 + i, "much " * 40, "a", "en") for i in range(200)] + [(500 + i, t, s, "en") for i, (t, s) in enumerate(itertools.product(("", None, " "), "abc"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    decided = mixing.decide(docs).collect()
+    for s in "abc":
+        own = [r for r in decided if r.source == s]
+        assert abs(sum(r["size"] * r.m * r.copies for r in own) - own[0].target) <= max(r["size"] for r in own)
+    assert sum(r.m for r in decided) == len(rows) and all(r.copies == 0 for r in decided if r["size"] == 0)
+    assert len({r.copies for r in decided if r.doc_id == 1}) == 2
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns
+    got = Counter(map(tuple, taken.collect()))
+    want, times = Counter(), Counter(rows)
+    for r in decided:
+        want[r.doc_id] += r.m * r.copies
+    said = Counter()
+    for row, n in got.items():
+        said[row[0]] += n
+    assert said == +want
+    less = min(r.copies for r in decided if r.doc_id == 1)
+    assert all(less * n <= got[row] <= (less + 1) * n for row, n in times.items() if row[0] == 1)
+
+
 def test_rounding_is_unbiased(spark):
     docs = spark.createDataFrame([(i, f"w{i} x", "a" if i < 900 else "b") for i in range(1000)], "doc_id long, text string, source string")
     rows = mixing.mix_documents(docs).collect()
