@@ -2,8 +2,9 @@
 
 All rolling K-word hashes of a text are joined to the template positions that have them; each pair
 votes for the diagonal, place in the text minus place in the template, and votes are added up for
-each text, template and diagonal. Diagonals of one template that are at most SLIP apart and touch are
-merged (an inserted or lost word moves the rest by one), and each merged span is verified on the words:
+each text, template and diagonal. Diagonals of one template whose values follow one another by at most SLIP are
+neighbours (an inserted or lost word moves the rest by one); of neighbours those whose places lie at most
+GAP words apart are merged, so a stray vote of a phrase that stands twice in a template does not part a notice, and each merged span is verified on the words:
 at least half of the template's grams must have voted, and the longest common subsequence of span and
 template must hold SHARE of the template. The numbers of a template, its version, tell it from others
 and must stand where the votes place them, after the same word ("version 3"; "v 3" and "v3" will do, and
@@ -27,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, NOT_ALNUM, Workspace, chunks, grams, map_arrow, powers, word_hashes, word_spans
+from lodestone.llm.common import LOWER, NOT_ALNUM, Workspace, chunks, grams, map_arrow, word_hashes, word_spans
 
 K = 4
 SLIP = 3
+GAP = 12  # words between two votes of one notice
 SHARE = 0.8
 
 # Base phrases and their labels.
@@ -55,7 +57,14 @@ TEMPLATES = [
     ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mit-notice", "released under the mit license"),
     ("mit-notice", "licensed under the mit license"),
+    ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
 ]
 
 
@@ -67,7 +76,6 @@ def hashes(text: str) -> np.ndarray:
 
 def scan(docs: DataFrame, doc_id: str, text: str, phrases: dict[str, str], templates: list[tuple[str, str]]) -> DataFrame:
     """Per row: doc_id, th, counts of words and base places, and where template grams stand (with the words, only then)."""
-    powers(1)
     base = [(hashes(p), label) for p, label in phrases.items()]
     wanted = np.unique(np.concatenate([grams(hashes(t), K) for _, t in templates]))
 
@@ -152,11 +160,11 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrase
     positions = spark.createDataFrame([(i, p, int(g)) for i, _, h in sized for p, g in enumerate(grams(h, K).view(np.int64))], "template int, at long, gram long")
     hits = rows.where("words IS NOT NULL").select("doc_id", "th", F.explode(F.arrays_zip("gram", "pos")).alias("x")).select("doc_id", "th", "x.gram", "x.pos").distinct()
     votes = hits.join(F.broadcast(positions), "gram").groupBy("doc_id", "th", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("begin"), (F.max("pos") + K).alias("end"))
-    # neighbouring diagonals in order of place: a new span begins where they part, or are apart in the text
-    order = Window.partitionBy("doc_id", "th", "template").orderBy("begin", "diagonal")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > SLIP) | (F.col("begin") > F.max("end").over(before) + SLIP)
-    merged = votes.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("span", F.sum("new").over(order)).groupBy("doc_id", "th", "template", "span").agg(F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+    by_value = Window.partitionBy("doc_id", "th", "template").orderBy("diagonal")
+    votes = votes.withColumn("group", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(by_value) > SLIP, 1).otherwise(0)).over(by_value))
+    by_place = Window.partitionBy("doc_id", "th", "template", "group").orderBy("begin", "diagonal")
+    apart = F.col("begin") > F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1)) + GAP
+    merged = votes.withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(by_place)).groupBy("doc_id", "th", "template", "group", "span").agg(F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
     words = rows.where("words IS NOT NULL").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.first("words").alias("words"))
     spans = merged.join(words, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "template", "begin", "end", "words", "votes", "low", "high")
 
