@@ -7,7 +7,9 @@ them. Score: the statistics are Spark expressions, and so are the rules, ``CASE
 summed and squashed: the scan of the corpus stays in the JVM and has no shuffle.
 
 Defined results: null and empty texts have statistics of 0 and get the score of those; rows with null
-labels or texts teach nothing; without both labels the score is the share of ones; repeated rows are
+labels or texts teach nothing, and ties in the hash that bounds the sample go by label and statistics; of labels
+repeated for a document the largest counts; an input column named as the score is replaced, all others stay
+whatever their names; empty tables give empty tables; without both labels the score is the share of ones; repeated rows are
 scored each; a null doc_id is not held out.
 """
 
@@ -33,24 +35,34 @@ def without(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` with one column for each statistic, and their names. Texts are split once into words and once into lines."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    step = docs.withColumn("__t", t).withColumn("__w", F.split("__t", r"[\x20\x09-\x0D]+", -1)).withColumn("__l", F.split("__t", "\n", -1)).withColumn("__n", word_count(F.col("__t")))
-    n, chars = F.greatest("__n", F.lit(1)).cast("double"), F.greatest(F.length("__t"), F.lit(1)).cast("double")
-    stats = {
-        "q_words": F.log1p(F.col("__n").cast("double")),
-        "q_word_length": F.length("__t") / n,
-        "q_upper": without(F.col("__t"), UPPER) / chars,
-        "q_digits": without(F.col("__t"), "0123456789") / chars,
-        "q_marks": without(F.col("__t"), MARKS) / chars,
-        "q_stops": without(F.col("__t"), ".,;:?") / n,
-        "q_distinct_words": F.size(F.array_distinct("__w")) / n,
-        "q_lines": F.size("__l") / n,
-        "q_distinct_lines": F.size(F.array_distinct("__l")) / F.size("__l").cast("double"),
-    }
-    out = step.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.coalesce(v, F.lit(0.0)).cast("double").alias(k) for k, v in stats.items()])
-    return out, list(stats)
+STATISTICS = ("words", "word_length", "upper", "digits", "marks", "stops", "distinct_words", "lines", "distinct_lines")
+
+
+def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with a column for each of STATISTICS, and the prefix of their names, which no other column's name has.
+
+    Texts are split once into words and once into lines.
+    """
+    prefix = "__q"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "q"
+    own = {x: f"{prefix}_{x}" for x in ("text", "parts", "rows", "n")}
+    t, w, rows, count = (F.col(own[x]) for x in own)
+    step = docs.withColumn(own["text"], F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn(own["parts"], F.split(t, r"[\x20\x09-\x0D]+", -1)).withColumn(own["rows"], F.split(t, "\n", -1)).withColumn(own["n"], word_count(t))
+    n, chars = F.greatest(count, F.lit(1)).cast("double"), F.greatest(F.length(t), F.lit(1)).cast("double")
+    stats = (
+        F.log1p(count.cast("double")),
+        F.length(t) / n,
+        without(t, UPPER) / chars,
+        without(t, "0123456789") / chars,
+        without(t, MARKS) / chars,
+        without(t, ".,;:?") / n,
+        F.size(F.array_distinct(w)) / n,
+        F.size(rows) / n,
+        F.size(F.array_distinct(rows)) / F.size(rows).cast("double"),
+    )
+    values = [F.coalesce(v, F.lit(0.0)).cast("double").alias(f"{prefix}_{k}") for k, v in zip(STATISTICS, stats, strict=True)]
+    return step.select(*[F.col(f"`{c}`") for c in docs.columns], *values), prefix
 
 
 @dataclass
@@ -125,7 +137,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train
     cut = rows.select(F.xxhash64(key).alias("h")).orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
     if cut is None:
         return Model([], [], 0.0)
-    table, names = with_statistics(rows.where(F.xxhash64(key) <= cut), text)
+    table, prefix = with_statistics(rows.where(F.xxhash64(key) <= cut), text)
+    names = list(STATISTICS)
+    table = table.select(key, label, *[F.col(f"{prefix}_{n}").alias(n) for n in names])
     got = table.select(F.xxhash64(key).alias("h"), label, *names).orderBy("h", label, *names).limit(max_train).toArrow()
     y = got.column(label).to_numpy().astype(float)
     x = np.column_stack([got.column(n).to_numpy() for n in names])
@@ -149,21 +163,21 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train
     return Model([every[i] for i in kept], [float(w[i] / spread[i]) for i in kept], bias - float((w * mean / spread).sum()))
 
 
-def probability(model: Model) -> Column:
+def probability(model: Model, prefix: str) -> Column:
     """The ensemble as an expression over the statistics."""
     z = F.lit(model.bias)
     for rule, weight in zip(model.rules, model.weights, strict=True):
         test = F.lit(True)
         for name, above, bound in rule:
-            test = test & (F.col(name) > bound if above else F.col(name) <= bound)
+            test = test & (F.col(f"{prefix}_{name}") > bound if above else F.col(f"{prefix}_{name}") <= bound)
         z = z + F.when(test, weight).otherwise(0.0)
     return 1 / (1 + F.exp(-z))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with ``out``, the probability of label 1. An input column of that name is replaced."""
-    table, names = with_statistics(docs.drop(out), text)
-    return table.withColumn(out, probability(model)).drop(*names)
+    table, prefix = with_statistics(docs.drop(out), text)
+    return table.withColumn(out, probability(model, prefix)).drop(*[f"{prefix}_{n}" for n in STATISTICS])
 
 
 def classify_documents(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> DataFrame:
