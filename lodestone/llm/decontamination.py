@@ -12,9 +12,9 @@ whole batches); then the sum of the block maxima bounds each block; only items o
 threshold are scored. Whatever reaches the threshold is verified: the passage must hold enough of
 the word pairs of the question and of those of the answer.
 
-Items come to the driver in groups of at most about GROUP_ITEMS and GROUP_CHARS, a bound on each
-broadcast; a larger benchmark makes more passes over the documents (a stated query set against all
-rows, in blocks). Document frequencies and lengths are of all items.
+Items come to the driver in groups of at most about GROUP_ITEMS and GROUP_CHARS, one after another, a bound on
+each broadcast and on the driver; a larger benchmark makes more passes over the documents (a stated query set against all
+rows, in blocks), whose findings are saved. Document frequencies and lengths are of all items.
 
 Defined results: items without words are ignored; an item's question is what stands before the last
 "?" or "Answer:" in it, else the first half of its words; an item with a null id has leaks with a null
@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, MULT, NOT_ALNUM, chunks, grams, map_arrow, powers, word_hashes, word_spans
+from lodestone.llm.common import LOWER, NOT_ALNUM, Workspace, chunks, grams, map_arrow, word_hashes, word_spans
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of an item's own score
@@ -145,9 +145,8 @@ def share(part: np.ndarray, passage_pairs: np.ndarray, passage_words: np.ndarray
     return float(np.isin(part, passage_words if lone else passage_pairs).mean()) if len(part) else 1.0
 
 
-def build(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Index]:
-    """An index for each group of items; the groups are hashes of the text, so repeated items may share one."""
-    powers(1)
+def grouped(ws: Workspace, items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, int, int, float]:
+    """(table, groups, n, mean length): the items (item_id, text, terms, group), saved; the groups are hashes of the text."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,17 +162,10 @@ def build(items: DataFrame, item_id: str = "item_id", text: str = "text") -> lis
     tf = map_arrow(base.select("key", "text"), terms, "key long, h long, tf long")
     df = tf.groupBy("h").agg(F.count("*").alias("df"))
     per = tf.join(df, "h").groupBy("key").agg(F.collect_list(F.struct("h", "tf", "df")).alias("terms"), F.sum("tf").alias("dl"))
-    full = base.join(per, "key")
+    full = ws.save(base.join(per, "key"), "items")
     n, avgdl, chars = full.agg(F.count("*"), F.avg("dl"), F.sum(F.length("text"))).first()
-    if not n:
-        return []
-    groups = max(-(-n // GROUP_ITEMS), -(-chars // GROUP_CHARS))
-    out = []
-    for g in range(groups):
-        rows = full.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(groups)) == g).select("item_id", "text", "terms").collect()
-        if rows:
-            out.append(Index([(r[0], r[1], [tuple(t) for t in r[2]]) for r in rows], n, avgdl))
-    return out
+    groups = max(-(-n // GROUP_ITEMS), -(-(chars or 0) // GROUP_CHARS))
+    return full.withColumn("group", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, groups)))), groups, n, avgdl or 0.0
 
 
 def passages(index: Index, words: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, list[tuple[int, float]]]]:
@@ -241,31 +233,43 @@ def leaks_of(index: Index, column: pa.Array, threshold: float, overlap: float) -
     return out
 
 
-def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """``docs`` with an array ``__leaks`` of (item_id, score, question, answer): empty where the text is clean. No shuffle."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", `__leaks` array<struct<item_id:long,score:double,question:double,answer:double>>"
-    names, at = docs.columns, docs.columns.index(text)
-    out = docs.withColumn("__leaks", F.expr("CAST(array() AS array<struct<item_id:long,score:double,question:double,answer:double>>)"))
-    for index in build(items):
-        shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """(doc_id, th, item_id, score, question, answer): a row for each document and item found in it; th is xxhash64 of the text.
+
+    The index of one group of items at a time is built, sent and used, and what it finds is saved; no shuffle of texts.
+    """
+    spark = docs.sparkSession
+    ws = Workspace(spark, "leaks")
+    table, groups, n, avgdl = grouped(ws, items)
+    given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("th"), F.col(f"`{text}`").alias("text"))
+    schema = "doc_id long, th long, item_id long, score double, question double, answer double"
+    out = spark.createDataFrame([], schema)
+    for g in range(groups):
+        rows = table.where(F.col("group") == g).select("item_id", "text", "terms").collect()
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(Index([(r[0], r[1], [tuple(t) for t in r[2]]) for r in rows], n, avgdl)))
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             own = pickle.loads(shared.value)
             for batch in batches:
-                new = leaks_of(own, batch.column(at), threshold, overlap)
-                old = batch.column(len(names))
-                both = [list(x) + (y or []) for x, y in zip(old.to_pylist(), new, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(both, pa.list_(LEAK))], [*names, "__leaks"])
-
-        out = map_arrow(out, run, schema)
+                found = leaks_of(own, batch.column(2), threshold, overlap)
+                at = pa.array([i for i, x in enumerate(found) for _ in x or []], pa.int64())
+                told = pa.array([x for y in found for x in y or []], LEAK)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *told.flatten()], ["doc_id", "th", "item_id", "score", "question", "answer"])
+
+        out = out.unionByName(ws.save(map_arrow(given, run, schema), f"found-{g}"))
+        shared.destroy()
+    ws.drop("items")
     return out
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each document and item found in it: doc_id, item_id, score, question, answer (shares of word pairs)."""
-    return with_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items).select("doc_id", F.explode("__leaks").alias("x")).select("doc_id", "x.*")
+    return leaks(docs, items).drop("th")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item."""
-    return with_leaks(docs, items).where(F.size("__leaks") == 0).drop("__leaks")
+    """``docs`` without the documents that hold an item. Spark broadcasts what was found only where its saved size is small."""
+    found = leaks(docs, items).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left_anti")
