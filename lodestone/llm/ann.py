@@ -11,8 +11,10 @@ hashed by their angle alone. Bands are searched in order of falling norm; a quer
 largest norm of the next band cannot reach its (k+1)-th best score. A band of at most FEW vectors is
 scored whole, as are all vectors of a slice for a query that found fewer than k + 1 of them.
 
-Vectors are dealt into slices of about SLICE by hash and queries into blocks of about BLOCK, so no
-task grows with the input or with a bucket: a hot bucket is spread over all slices. Equal vectors of a
+Vectors stay where they are: each task that reads them packs them into slices of at most SLICE, which are saved. The
+queries go past them in blocks of at most QUERIES, one broadcast of bounded size at a time (a stated query
+set against all rows, in blocks); a task keeps the best k of each query of the block over all its slices and
+gives them back at its end. So no vector is shuffled or copied, and a hot bucket is spread over all slices. Equal vectors of a
 slice are one candidate with its smallest ids, as many as can be returned. Nothing is capped: every
 vector of a probed bucket is scored.
 
@@ -32,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_arrow
+from lodestone.llm.common import Workspace, map_arrow
 
 TABLES, PROBES = 6, 24
-SLICE, BLOCK = 20_000, 2_048
+SLICE, BLOCK = 20_000, 2_048  # vectors and queries that are searched together
+QUERIES, QUERY_BYTES = 32_768, 32 << 20  # of one broadcast
 BAND, FEW = 0.8, 1_024
 MARGIN = 1e-9  # block products may differ by so much, relative to the norms, from those that rank
 
@@ -180,27 +183,90 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndar
     return q_ids[fq[rank < k]], ids[rank < k], exact[rank < k]
 
 
+def sliced(vectors: DataFrame) -> DataFrame:
+    """(dim, ids, v): the vectors of ``usable``, packed by task into slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[bytes]]] = {}
+
+        def packed(dim: int) -> pa.RecordBatch:
+            ids, raw = held.pop(dim)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(raw)], pa.binary())], ["dim", "ids", "v"])
+
+        for batch in batches:
+            for i, v, dim in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                ids, raw = held.setdefault(dim, ([], []))
+                ids.append(i)
+                raw.append(v)
+                if len(ids) == SLICE:
+                    yield packed(dim)
+        for dim in list(held):
+            yield packed(dim)
+
+    return map_arrow(vectors, run, "dim int, ids binary, v binary")
+
+
+def blocks_of(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The queries, by length of their vectors, in blocks that the driver holds one at a time."""
+    held: dict[int, tuple[list[int], list[bytes]]] = {}
+    n, size = 0, 0
+
+    def block() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return {dim: (np.array(ids, np.int64), np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)) for dim, (ids, raw) in held.items()}
+
+    for i, v, dim in queries.toLocalIterator():
+        ids, raw = held.setdefault(dim, ([], []))
+        ids.append(i)
+        raw.append(bytes(v))
+        n, size = n + 1, size + len(v)
+        if n >= QUERIES or size >= QUERY_BYTES:
+            yield block()
+            held, n, size = {}, 0, 0
+    if n:
+        yield block()
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query, nearest first, ties to the smaller vec_id."""
-    base, asked = usable(vectors, vec_id, embedding), usable(queries, vec_id, embedding)
-    slices = max(1, -(-base.count() // SLICE))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    dealt = base.withColumn("s", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices).cast("long"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    against = asked.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks).cast("long"))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-
-    def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if q.num_rows and v.num_rows:
-            dim = q.column("dim")[0].as_py()
-            rows = [(t.column("vec_id").to_numpy(), np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(-1, dim)) for t in (q, v)]
-            found.append(search_block(*rows[0], *rows[1], k, tables, probes))
-        return pa.table({n: pa.array(np.concatenate(x)) for n, x in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
-
-    pairs = against.groupBy("dim", "s", "b").cogroup(dealt.groupBy("dim", "s", "b")).applyInArrow(run, "query_id long, vec_id long, score double")
-    one = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    spark = vectors.sparkSession
+    ws = Workspace(spark, "ann")
+    slices = ws.save(sliced(usable(vectors, vec_id, embedding)), "slices", compression="none")
+    schema = "query_id long, vec_id long, score double"
+    found = spark.createDataFrame([], schema)
+    for step, block in enumerate(blocks_of(usable(queries, vec_id, embedding))):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
+            best_of: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+            for batch in batches:
+                for dim, ids, raw in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                    q_ids, q = shared.value.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim))))
+                    v = np.frombuffer(raw, np.float64).reshape(-1, dim)
+                    for a in range(0, len(q_ids), BLOCK):
+                        new = search_block(q_ids[a : a + BLOCK], q[a : a + BLOCK], np.frombuffer(ids, np.int64), v, k, tables, probes)
+                        best_of[dim, a] = merged(best_of.get((dim, a)), new, k)
+            for q_id, v_id, score in best_of.values():
+                yield pa.RecordBatch.from_arrays([pa.array(q_id), pa.array(v_id), pa.array(score)], ["query_id", "vec_id", "score"])
+
+        found = found.unionByName(ws.save(map_arrow(slices, run, schema), f"found-{step}"))
+        shared.destroy()
+    ws.drop("slices")
+    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def merged(old: tuple[np.ndarray, ...] | None, new: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """(query, vec_id, score) of the k best different ids of each query out of both; an id found twice counts with its larger score."""
+    if old is None:
+        return new
+    q, v, s = (np.concatenate(x) for x in zip(old, new, strict=True))
+    at = np.lexsort((-s, v, q))
+    at = at[np.append(True, (q[at][1:] != q[at][:-1]) | (v[at][1:] != v[at][:-1]))] if len(at) else at
+    at = at[np.lexsort((v[at], -s[at], q[at]))]
+    rank = np.arange(len(at)) - np.searchsorted(q[at], q[at])
+    return q[at][rank < k], v[at][rank < k], s[at][rank < k]
+
+
 def search_embeddings(embeddings: DataFrame) -> DataFrame:
     return search(embeddings, embeddings.where("vec_id % 20 = 0"))
