@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,37 +14,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 256 << 10  # text bytes that one vectorised step works on; a longer text makes a step of its own
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20  # of an Arrow batch that a worker handles at once; one longer row makes a batch of its own
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
-BASE = 0xD6E8FEB86659FD93
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local master, which has no other machines, gets a folder of its own where that is unset.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file:///tmp/lodestone-checkpoints"
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+_CLEANED: set[str] = set()
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Frames returned before can no longer be read."""
+    if spark.sparkContext._jsc is not None:
+        delete(spark, f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}")
+
+
+def _clean_up_at_exit(spark: SparkSession) -> None:
+    try:
+        clean_up(spark)
+    except Exception:  # noqa: BLE001  the JVM may have gone first; its tables then stay
+        return
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of about BATCH_BYTES for what runs inside; the session's settings come back after."""
+    before = {}
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        before[key] = spark.conf.get(key)
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 class Workspace:
-    """Tables written in the shared folder to cut lineage; a lost executor costs only re-reading them."""
+    """Tables written in the shared folder to cut lineage; a lost executor costs only re-reading them.
+
+    ``drop`` deletes those that no returned frame reads; what remains goes with the application (``clean_up``).
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        self.spark, self.root = spark, f"{shared_dir(spark)}/lodestone/{app}/{name}-{uuid.uuid4().hex}"
+        if app not in _CLEANED:
+            _CLEANED.add(app)
+            atexit.register(_clean_up_at_exit, spark)
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.options(**{"compression": "zstd"} | options).parquet(path)
+        with small_batches(self.spark):
+            df.write.options(**{"compression": "zstd"} | options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete one intermediate table that no returned plan reads any more."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(conf).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete intermediate tables that no returned plan reads any more."""
+        for name in names:
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def parallelism(df: DataFrame) -> int:
@@ -60,18 +111,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS: dict[str, np.ndarray] = {}
+_FACTORS: list[np.ndarray] = [np.zeros(0, np.uint64)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for key, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            a = np.full(size, np.uint64(base))
-            a[0] = 1
-            _POWERS[key] = np.multiply.accumulate(a)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def factors(n: int) -> np.ndarray:
+    """Fixed pseudo-random 64-bit factors, one for each place in a word."""
+    if len(_FACTORS[0]) < n:
+        _FACTORS[0] = mix(np.arange(1, max(2 * n, 1024) + 1, dtype=np.uint64) * MULT)
+    return _FACTORS[0][:n]
 
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -122,12 +169,36 @@ def word_spans(flat: np.ndarray, offsets: np.ndarray, outside: np.ndarray) -> tu
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def letters(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words one after another: each byte's place in the text and in its word, and where each word begins among them."""
+    size = ends - starts
+    begin = np.cumsum(size) - size
+    inside = np.arange(int(size.sum())) - np.repeat(begin, size)
+    return inside + np.repeat(starts, size), inside, begin
+
+
+def steps(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices of whole items, each of about ``limit`` in total."""
+    end = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(end, end[a] - sizes[a] + limit, side="right")))
+        yield slice(a, b)
+        a = b
+
+
 def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes: polynomial prefix sums, then mixed with the length."""
-    up, down = powers(len(flat) + 1)
-    sums = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MULT)
+    """64-bit hash of each word's bytes (words are not empty): byte + 1 times the factor of its place, summed, mixed with the length.
+
+    Two different words have the same hash with a chance of 2**-57 over the factors, and of 2**-64 where some
+    byte differs by an odd number. It is no polynomial: periodic words do not fall together.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    size = ends - starts
+    for part in steps(size, 4 * CHUNK_BYTES):
+        at, inside, begin = letters(starts[part], ends[part])
+        out[part] = np.add.reduceat((flat[at].astype(np.uint64) + np.uint64(1)) * factors(int(size[part].max()))[inside], begin)
+    return mix(out + size.astype(np.uint64) * MULT)
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -139,15 +210,19 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about BATCH_BYTES."""
+    rows = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose batches stay small enough for a worker's memory, also where texts are long."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)
+    """``mapInArrow`` whose function sees and yields small batches, whatever the session's batch size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim = give_back()
-        yield from f(batches)
+        yield from f(part for batch in batches for part in small(batch))
         trim()
 
     return df.mapInArrow(run, schema)
@@ -184,6 +259,8 @@ def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
         done = edges.exceptAll(now).isEmpty() and now.exceptAll(edges).isEmpty()
         if step > 1:
             ws.drop(f"{name}-{step - 2}")
+        if done:
+            ws.drop(f"{name}-{step - 1}")
         edges = now
         if done:
             return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -11,8 +11,10 @@ Frame i lies at offset[i]:offset[i+1] after the header and holds the ids of docu
 so a document is read without its neighbours. Documents ascend by doc_id through the shards (null
 first; then by text hash); ``start`` counts the ids before a shard. A shard ends at SHARD_BYTES of frames.
 
-The dictionary is trained on serialized ids of at most ``sample`` documents, those of smallest hash;
-where that is too little to train on, it is empty and frames stand alone. Texts are encoded whole:
+The dictionary is trained on serialized ids of at most ``sample`` documents, those of smallest hash, and of
+a document of more than WINDOW ids on WINDOW of them from a hashed place on (a bound on what the driver trains
+on, as the dictionary is shared; every document is compressed whole). Where that is too little to train
+on, it is empty and frames stand alone. Texts are encoded whole:
 the tokenizer never looks across white space, so each distinct word of a batch is encoded once.
 
 Defined results: null and empty texts hold the end id alone; repeated doc_ids stay separate
@@ -37,12 +39,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, SPACES, Workspace, chunks, map_arrow, parallelism, powers, word_hashes, word_spans
+from lodestone.llm.common import CHUNK_BYTES, LOWER, SPACES, Workspace, chunks, letters, map_arrow, parallelism, steps, word_hashes, word_spans
 
 END_ID = 1
 SHARD_BYTES = 4 << 20
 SAMPLE = 2000  # documents that the dictionary is trained on, at most
-SAMPLE_IDS = 4096  # and of each of them so many ids
+WINDOW = 4096  # and of each of them so many ids
 DICT_BYTES = 64 << 10
 MAGIC = b"LTID"
 
@@ -90,11 +92,18 @@ def encoder_of(path: str) -> WordEncoder:
     return kept.encoder
 
 
+def appended(pool: np.ndarray, used: int, new: np.ndarray) -> tuple[np.ndarray, int]:
+    """``pool``, whose first ``used`` places are taken, with ``new`` after them, and how many are taken then."""
+    while used + len(new) > len(pool):
+        pool = np.append(pool, np.zeros_like(pool))
+    pool[used : used + len(new)] = new
+    return pool, used + len(new)
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer that splits at white space, a repeated word only once.
 
-    Words go through a direct-mapped cache of SLOTS 64-bit hashes: two of n different words that one
-    task meets are taken for each other with a chance below n**2 / 2**65.
+    Words go through a direct-mapped cache of SLOTS; a word is taken from it only where its bytes are those that were encoded.
     """
 
     SLOTS_BITS = 20
@@ -112,31 +121,54 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.tag = np.zeros(1 << self.SLOTS_BITS, np.uint64)
         self.place = np.zeros(1 << self.SLOTS_BITS, np.int32)
         self.size = np.full(1 << self.SLOTS_BITS, -1, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.raw, self.raw_used = np.zeros(1 << 18, np.uint8), 0  # the cached words
+        self.raw_place = np.zeros(1 << self.SLOTS_BITS, np.int64)
+        self.raw_size = np.full(1 << self.SLOTS_BITS, -1, np.int64)
+
+    def full(self) -> bool:
+        return self.used > self.POOL or self.raw_used > 4 * self.POOL
 
     def words(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word where its ids begin in the pool, and how many they are."""
-        h = word_hashes(flat, starts, ends)
-        slot = (h >> np.uint64(64 - self.SLOTS_BITS)).astype(np.int64)
+        slot = (word_hashes(flat, starts, ends) >> np.uint64(64 - self.SLOTS_BITS)).astype(np.int64)
         place, size = self.place[slot].astype(np.int64), self.size[slot].astype(np.int64)
-        miss = np.flatnonzero((self.tag[slot] != h) | (size < 0))
+        miss = np.flatnonzero(~self.holds(flat, starts, ends, slot))
         if len(miss):
-            new, at, which = np.unique(h[miss], return_index=True, return_inverse=True)
             raw = flat.tobytes()
-            got, n = self.encode_words([raw[a:b] for a, b in zip(starts[miss[at]].tolist(), ends[miss[at]].tolist(), strict=True)])
-            while self.used + len(got) > len(self.pool):
-                self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
-            self.pool[self.used : self.used + len(got)] = got
+            given = [raw[a:b] for a, b in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)]
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(w, len(number)) for w in given])
+            new = list(number)
+            got, n = self.encode_words(new)
             begin = self.used + np.cumsum(n) - n
-            self.used += len(got)
+            self.pool, self.used = appended(self.pool, self.used, got)
             place[miss], size[miss] = begin[which], n[which]
-            where = (new >> np.uint64(64 - self.SLOTS_BITS)).astype(np.int64)
-            self.tag[where], self.place[where], self.size[where] = new, begin, n
+            length = np.fromiter(map(len, new), np.int64, len(new))
+            raw_begin = self.raw_used + np.cumsum(length) - length
+            self.raw, self.raw_used = appended(self.raw, self.raw_used, np.frombuffer(b"".join(new), np.uint8))
+            where = np.zeros(len(new), np.int64)
+            where[which] = slot[miss]
+            # of new words with one slot the last is kept, in all tables alike
+            kept = np.unique(where[::-1], return_index=True)
+            at, last = kept[0], len(new) - 1 - kept[1]
+            self.place[at], self.size[at], self.raw_place[at], self.raw_size[at] = begin[last], n[last], raw_begin[last], length[last]
         return place, size
 
+    def holds(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """For each word whether its slot has the same bytes."""
+        length = ends - starts
+        out = self.raw_size[slot] == length
+        like = np.flatnonzero(out)
+        for part in steps(length[like], 4 * CHUNK_BYTES):
+            some = like[part]
+            at, inside, begin = letters(starts[some], ends[some])
+            same = flat[at] == self.raw[np.repeat(self.raw_place[slot[some]], length[some]) + inside]
+            out[some] = np.logical_and.reduceat(same, begin)
+        return out
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has. Words go JOINED at a time with a special token between."""
         mark = None if self.border is None else self.tokenizer.id_to_token(self.border).encode()
@@ -161,7 +193,7 @@ class WordEncoder:
 
     def sizes(self, flat: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Number of ids of each word."""
-        if self.used > self.POOL:
+        if self.full():
             self.forget()
         own, a, b = self.pieces(flat, starts, ends)
         sums = np.append(0, np.cumsum(self.words(own, a, b)[1]))
@@ -171,7 +203,7 @@ class WordEncoder:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """In steps: number of rows, all their ids one after another, and where each row's begin and end."""
         for a, b, flat, offsets in chunks(column):
-            if self.used > self.POOL:
+            if self.full():
                 self.forget()
             starts, ends, first = word_spans(flat, offsets, SPACES)
             flat, starts, ends = self.pieces(flat, starts, ends)
@@ -191,7 +223,10 @@ def encoded(texts: DataFrame, tokenizer: str, width: int) -> DataFrame:
         for batch in batches:
             out = []
             for n, ids, bounds in encoder.encode(batch.column(0)):
-                out += [ids[bounds[i] : bounds[i + 1]][:SAMPLE_IDS].astype(kind).tobytes() for i in range(n)]
+                for i in range(n):
+                    own = ids[bounds[i] : bounds[i + 1]]
+                    begin = zlib.crc32(own.tobytes()) % max(1, len(own) - WINDOW + 1)
+                    out.append(own[begin : begin + WINDOW].astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     return map_arrow(texts, run, "ids binary")
@@ -277,7 +312,6 @@ def mark_of(dictionary: bytes) -> int:
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, sample: int = SAMPLE) -> None:
     """Encode ``docs`` (doc_id, text) into the format at ``path``, a folder that all executors reach."""
-    powers(1)
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     from tokenizers import Tokenizer
 
@@ -315,9 +349,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, sample: int
     shards = map_arrow(ranged.select("doc_id", "n_tokens", "frame", "part"), run, "part int, number int, docs long, tokens long, image binary")
     shards.select(F.expr("CAST(part AS bigint) * 4294967296 + number").alias("shard"), "docs", "tokens", "image").write.option("compression", "none").parquet(f"{path}/shards")
     ws.drop("frames")
-    order = Window.orderBy("shard")  # one row a shard of megabytes
-    index = spark.read.parquet(f"{path}/shards").select("shard", "docs", "tokens").withColumn("start", F.sum("tokens").over(order) - F.col("tokens"))
-    index.write.parquet(f"{path}/index")
+    listed = spark.read.parquet(f"{path}/shards").select("shard", "docs", "tokens").withColumn("part", F.expr("shard div 4294967296"))
+    # sums run within each part; the parts, as many as tasks that wrote shards, are summed up on the driver
+    sums = sorted((r["part"], r["n"]) for r in listed.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
+    ahead = list(zip((p for p, _ in sums), itertools.accumulate([0, *(n for _, n in sums)]), strict=False))
+    before = spark.createDataFrame(ahead, "part long, ahead long")
+    within = F.sum("tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("tokens")
+    listed.withColumn("within", within).join(F.broadcast(before), "part").select("shard", "docs", "tokens", (F.col("ahead") + F.col("within")).alias("start")).write.parquet(f"{path}/index")
 
 
 def dictionary_at(spark: SparkSession, path: str) -> bytes:

@@ -12,4 +12,4 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(full, DOCS)
-    return df.withColumns({c: F.lit("clash") for c in ("score", "th", "cls", "words", "size", "key", "target", "s", "d", "h")})
+    return df.withColumns({c: F.lit("clash") for c in ("score", "th", "cls", "words", "size", "key", "target", "s", "d", "h", "q_words", "__q", "tok", "hub", "tried", "n_tokens", "tree_chars", "start", "kind", "item_id", "comp", "label")})

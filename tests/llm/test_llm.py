@@ -95,6 +95,43 @@ def test_ngram_join_against_brute_force(spark, odd):
     assert ngram_join.join_documents(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_of_a_partly_unlinked_group(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [str(rng.random()) for _ in range(110)]
+    texts = []
+    for i in range(300):  # each near the base, most pairs of them about the threshold; some chains only, some copies
+        w = list(base) if i < 260 else texts[-1].split()
+        for _ in range(rng.randint(2, 4) if i < 260 else 2):
+            w[rng.randrange(len(w))] = str(rng.random())
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:9])), "doc_id long, text string").repartition(4)
+    rows = docs.collect()
+    assert 1 < len(set(linked_components([shingles(r.text) for r in rows]))) < 200
+    for hot in (2000, 40):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        check_join(docs, rows)
+    monkeypatch.setattr(ngram_join, "stars", lambda sets: sets.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0))
+    check_join(docs, rows)  # the rounds alone
+
+
+def test_met_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        tok, side = rng.integers(0, 4, 12), np.zeros(12, int)
+        side[tok == 3] = rng.integers(1, 3, (tok == 3).sum())
+        by = np.lexsort((side, tok))
+        tok, side = tok[by], side[by]
+        got = Counter((int(a), int(b)) for x, y in ngram_join.met_pairs(tok, side) for a, b in zip(x, y))
+        want = {(i, j) for i in range(12) for j in range(i + 1, 12) if tok[i] == tok[j] and (side[i] == 0 or (side[i], side[j]) == (1, 2))}
+        assert got == Counter(want)
+
+
+def test_tokens_that_fall_together_in_the_exchange(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LOW", np.uint64(0x3F))  # nearly all tokens do
+    monkeypatch.setattr(ngram_join, "HELD", 300)
+    check_join(table(spark, "documents"), table(spark, "documents").collect())
+
+
 def test_ngram_join_sql(spark, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     for path in (f"{SF}/documents.parquet", f"{tmp_path}/documents.parquet/*.parquet"):
@@ -236,12 +273,12 @@ def test_encoder_with_special_tokens():
 def test_edits_count_as_the_whole_text(text, edits):
     e = token_counts.WordEncoder(token_output.default_tokenizer()) if not hasattr(test_edits_count_as_the_whole_text, "e") else test_edits_count_as_the_whole_text.e
     test_edits_count_as_the_whole_text.e = e
-    tree = next(token_counts.trees(e, pa.array([text])))
+    tree = token_counts.Tree(e, text, *next(token_counts.leaves(e, pa.array([text]))))
     for a, b, new in edits:
         tree.edit(a, b, new)
         a = min(max(a, 0), len(text))
         text = text[:a] + new + text[max(a, min(b, len(text))) :]
-        assert (tree.tokens, tree.length) == (len(e.tokenizer.encode(text, add_special_tokens=False).ids), len(text))
+        assert (tree.tokens, tree.length, tree.text) == (len(e.tokenizer.encode(text, add_special_tokens=False).ids), len(text), text)
 
 
 def test_counts(spark, odd):
