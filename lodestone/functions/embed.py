@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,13 +29,26 @@ def hashed(dim: int = 32) -> Embedder:
     return lambda text: F.pandas_udf(run, "array<float>")(text)
 
 
+def once(kind: str, name: str, load: Callable[[], object]) -> object:
+    """A model of this worker process: loaded for its first task, kept for those that follow, two of a kind at most.
+
+    It is kept in a module of its own, as functions that run on workers bring fresh globals with each task.
+    """
+    kept = sys.modules.setdefault("_lodestone_models", types.ModuleType("_lodestone_models")).__dict__.setdefault(kind, {})
+    if name not in kept:
+        while len(kept) >= 2:
+            del kept[next(iter(kept))]
+        kept[name] = load()
+    return kept[name]
+
+
 def sentence_model(name: str, batch_size: int = 64) -> Embedder:
-    """A sentence-transformers model, loaded once a task; needs that package on the workers."""
+    """A sentence-transformers model, loaded once a worker; needs that package on the workers."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from sentence_transformers import SentenceTransformer
 
-        model = SentenceTransformer(name)
+        model = once("sentence", name, lambda: SentenceTransformer(name))
         for rows in batches:
             yield pd.Series(list(model.encode(rows.fillna("").tolist(), batch_size=batch_size, normalize_embeddings=True).astype(np.float32)))
 
@@ -46,7 +61,7 @@ def cross_encoder(name: str) -> Callable[[Column, Column], Column]:
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from sentence_transformers import CrossEncoder
 
-        model = CrossEncoder(name)
+        model = once("cross", name, lambda: CrossEncoder(name))
         for query, text in batches:
             yield pd.Series(model.predict(list(zip(query, text, strict=True))).astype(float))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space and word characters as the reference's language defines them.
+# White space and word characters as Python defines them.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 TOKEN = r"[\p{L}\p{N}_]+"
 PASSAGE_PREFIX, QUERY_PREFIX = "passage: ", "query: "

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 
 KS = (1, 3, 5, 10)
+BLOCK_BYTES = 8 << 20  # texts of items that one broadcast holds
 
 
 def first_relevant(ranked: DataFrame, questions: DataFrame) -> DataFrame:
@@ -33,12 +34,44 @@ def percentiles(values: DataFrame, column: str, *percents: float) -> DataFrame:
 
 
 def summary(results: DataFrame, config: str, ks: tuple[int, ...] = KS) -> DataFrame:
-    """(config, metric, value) rows: recall@k, mrr, counts of questions."""
-    rows = recall_at(results, ks).select(F.concat(F.lit("recall@"), F.col("k").cast("string")).alias("metric"), F.col("recall").alias("value"))
-    rows = rows.unionByName(mrr(results).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("value")))
-    counts = results.agg(F.count_if("answerable").cast("double").alias("a"), F.count_if(~F.col("answerable")).cast("double").alias("u"))
-    rows = rows.unionByName(counts.select(F.explode(F.array(F.struct(F.lit("num_answerable").alias("metric"), F.col("a").alias("value")), F.struct(F.lit("num_unanswerable").alias("metric"), F.col("u").alias("value")))).alias("x")).select("x.*"))
-    return rows.select(F.lit(config).alias("config"), "metric", "value")
+    """(config, metric, value) rows: recall@k, mrr, counts of questions and, where ``results`` have latency_ms, its percentiles. One pass."""
+    rank, answerable = F.col("rank"), F.col("answerable")
+
+    def mean(value: Column) -> Column:
+        return F.round(F.coalesce(F.avg(F.when(answerable, value)), F.lit(0.0)), 4)
+
+    values = {f"recall@{k}": mean(F.when(rank <= k, 1.0).otherwise(0.0)) for k in ks}
+    values["mrr"] = mean(F.coalesce(F.lit(1.0) / rank, F.lit(0.0)))
+    values["num_answerable"] = F.count_if(answerable).cast("double")
+    values["num_unanswerable"] = F.count_if(~answerable).cast("double")
+    if "latency_ms" in results.columns:
+        for p in (50, 95):
+            values[f"latency_p{p}_ms"] = F.round(F.coalesce(F.percentile("latency_ms", F.lit(p / 100)), F.lit(0.0)), 2)
+    one = results.agg(*[v.alias(f"m{i}") for i, v in enumerate(values.values())])
+    return one.select(F.lit(config).alias("config"), F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"m{i}").alias("value")) for i, n in enumerate(values)])))
+
+
+def record(results: DataFrame, config: str, ks: tuple[int, ...] = KS) -> dict:
+    """One configuration for a JSON report: its measures and, of each question of the stated set, rank and latency."""
+    m = {r["metric"]: r["value"] for r in summary(results, config, ks).collect()}
+    per = [{"id": r["id"], "rank": r["rank"], "latency_ms": round(r["latency_ms"], 2)} for r in results.orderBy("id").collect()]
+    return {"config": config, "recall_at_k": {str(k): m[f"recall@{k}"] for k in ks}, "mrr": m["mrr"], "latency_p50_ms": m["latency_p50_ms"], "latency_p95_ms": m["latency_p95_ms"], "num_answerable": int(m["num_answerable"]), "num_unanswerable": int(m["num_unanswerable"]), "per_question": per}
+
+
+def containing(items: DataFrame, docs: DataFrame, item: str, doc: str) -> DataFrame:
+    """(item, doc) of ``docs`` (doc, text) that contain the text of ``items`` (item, text), both normalised.
+
+    The items are the stated side: they go to the documents in blocks of about BLOCK_BYTES, and no text is shuffled.
+    """
+    own = items.select(item, X.normalize(F.col("text")).alias("g")).where("g IS NOT NULL")
+    total = own.agg(F.sum(F.octet_length("g"))).first()[0] or 0
+    blocks = int(total) // BLOCK_BYTES + 1
+    texts, out = docs.select(doc, X.normalize(F.col("text")).alias("n")), None
+    for b in range(blocks):
+        block = own.where(F.pmod(F.xxhash64("g", item), F.lit(blocks)) == b).agg(F.collect_list(F.struct(item, "g")).alias("items"))
+        hit = texts.crossJoin(F.broadcast(block)).select(doc, F.explode(F.filter("items", lambda i: F.contains("n", i["g"]))).alias("i")).select(f"i.{item}", doc)
+        out = hit if out is None else out.unionByName(hit)
+    return out
 
 
 def pivot(summaries: DataFrame, configs: list[str]) -> DataFrame:

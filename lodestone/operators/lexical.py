@@ -1,24 +1,38 @@
-"""BM25 over an inverted index of tokens. Okapi with the usual defaults (assumed, see README)."""
+"""BM25 over an inverted index of tokens. Okapi with the usual defaults (assumed, see README).
+
+An ``Index`` is built once and can be stored; queries start from their own terms and meet only those postings.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+LITERALS = 200  # up to so many different query terms reach the scan of stored postings as a list
+
+
+class Index(NamedTuple):
+    postings: DataFrame  # term, key, dl, tf
+    terms: DataFrame  # term, df, idf
+    stats: DataFrame  # one row: n, avgdl
 
 
 def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(term, key, tf, dl): one row for each distinct term of a chunk. dl is known before the explosion, so no second pass."""
+    """(term, key, dl, tf): one row for each distinct term of a chunk. dl is known before the explosion, so no second pass."""
     tokens = chunks.select(key, X.tokenize(F.col("text")).alias("t")).where(F.size("t") > 0)
     return tokens.select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus(chunks: DataFrame) -> DataFrame:
-    """One row: n chunks and their mean length in tokens (0 for none)."""
-    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.greatest(F.size(X.tokenize(F.coalesce("text", F.lit("")))), F.lit(0))), F.lit(0.0)).alias("avgdl"))
+def corpus(chunks: DataFrame, post: DataFrame) -> DataFrame:
+    """One row: n chunks and their mean length in tokens (0 for none), from the postings: texts are not tokenised again."""
+    total = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    both = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row each
+    return both.select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("avgdl"))
 
 
 def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
@@ -29,13 +43,30 @@ def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(queries: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query_id, key, score) of chunks that share a token with the query (query_id, text); repeated query tokens count again."""
-    post, stats = postings(chunks, key), corpus(chunks)
+def build(chunks: DataFrame, key: str = "doc_id") -> Index:
+    post = postings(chunks, key)
+    stats = corpus(chunks, post)
+    return Index(post, idf(post, stats), stats)
+
+
+def scores(queries: DataFrame, index: Index, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score) of chunks that share a token with the query (query_id, text); repeated query tokens count again.
+
+    The queries' terms are the small side of both joins; Spark broadcasts them where its own size limit allows.
+    """
     terms = queries.select("query_id", F.explode(X.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = post.join(terms.select("term").distinct(), "term", "left_semi").join(idf(post, stats).select("term", "idf"), "term").crossJoin(F.broadcast(stats))
+    met = terms.join(index.terms.select("term", "idf"), "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return terms.join(wanted.select("term", key, part.alias("part")), "term").groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("part")).alias("score"))
+    return met.groupBy("query_id", key).agg(F.sum(F.col("times") * part).alias("score"))
+
+
+def narrowed(queries: DataFrame, stored: Index) -> Index:
+    """The stored index with a list of the queries' terms pushed to its scans, where they are few."""
+    seen = queries.select(F.explode(X.tokenize(F.col("text"))).alias("term")).distinct().limit(LITERALS + 1).collect()
+    if len(seen) > LITERALS:
+        return stored
+    only = F.col("term").isin([r[0] for r in seen])
+    return Index(stored.postings.where(only), stored.terms.where(only), stored.stats)
 
 
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", digits: int = 6) -> DataFrame:
@@ -45,20 +76,23 @@ def top_k(scored: DataFrame, k: int, key: str = "doc_id", digits: int = 6) -> Da
     return rounded.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", fill: bool = False) -> DataFrame:
-    """Top k chunks of each query. ``fill``: chunks without a shared token rank with score 0, in key order, among the rest.
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", fill: bool = False, index: Index | None = None) -> DataFrame:
+    """Top k chunks of each query, from ``index`` or from one built for this call.
 
-    Only queries with under k positive scores are filled, each from the first k chunks that it does
-    not match; the heads of the table that hold those are as long as the most matches of such a query plus k.
+    ``fill``: chunks without a shared token rank with score 0, in key order, among the rest. Only queries with under k
+    positive scores are filled, each from the first m + k keys, m being its matches; as such a query has
+    under k positive matches, m passes k only by matches whose scores are not positive. So at most k rows a query more
+    than its matches are made, and the head that holds them is as long as the largest m plus k.
     """
-    found = scores(queries, chunks, key)
+    found = scores(queries, build(chunks, key) if index is None else narrowed(queries, index), key)
     if not fill:
         return top_k(found, k, key)
     counts = queries.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.round("score", 6) > 0).alias("p")), "query_id", "left").fillna(0)
-    short = counts.where(F.col("p") < k)
+    short = counts.where(F.col("p") < k).select("query_id", "m")
     most = short.agg(F.max("m")).first()[0]
     if most is None:
         return top_k(found, k, key)
     head = chunks.select(key).orderBy(key).limit(int(most) + k)
-    zero = short.select("query_id").crossJoin(head).join(found.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
+    head = head.select(key, F.row_number().over(Window.orderBy(key)).alias("at"))  # over the limited head only
+    zero = short.join(head, F.col("at") <= F.col("m") + k).select("query_id", key).join(found.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(found.unionByName(zero), k, key)

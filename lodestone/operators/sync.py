@@ -5,13 +5,23 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lodestone.operators import dense, lexical
+
+FORMAT = 2  # of a snapshot
+SPLITS, SAMPLE = 100, 1000  # ranges of names that numbers are dealt by, and names that these ranges are read from
 TABLES = {
-    "chunks": T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("doc_name", T.StringType()), T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk_ord", T.LongType()), T.StructField("text", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]),
-    "doc_state": T.StructType([T.StructField("doc_name", T.StringType()), T.StructField("doc_hash", T.StringType())]),
+    "chunks": "chunk_id string, doc_name string, chunk_no int, chunk_ord long, text string, embedding array<float>",
+    "postings": "term string, chunk_ord long, dl long, tf long",
+    "terms": "term string, df long, idf double",
+    "stats": "n long, avgdl double",
+    "vectors": "vec_id long, embedding array<float>, cell int",
+    "centres": "cell int, centre array<double>",
+    "doc_state": "doc_name string, doc_hash string",
+    "actions": "doc_name string, action string, error string",
 }
 
 
@@ -31,12 +41,31 @@ def remove(chunks: DataFrame, names: DataFrame) -> DataFrame:
     return chunks.join(names.select("doc_name").distinct(), "doc_name", "left_anti")
 
 
+def removed(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_name, chunks): how many chunks leave with each of the documents."""
+    return names.select("doc_name").distinct().join(chunks.groupBy("doc_name").agg(F.count("*").alias("chunks")), "doc_name", "left").fillna(0, ["chunks"])
+
+
+def starts(per: DataFrame) -> DataFrame:
+    """(doc_name, start) of (doc_name, c): the sum of c over all smaller names.
+
+    Names are dealt over ranges whose ends are read from SAMPLE names of least hash, so the running sum is
+    one of ranges (at most SPLITS + 1 rows) and one inside each range; no task holds all names.
+    """
+    some = sorted(r[0] for r in per.where("doc_name IS NOT NULL").select("doc_name").orderBy(F.xxhash64("doc_name"), "doc_name").limit(SAMPLE).collect())
+    ends = some[:: max(1, len(some) // SPLITS)]
+    at = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("doc_name"))) if ends else F.lit(0)
+    dealt = per.withColumn("range", at)
+    sums = dealt.groupBy("range").agg(F.sum("c").alias("all")).select("range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("before"))
+    inside = F.sum("c").over(Window.partitionBy("range").orderBy("doc_name")) - F.col("c")
+    return dealt.select("doc_name", "range", inside.alias("inside")).join(F.broadcast(sums), "range").select("doc_name", (F.col("before") + F.col("inside")).alias("start"))
+
+
 def upsert(chunks: DataFrame, delta: DataFrame, gone: DataFrame) -> DataFrame:
     """``chunks`` without the documents of ``delta`` and ``gone``, and ``delta`` after them in order of name and chunk number."""
     kept = remove(chunks, delta.select("doc_name").unionByName(gone.select("doc_name")))
     last = kept.agg(F.coalesce(F.max("chunk_ord"), F.lit(-1)).alias("last"))
-    per = delta.groupBy("doc_name").agg(F.count("*").alias("c"))
-    start = per.select("doc_name", (F.sum("c").over(Window.orderBy("doc_name")) - F.col("c")).alias("start"))  # one row a changed document
+    start = starts(delta.groupBy("doc_name").agg(F.count("*").alias("c")))
     new = delta.drop("chunk_ord").join(start, "doc_name").crossJoin(F.broadcast(last)).withColumn("chunk_ord", F.col("last") + 1 + F.col("start") + F.col("chunk_no")).drop("start", "last")
     return kept.unionByName(new.select(kept.columns))
 
@@ -66,21 +95,58 @@ class Snapshots:
         now = self.current()
         if now is None:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{now['snapshot']}/{table}")
+        if now.get("format") != FORMAT:
+            raise ValueError("the index has an older format; rebuild it")
+        return self._table(now["snapshot"], table)
+
+    def _table(self, name: str, table: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{name}/{table}")
+
+    def _write(self, name: str, table: str, df: DataFrame) -> DataFrame:
+        df.select(*df.columns).to(self.spark.createDataFrame([], TABLES[table]).schema).write.parquet(f"{self.root}/{name}/{table}")
+        return self._table(name, table)
+
+    def index(self) -> lexical.Index:
+        """The stored postings, terms and lengths."""
+        return lexical.Index(self.read("postings"), self.read("terms"), self.read("stats"))
+
+    def cells(self) -> tuple[DataFrame, np.ndarray] | None:
+        """Vectors by cell and the cells' centres (at most ``dense.MOST_CELLS``), where the snapshot has them."""
+        now = self.current()
+        if now is None or not now.get("cells"):
+            return None
+        return self.read("vectors"), np.array([r[0] for r in self.read("centres").orderBy("cell").select("centre").collect()])
+
+    def publish(self, chunks: DataFrame, state: DataFrame, model: str, actions: DataFrame | None = None, cells_from: int | None = None) -> str:
+        """Write all tables, check them, then flip the pointer in one rename. A change of model needs a rebuild.
 
-    def publish(self, chunks: DataFrame, state: DataFrame, model: str) -> str:
-        """Write both tables, check them, then flip the pointer in one rename. A change of model needs a rebuild."""
+        Postings are sorted by term and vectors by cell, so that a reader of few terms or cells skips the other row groups.
+        From ``cells_from`` chunks on the vectors are dealt to cells.
+        """
         name = f"v-{uuid.uuid4().hex}"
-        for table, df in (("chunks", chunks), ("doc_state", state)):
-            df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.parquet(f"{self.root}/{name}/{table}")
-        written = self.spark.read.schema(TABLES["chunks"]).parquet(f"{self.root}/{name}/chunks")
-        sizes, missing = written.agg(F.count_distinct(F.size("embedding")), F.count_if(F.col("embedding").isNull())).first()
+        written = self._write(name, "chunks", chunks)
+        told = self._write(name, "doc_state", state)
+        if actions is not None:
+            self._write(name, "actions", actions)
+        rows, ids, sizes, missing = written.agg(F.count("*"), F.count_distinct("chunk_id"), F.count_distinct(F.size("embedding")), F.count_if(F.col("embedding").isNull())).first()
         if sizes > 1 or missing:
             raise ValueError("chunks need one vector each, all of one size")
+        if ids != rows or not written.join(told, "doc_name", "left_anti").isEmpty():
+            raise ValueError("chunks need names of their own and documents that are known")
+        texts = written.select("chunk_ord", "text")
+        post = self._write(name, "postings", lexical.postings(texts, "chunk_ord").repartitionByRange("term", "chunk_ord").sortWithinPartitions("term", "chunk_ord"))
+        stats = self._write(name, "stats", lexical.corpus(texts, post))
+        self._write(name, "terms", lexical.idf(post, stats).repartitionByRange("term").sortWithinPartitions("term"))
+        dealt = cells_from is not None and 0 < rows >= cells_from
+        if dealt:
+            vectors = written.select(F.col("chunk_ord").alias("vec_id"), "embedding")
+            centres = dense.fit_cells(vectors, rows)  # each row has a vector, as checked above
+            self._write(name, "vectors", dense.with_cells(vectors, centres).repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id"))
+            self._write(name, "centres", self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], TABLES["centres"]))
         fs, path, jvm = self._fs(f"{self.root}/CURRENT")
         tmp = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT.{uuid.uuid4().hex}")
         out = fs.create(tmp)
-        out.write(bytearray(json.dumps({"snapshot": name, "model": model}).encode()))
+        out.write(bytearray(json.dumps({"snapshot": name, "model": model, "format": FORMAT, "cells": dealt}).encode()))
         out.close()
         ctx = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)

@@ -1,7 +1,7 @@
 """Queries over the driver's tables, each beside the SQL that says the same.
 
-Conventions of these fixtures: a document is its own chunk; benchmark item i asks with its first eight
-tokens; where vectors are needed, document i has the vector vec_id = i and item i asks with vec_id = i.
+Conventions of these fixtures: a document is its own chunk; benchmark item i asks with its whole
+text; where vectors are needed, document i has the vector vec_id = i and item i asks with vec_id = i.
 Scores are rounded to six digits before they are ranked, so both engines break the same ties.
 """
 
@@ -71,14 +71,14 @@ packed AS (SELECT doc_id, list_append(f.done, array_to_string(f.cur, ' ')) AS c
 chunks AS (SELECT doc_id, unnest(range(len(c)))::INT AS chunk_no, unnest(c) AS text FROM packed)"""
 
 
-ASKED = f"asked AS (SELECT item_id AS query_id, list_slice({tokens_sql('text')}, 1, 8) AS q FROM benchmark)"
+ASKED = f"asked AS (SELECT item_id AS query_id, {tokens_sql('text')} AS q FROM benchmark)"
 BM25 = f"""
-tok AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents),
-post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2),
-len AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1),
-stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tok) / (SELECT count(*) FROM documents) AS avgdl),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, stats GROUP BY 1),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+tok AS MATERIALIZED (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents),
+post AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2),
+len AS MATERIALIZED (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1),
+stats AS MATERIALIZED (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tok) / (SELECT count(*) FROM documents) AS avgdl),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, stats GROUP BY 1),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM raw),
 {ASKED},
 terms AS (SELECT query_id, unnest(q) AS term FROM asked),
 scored AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) + 0.0 AS score
@@ -140,12 +140,12 @@ def doc_lengths(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def corpus_idf(s: SparkSession, d: str) -> DataFrame:
     docs = t(s, d, "documents")
-    return lexical.idf(lexical.postings(docs), lexical.corpus(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.build(docs).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH tok AS (SELECT unnest({tokens_sql('text')}) FROM documents) SELECT (SELECT count(*) FROM documents) AS n, round((SELECT count(*) FROM tok) / (SELECT count(*) FROM documents), 6) AS avgdl")
 def corpus_stats(s: SparkSession, d: str) -> DataFrame:
-    return lexical.corpus(t(s, d, "documents")).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return lexical.build(t(s, d, "documents")).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"SELECT doc_id, {norm_sql('text')} AS normal FROM documents")
@@ -215,7 +215,7 @@ def sse_delta_parse(s: SparkSession, d: str) -> DataFrame:
 
 # --- retrieval -------------------------------------------------------------------------------
 def asked(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.tokenize(F.col("text")), 1, 8), " ").alias("text"))
+    return t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(X.tokenize(F.col("text")), " ").alias("text"))
 
 
 def doc_vectors(s: SparkSession, d: str) -> DataFrame:
@@ -260,9 +260,9 @@ def dense_topk_by_label(s: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def ann_lsh_recall(s: SparkSession, d: str) -> DataFrame:
+def ann_cells_recall(s: SparkSession, d: str) -> DataFrame:
     e, q = t(s, d, "embeddings"), item_vectors(s, d)
-    return dense.recall(dense.lsh(q, e, 10), dense.exact(q, e, 10))
+    return dense.recall(dense.cells(q, e, 10), dense.exact(q, e, 10))
 
 
 def fused(s: SparkSession, d: str) -> DataFrame:
@@ -316,10 +316,7 @@ def rag_prompt(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({norm_sql('d.text')}, {norm_sql('b.text')})")
 def relevance_semi_join(s: SparkSession, d: str) -> DataFrame:
     """Documents that contain an item. The items are the stated side; each text is normalised once and all items are tried on it."""
-    items = t(s, d, "benchmark").agg(F.collect_list(F.struct("item_id", X.normalize(F.col("text")).alias("g"))).alias("items"))
-    docs = t(s, d, "documents").select("doc_id", X.normalize(F.col("text")).alias("n"))
-    hit = docs.crossJoin(F.broadcast(items)).select("doc_id", F.explode(F.filter("items", lambda i: F.contains("n", i["g"]))).alias("i"))
-    return hit.select("i.item_id", "doc_id")
+    return evaluate.containing(t(s, d, "benchmark"), t(s, d, "documents"), "item_id", "doc_id")
 
 
 def results(s: SparkSession, d: str) -> DataFrame:
@@ -399,7 +396,8 @@ def sync_upsert_result(s: SparkSession, d: str) -> DataFrame:
     return out.select("doc_name", "chunk_ord", F.sha2("text", 256).alias("hash"))
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM documents) AS documents")
+@query(f"WITH {chunks_sql(1000, 150)}, {STATES} SELECT (SELECT count(*) FROM chunks WHERE doc_id % 11 <> 0) AS chunks, (SELECT count(*) FROM old) AS documents")
 def index_health(s: SparkSession, d: str) -> DataFrame:
-    docs = t(s, d, "documents")
-    return sync.health(docs, docs)
+    """The stored documents of the fixture and their chunks."""
+    old, _, _ = states(s, d)
+    return sync.health(chunking.chunks(old), old)

@@ -8,8 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from lodestone.operators import evaluate
-from lodestone.plans import config, llm_client
+from lodestone.plans import config, llm_client, logs
 from lodestone.plans.engine import Engine
 from lodestone.sources import questions
 
@@ -17,6 +16,7 @@ ABLATION = {"dense": {"hybrid": False, "rerank": False}, "hybrid": {"hybrid": Tr
 
 
 def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
+    # The names of commands and options that users know.
     p = argparse.ArgumentParser(prog="lodestone")
     p.add_argument("--config")
     sub = p.add_subparsers(dest="command", required=True)
@@ -35,7 +35,10 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
     s.add_argument("--port", type=int, default=8000)
     args = p.parse_args(argv)
     try:
-        engine = engine or Engine(SparkSession.builder.appName("lodestone").getOrCreate(), config.load(args.config))
+        if engine is None:
+            settings = config.load(args.config)
+            logs.start(settings)
+            engine = Engine(SparkSession.builder.appName("lodestone").getOrCreate(), settings)
     except (ValueError, OSError) as err:
         print(err, file=sys.stderr)
         return 2
@@ -44,6 +47,7 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
     except KeyboardInterrupt:
         return 130
     except (ValueError, OSError, llm_client.LLMError) as err:
+        logs.log.error("%s", err)
         print(err, file=sys.stderr)
         return 1
 
@@ -76,21 +80,23 @@ def analyze(engine: Engine, args: argparse.Namespace) -> int:
 def evaluation(engine: Engine, args: argparse.Namespace) -> int:
     ks = tuple(int(k) for k in args.k.split(","))
     asked = questions.load(engine.spark, args.questions)
-    configs = ABLATION if args.ablate else {"settings": {}}
-    rows = engine.evaluate(asked, configs, ks)
-    names = list(configs)
-    for size in (args.chunk_sizes or "").split(",") if args.chunk_sizes else []:
-        name = f"hybrid chunk={size}"
+    if not engine.health().first()["chunks"]:
+        print("the index is empty", file=sys.stderr)
+        return 1
+    done = engine.records(asked, ABLATION if args.ablate else {engine.label(): {}}, ks)
+    for size in args.chunk_sizes.split(",") if args.chunk_sizes else []:
         s = config.replace(engine.settings, chunk_size_chars=int(size), chunk_overlap_chars=min(engine.settings.chunk_overlap_chars, int(size) - 1), index_dir=f"{engine.settings.index_dir}-chunk-{size}")
-        other = Engine(engine.spark, s, engine.embedder, engine.scorer)
+        other = Engine(engine.spark, s, engine.embedder, engine.scorer, engine.searcher)
         other.sync(full=True)
-        rows, names = rows.unionByName(other.evaluate(asked, {name: {"hybrid": True, "rerank": False}}, ks)), [*names, name]
-    table = [r.asDict() for r in evaluate.pivot(rows, names).orderBy("metric").collect()]
-    for r in table:
-        print("\t".join(str(v) for v in r.values()))
+        done += other.records(asked, {f"hybrid chunk={size}": {"hybrid": True, "rerank": False}}, ks)
+    print("\t".join(["", *(r["config"] for r in done)]))
+    lines = {f"recall@{k}": [r["recall_at_k"][str(k)] for r in done] for k in ks}
+    lines |= {label: [r[key] for r in done] for label, key in (("MRR", "mrr"), ("latency p50 (ms)", "latency_p50_ms"), ("latency p95 (ms)", "latency_p95_ms"), ("answerable", "num_answerable"), ("unanswerable", "num_unanswerable"))}
+    for label, values in lines.items():
+        print("\t".join([label, *map(str, values)]))
     if args.json:
         with open(args.json, "w", encoding="utf-8") as f:
-            json.dump({"corpus_chunks": engine.health().first()["chunks"], "embedding_model": engine.settings.embedding_model, "top_k": engine.settings.top_k, "ks": list(ks), "configs": table}, f, indent=2)
+            json.dump({"corpus_chunks": engine.health().first()["chunks"], "embedding_model": engine.settings.embedding_model, "top_k": engine.settings.top_k, "ks": list(ks), "configs": done}, f, indent=2)
     return 0
 
 

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import embed
 from lodestone.functions import text as X
 from lodestone.operators import chunking, dense, evaluate, fusion, lexical, sync
+from lodestone.operators.evaluate import KS
 from lodestone.plans import config, llm_client
 from lodestone.sources import files
 
 # The instruction that opens a grounded question.
 INSTRUCTION = "Answer the question using only the context below. If the context is insufficient, say so instead of guessing."
+Retrieve = Callable[[DataFrame], DataFrame]  # (query_id, question) to (query_id, rank, text, ...)
+log = logging.getLogger(__name__)
 NO_CONTEXT = "No indexed passage answers this question."
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, settings: config.Settings, embedder: embed.Embedder | None = None, scorer: Callable[[Column, Column], Column] | None = None):
+    def __init__(self, spark: SparkSession, settings: config.Settings, embedder: embed.Embedder | None = None, scorer: Callable[[Column, Column], Column] | None = None, searcher: dense.Searcher | None = None):
         self.spark, self.settings = spark, config.check(settings)
         self.embedder = embedder or embed.sentence_model(settings.embedding_model, settings.embedding_batch_size)
         self.scorer = scorer or embed.cross_encoder(settings.reranker_model)
+        self.searcher = searcher
         self.store = sync.Snapshots(spark, settings.index_dir)
 
     def sync(self, full: bool = False) -> DataFrame:
@@ -47,9 +54,15 @@ class Engine:
         gone = actions.where("action = 'removed'").select("doc_name").unionByName(good.select("doc_name"))
         chunks = sync.upsert(old_chunks, delta, gone)
         kept = sync.remove(state, gone).unionByName(good.select("doc_name", "doc_hash"))
-        self.store.publish(chunks, kept, s.embedding_model)
         out = actions.join(texts.select("doc_name", "error"), "doc_name", "left").select("doc_name", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("action")).alias("action"), "error")
-        return self.spark.createDataFrame(out.collect(), out.schema)  # one short row a file, before the caches go
+        searched = {"auto": s.approximate_min_chunks, "cells": 0}.get(s.vector_backend)
+        try:
+            self.store.publish(chunks, kept, s.embedding_model, out, searched)
+        finally:
+            actions.unpersist()
+            texts.unpersist()
+        log.info("index published")
+        return self.store.read("actions")
 
     def retrieve(self, questions: DataFrame, hybrid: bool | None = None, rerank: bool | None = None, keep: int | None = None) -> DataFrame:
         """(query_id, rank, chunk_id, text, score) for questions (query_id, question), all in one plan; texts join after the cut."""
@@ -57,12 +70,10 @@ class Engine:
         hybrid = s.use_hybrid_search if hybrid is None else hybrid
         rerank = s.use_reranker if rerank is None else rerank
         chunks = self.store.read("chunks")
-        vectors = chunks.select(F.col("chunk_ord").alias("vec_id"), "embedding")
         asked = questions.select("query_id", self.embedder(X.with_prefix(F.col("question"), s.embedding_model, X.QUERY_PREFIX)).alias("embedding"))
-        kind = dense.choose(vectors.count() if s.vector_backend == "auto" else 0, s.vector_backend, s.approximate_min_chunks)
-        best = dense.search(asked, vectors, s.top_k, kind).withColumnRenamed("vec_id", "chunk_ord")
+        best = self._near(asked, chunks).withColumnRenamed("vec_id", "chunk_ord")
         if hybrid:
-            words = lexical.bm25(questions.select("query_id", F.col("question").alias("text")), chunks.select("chunk_ord", "text"), s.top_k, "chunk_ord", fill=True)
+            words = lexical.bm25(questions.select("query_id", F.col("question").alias("text")), chunks.select("chunk_ord", "text"), s.top_k, "chunk_ord", fill=True, index=self.store.index())
             best = fusion.fuse(best, words, s.top_k, "chunk_ord").select("query_id", "rank", "chunk_ord", "score")
         found = best.join(chunks.select("chunk_ord", "chunk_id", "text"), "chunk_ord").select("query_id", "rank", "chunk_id", "text", "score")
         if rerank:
@@ -70,6 +81,17 @@ class Engine:
             return fusion.rerank(pairs, self.scorer, keep or s.top_k).select("query_id", "rank", "chunk_id", "text", "score")
         return fusion.cut(found, keep or s.top_k)
 
+    def _near(self, asked: DataFrame, chunks: DataFrame) -> DataFrame:
+        """Nearest chunks: by the searcher that was given, by the stored cells, or exactly."""
+        s = self.settings
+        vectors = chunks.select(F.col("chunk_ord").alias("vec_id"), "embedding")
+        if self.searcher is not None:
+            return self.searcher(asked, vectors, s.top_k)
+        dealt = None if s.vector_backend == "exact" else self.store.cells()
+        if dealt is None:
+            return dense.exact(asked, vectors, s.top_k)
+        return dense.probe(asked, *dealt, s.top_k)
+
     def prompts(self, questions: DataFrame) -> DataFrame:
         """(query_id, prompt, contexts): null prompt where nothing was found."""
         found = self.retrieve(questions, keep=self.settings.top_n_contexts)
@@ -106,14 +128,46 @@ class Engine:
             raise ValueError(f"no text in {path}" + (f": {rows[0]['error']}" if rows and rows[0]["error"] else ""))
         return self.client().chat(config.system_prompt(self.settings), rows[0]["text"])
 
-    def evaluate(self, questions: DataFrame, configs: dict[str, dict] | None = None, ks: tuple[int, ...] = evaluate.KS) -> DataFrame:
-        """(config, metric, value) for each configuration of ``retrieve``, e.g. {"dense": {"hybrid": False}}."""
+    def results(self, questions: DataFrame, how: Retrieve | dict, timed: bool = False) -> DataFrame:
+        """(id, answerable, rank) for a way to retrieve: options of ``retrieve`` or any function of (query_id, question).
+
+        ``timed`` adds latency_ms: each question of the stated set is asked alone, after one that warms up and does not count.
+        """
+        def ask(asked: DataFrame) -> DataFrame:
+            return how(asked) if callable(how) else self.retrieve(asked, **how)
+
         asked = questions.select(F.col("id").alias("query_id"), "question")
+        found = evaluate.first_relevant(ask(asked), questions)
+        if not timed:
+            return found
+        schema = T.StructType([T.StructField("id", questions.schema["id"].dataType), T.StructField("latency_ms", T.DoubleType())])
+        times, rows = [], asked.collect()
+        for row in [*rows[:1], *rows]:
+            began = time.perf_counter()
+            ask(self.spark.createDataFrame([row], asked.schema)).select("rank", "text").collect()
+            times.append((row["query_id"], (time.perf_counter() - began) * 1000))
+        return found.join(self.spark.createDataFrame(times[1:], schema), "id", "left")
+
+    def evaluate(self, questions: DataFrame, configs: dict[str, Retrieve | dict] | None = None, ks: tuple[int, ...] = KS, timed: bool = False) -> DataFrame:
+        """(config, metric, value) for each configuration of ``results``, e.g. {"dense": {"hybrid": False}}."""
         out = None
-        for name, options in (configs or {"settings": {}}).items():
-            part = evaluate.summary(evaluate.first_relevant(self.retrieve(asked, **options), questions), name, ks)
+        for name, how in (configs or {self.label(): {}}).items():
+            part = evaluate.summary(self.results(questions, how, timed), name, ks)
             out = part if out is None else out.unionByName(part)
         return out
 
+    def records(self, questions: DataFrame, configs: dict[str, Retrieve | dict], ks: tuple[int, ...] = KS) -> list[dict]:
+        """Timed measures of each configuration with every question's rank and latency, for a JSON report."""
+        out = []
+        for name, how in configs.items():
+            results = self.results(questions, how, timed=True).persist()
+            out.append(evaluate.record(results, name, ks))
+            results.unpersist()
+        return out
+
+    def label(self) -> str:
+        """Name of the configuration that the settings give."""
+        return ("hybrid" if self.settings.use_hybrid_search else "dense") + ("+rerank" if self.settings.use_reranker else "")
+
     def health(self) -> DataFrame:
         return sync.health(self.store.read("chunks"), self.store.read("doc_state"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from http.client import HTTPException
 from urllib import error, request
 
 from lodestone.plans.config import Settings
@@ -31,16 +32,25 @@ class ChatClient:
         with self._open(system, user, False) as r:
             try:
                 return json.loads(r.read())["choices"][0]["message"]["content"] or ""
+            except (OSError, HTTPException) as e:
+                raise LLMError("the endpoint broke off") from e
             except (ValueError, KeyError, IndexError, TypeError) as e:
                 raise LLMError("the endpoint's answer has another form") from e
 
     def stream(self, system: str, user: str) -> Iterator[str]:
         with self._open(system, user, True) as r:
-            yield from deltas(line.decode("utf-8", "replace") for line in r)
+            yield from deltas(line.decode("utf-8", "replace") for line in arriving(r))
+
+
+def arriving(response: Iterable[bytes]) -> Iterator[bytes]:
+    try:
+        yield from response
+    except (OSError, HTTPException) as e:
+        raise LLMError("the endpoint broke off") from e
 
 
 def deltas(lines: Iterable[str]) -> Iterator[str]:
-    """Texts of a server-sent stream, up to [DONE]; lines of another form are passed over."""
+    """Texts of a server-sent stream, up to [DONE]. A data line of another form is an error: the answer would have a hole."""
     for line in lines:
         if not line.startswith("data:"):
             continue
@@ -48,9 +58,9 @@ def deltas(lines: Iterable[str]) -> Iterator[str]:
         if body == "[DONE]":
             return
         try:
-            text = json.loads(body)["choices"][0]["delta"].get("content")
-        except (ValueError, KeyError, IndexError, TypeError, AttributeError):
-            continue
+            text = json.loads(body)["choices"][0].get("delta", {}).get("content")
+        except (ValueError, KeyError, IndexError, TypeError, AttributeError) as e:
+            raise LLMError("a part of the endpoint's stream has another form") from e
         if text:
             yield text
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import logging
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from lodestone.plans import llm_client
 from lodestone.plans.engine import Engine
+from lodestone.sources import files
+
+log = logging.getLogger(__name__)
 
 
 def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
@@ -51,6 +55,7 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
                     return self.reply(200, engine.ask(question))
                 contexts, parts = engine.ask_stream(question)
             except llm_client.LLMError:
+                log.exception("the language model failed")
                 return self.reply(502, {"detail": "the language model failed"})
             self.send_response(200)
             self.send_header("Content-Type", "text/event-stream")
@@ -64,8 +69,11 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
             try:
                 rows = engine.sync(full=bool((body or {}).get("full_rebuild"))).collect()
                 self.reply(200, {a: sorted(r["doc_name"] for r in rows if r["action"] == a) for a in ("added", "updated", "removed", "unchanged", "failed")})
-            except Exception:  # Spark names a missing folder in its own way
+            except files.MissingFolder:
                 self.reply(400, {"detail": "the documents folder cannot be read"})
+            except Exception:
+                log.exception("the index run failed")
+                self.reply(500, {"detail": "the index run failed"})
             finally:
                 busy.release()
 

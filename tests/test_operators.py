@@ -1,8 +1,12 @@
+import io
 import json
+import logging
 import re
 import threading
+import zipfile
 from urllib import error, request
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import embed
 from lodestone.functions import text as X
 from lodestone.operators import chunking, dense, evaluate, fusion, lexical, sync
-from lodestone.plans import config, engine, llm_client, service
+from lodestone.plans import cli, config, engine, llm_client, logs, service
 from lodestone.sources import files, questions
 
 
@@ -56,7 +60,10 @@ def test_text_functions(spark):
     assert rows[0].s == ["One.", "Two!", "Three?", "four"] and rows[1].s == [] and rows[1].n == ""
     assert rows[2].k == ["ünï_x", "3"]
     lines = ['data: {"choices":[{"delta":{"content":"a"}}]}', "", "data: {bad", 'data: {"choices":[]}', "data: [DONE]", 'data: {"choices":[{"delta":{"content":"late"}}]}']
-    assert list(llm_client.deltas(lines)) == ["a"]
+    assert list(llm_client.deltas([lines[0], lines[1], "event: x", lines[4], lines[5]])) == ["a"]
+    for bad in ("data: {bad", 'data: {"choices":[]}', "data: 3", 'data: {"choices":[{"delta":null}]}'):
+        with pytest.raises(llm_client.LLMError):
+            list(llm_client.deltas([lines[0], bad]))
     got = spark.createDataFrame([(x,) for x in lines], "l string").select(X.sse_delta(F.col("l")).alias("d")).collect()
     assert [r.d for r in got] == ["a", None, None, None, None, "late"]
 
@@ -73,14 +80,43 @@ def test_dense(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     q = v.withColumnRenamed("vec_id", "query_id")
     want = [(i, 1, i) for i in range(4)]
-    for found in (dense.exact(q, v, 1), dense.exact_columns(q, v, 1), dense.search(q, v, 1, "auto"), dense.lsh(q, v, 1)):
+    for found in (dense.exact(q, v, 1), dense.exact_columns(q, v, 1), dense.search(q, v, 1, "auto"), dense.cells(q, v, 1, share=1.0), dense.search(q, v, 1, dense.exact)):
         assert sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect()) == want
     assert dense.exact(q, v, 0).count() == 0 and dense.exact(q.limit(0), v, 3).count() == 0
-    assert dense.choose(50_000) == "lsh" and dense.choose(10) == "exact"
+    assert dense.choose(50_000) == "cells" and dense.choose(10) == "exact"
     with pytest.raises(ValueError):
         dense.choose(1, "other")
 
 
+def test_exact_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dense, "SCORES", 50)
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(1)
+    v = rng.integers(-2, 3, (300, 4)).astype(np.float32)  # many ties
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(300, None)], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(v[:20])], "query_id string, embedding array<float>")
+    want = {(f"q{i}", r + 1, int(j)) for i in range(20) for r, j in enumerate(np.lexsort((np.arange(300), -(v @ v[i])))[:9])}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in dense.exact(queries, vectors, 9).collect()} == want
+    with pytest.raises(Exception, match="must all have 4 numbers"):
+        dense.exact(queries, vectors.union(spark.createDataFrame([(301, [1.0])], vectors.schema)), 9).collect()
+
+
+def test_cells_prune_and_find(spark):
+    rng = np.random.default_rng(2)
+    middle = rng.standard_normal((40, 32))
+    v = middle[rng.integers(0, 40, 4000)] + 0.3 * rng.standard_normal((4000, 32))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id < 50").withColumnRenamed("vec_id", "query_id")
+    centres = dense.fit_cells(vectors, 4000)
+    near = dense.probed(v[:50].astype(float), centres, 0.1)
+    own = (v @ centres.T).argmax(1)
+    assert np.mean([near[i, own].mean() for i in range(50)]) < 0.2  # share of the vectors that is scored
+    found = dense.cells(queries, vectors, 10, share=0.1)
+    assert dense.recall(found, dense.exact(queries, vectors, 10)).agg(F.avg("recall")).first()[0] >= 0.9
+    assert dense.cells(queries, vectors.limit(0), 10).count() == 0
+
+
 def test_fusion_and_rerank(spark):
     a = spark.createDataFrame([("q", 1, 10), ("q", 2, 20)], "query_id string, rank int, doc_id long")
     b = spark.createDataFrame([("q", 1, 20), ("q", 2, 10), ("q", 3, 30)], "query_id string, rank int, doc_id long")
@@ -96,6 +132,11 @@ def test_metrics(spark):
     assert [tuple(x) for x in evaluate.recall_at(r, (1, 3)).collect()] == [(1, 0.3333), (3, 0.6667)]
     assert evaluate.mrr(r).first()[0] == round((1 + 1 / 3) / 3, 4)
     assert evaluate.mrr(r.limit(0)).first()[0] == 0.0
+    assert {x.metric: x.value for x in evaluate.summary(r, "c", (1, 3)).collect()} == {"recall@1": 0.3333, "recall@3": 0.6667, "mrr": 0.4444, "num_answerable": 3.0, "num_unanswerable": 1.0}
+    timed = r.withColumn("latency_ms", F.col("id").cast("double"))
+    got = evaluate.record(timed, "c", (1,))
+    assert (got["latency_p50_ms"], got["latency_p95_ms"], got["per_question"][1]) == (2.5, 3.85, {"id": "2", "rank": 3, "latency_ms": 2.0})
+    assert all(x.value == 0 for x in evaluate.summary(timed.limit(0), "c").collect())
     v = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "x double")
     assert tuple(evaluate.percentiles(v, "x", 50, 100).first()) == (2.5, 4.0)
     assert tuple(evaluate.percentiles(v.limit(0), "x", 50).first()) == (0.0,)
@@ -119,6 +160,80 @@ def test_html_and_files(spark, tmp_path):
         questions.load(spark, str(y))
 
 
+def word_file(paragraphs, table):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+    def p(text, style):
+        return "<w:p>" + (f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else "") + f"<w:r><w:t>{text}</w:t></w:r></w:p>"
+
+    body = "".join(p(*x) for x in paragraphs) + "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p(c, None)}</w:tc>" for c in row) + "</w:tr>" for row in table) + "</w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/styles.xml", f'<w:styles xmlns:w="{w}"><w:style w:styleId="T1"><w:name w:val="heading 2"/></w:style><w:style w:styleId="Titre3"><w:name w:val="own"/></w:style><w:style w:styleId="big"><w:name w:val="Title"/></w:style></w:styles>')
+    return out.getvalue()
+
+
+def test_word_files():
+    data = word_file([("Top", "big"), ("Part", "T1"), ("Own name", "Titre3"), ("Body", None), ("  ", None), ("Other", "missing")], [["a", "b  c"], ["", ""], ["", "d"]])
+    assert files.docx(data) == "# Top\n\n## Part\n\n### Own name\n\nBody\n\nOther\n\n| a | b c |\n|  | d |"
+    assert files.heading_level("Heading 9") == 6 and files.heading_level("Überschrift 1") == 1 and files.heading_level("Normal") == 0
+
+
+def test_excel_files():
+    openpyxl = pytest.importorskip("openpyxl")
+    book, out = openpyxl.Workbook(), io.BytesIO()
+    book.active.title = "S"
+    for row in (["a", 1], [None, None], [" b ", 2.5]):
+        book.active.append(row)
+    book.create_sheet("empty")
+    book.save(out)
+    assert files.xlsx(out.getvalue()) == "## S\n\n| a | 1 |\n| b | 2.5 |"
+
+
+def test_pdf_files():
+    fitz = pytest.importorskip("fitz")
+    book = fitz.open()
+    book.new_page().insert_text((72, 72), "Hello page")
+    assert "Hello page" in files.pdf(book.tobytes()) and "Hello page" in files.pdf_with_figures(book.tobytes())
+
+
+def test_figures_without_packages_are_left_out(monkeypatch):
+    monkeypatch.setattr(files.importlib.util, "find_spec", lambda name: None)
+    monkeypatch.setattr(files, "pdf", lambda data: "text")
+    assert files.pdf_with_figures(b"") == "text"
+
+
+def test_models_are_kept_by_worker():
+    loads = []
+    for name in "aabac":
+        embed.once("test", name, lambda name=name: loads.append(name))
+    assert loads == ["a", "b", "c"]
+
+
+def test_log_sink(tmp_path):
+    log = logs.start(config.Settings(log_dir=str(tmp_path / "l"), log_level="info"))
+    log.debug("no")
+    logging.getLogger("lodestone.plans.engine").info("yes")
+    assert "yes" in (tmp_path / "l" / "lodestone.log").read_text() and "no\n" not in (tmp_path / "l" / "lodestone.log").read_text()
+    assert len(logs.start(config.Settings(log_dir=str(tmp_path / "l"))).handlers) == 2
+
+
+def test_default_files(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    for name in ("TOP_K", "LLM_MODEL", "LLM_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    assert config.load().top_k == 20
+    (tmp_path / "config.yaml").write_text("top_k: 9\nfaiss_min_chunks: 5\nvector_backend: numpy\n")
+    (tmp_path / ".env").write_text("# own\nexport LLM_MODEL='m x'\nLLM_API_KEY=k # note\nTOP_K=11\n")
+    monkeypatch.setenv("TOP_K", "12")
+    s = config.load()
+    assert (s.top_k, s.llm_model, s.llm_api_key, s.approximate_min_chunks, s.vector_backend) == (12, "m x", "k", 5, "exact")
+    (tmp_path / "config.yaml").write_text("[1]")
+    with pytest.raises(ValueError):
+        config.load()
+
+
 def test_settings(tmp_path):
     f = tmp_path / "c.yaml"
     f.write_text("top_k: 7\ntop_n_contexts: 3\n")
@@ -156,11 +271,117 @@ def test_lifecycle(running, spark):
     assert "Context 1:\n" in p.prompt and p.prompt.endswith("Question: where do pigeons fly")
     asked = spark.createDataFrame([("1", "pigeons", "", None, True, ["Pigeons fly."])], questions.SCHEMA)
     rows = {(r.config, r.metric): r.value for r in e.evaluate(asked, {"dense": {"hybrid": False}, "hybrid": {}}).collect()}
+    own = e.evaluate(asked, {"own": lambda qs: qs.select("query_id", F.lit(3).alias("rank"), F.lit("pigeons  FLY. yes").alias("text"))}, timed=True)
+    got = {r.metric: r.value for r in own.collect()}
+    assert got["mrr"] == 0.3333 and got["latency_p50_ms"] > 0 and got["latency_p95_ms"] >= got["latency_p50_ms"]
     assert rows[("hybrid", "recall@5")] == 1.0 and rows[("dense", "num_answerable")] == 1.0
 
 
+def test_stored_index_serves_as_a_new_one(running, spark):
+    e, docs = running
+    for i in range(30):
+        (docs / f"d{i}.txt").write_text(f"word{i} common pigeons " + "other " * (i % 4))
+    e.sync()
+    chunks = e.store.read("chunks").select("chunk_ord", "text")
+    q = spark.createDataFrame([("1", "common word7 other"), ("2", "pigeons word3 word3"), ("3", "none")], "query_id string, text string")
+    both = [sorted(map(tuple, lexical.bm25(q, chunks, 8, "chunk_ord", fill=True, index=i).collect())) for i in (None, e.store.index())]
+    assert both[0] == both[1] and len(both[0]) == 24
+    plan = lexical.scores(q, lexical.narrowed(q, e.store.index()), "chunk_ord")._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in plan or "In(term" in plan
+    dealt = engine.Engine(spark, config.replace(e.settings, vector_backend="cells"), e.embedder, e.scorer)
+    dealt.sync(full=True)
+    vectors, centres = dealt.store.cells()
+    assert vectors.count() == 32 and len(centres) == 22 and dealt.retrieve(q.withColumnRenamed("text", "question")).count() == 15
+    seen = []
+    own = engine.Engine(spark, e.settings, e.embedder, e.scorer, lambda qs, vs, k: seen.append(k) or dense.exact(qs, vs, k))
+    assert own.retrieve(q.withColumnRenamed("text", "question"), hybrid=False).count() == 15 and seen == [5]
+    with pytest.raises(ValueError):
+        e.store.publish(e.store.read("chunks"), e.store.read("doc_state").limit(0), "hashed")
+
+
+def test_commands(running, tmp_path, capsys, monkeypatch):
+    e, docs = running
+    e.client = lambda: type("C", (), {"chat": lambda self, a, b: f"read {len(b)}", "stream": lambda self, a, b: iter(["ho", "me"])})()
+    run = lambda *a: cli.main(list(a), e)
+    assert run("qa") == 1 and run("eval", "--questions", "none.yaml") == 1
+    assert run("index") == 0 and "added: 2" in capsys.readouterr().out
+    assert run("update") == 0 and "unchanged: 2" in capsys.readouterr().out
+    monkeypatch.setattr("sys.stdin", io.StringIO("where?\nquit\n"))
+    assert run("qa") == 0 and "home" in capsys.readouterr().out
+    assert run("analyze", str(docs / "python.md")) == 0 and "read 21" in capsys.readouterr().out
+    (tmp_path / "q.yaml").write_text("- {id: q1, question: where do pigeons go, answerable: true, sources: [their way]}\n- {id: q2, question: x, answerable: false}\n")
+    assert run("eval", "--questions", str(tmp_path / "q.yaml"), "--json", str(tmp_path / "out.json"), "--k", "1,5", "--chunk-sizes", "500") == 0
+    out = json.loads((tmp_path / "out.json").read_text())
+    assert out["corpus_chunks"] == 2 and out["ks"] == [1, 5] and [c["config"] for c in out["configs"]] == ["hybrid", "hybrid chunk=500"]
+    first = out["configs"][0]
+    assert first["recall_at_k"]["5"] == 1.0 and first["num_unanswerable"] == 1 and first["latency_p95_ms"] > 0
+    assert [x["id"] for x in first["per_question"]] == ["q1", "q2"] and first["per_question"][1]["rank"] is None
+    assert "latency p50 (ms)" in capsys.readouterr().out
+    assert cli.main(["--config", str(tmp_path / "bad.yaml"), "update"], None) == 2 if (tmp_path / "bad.yaml").write_text("nope: 1") else False
+
+
+def test_starts_are_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(sync, "SAMPLE", 20)
+    monkeypatch.setattr(sync, "SPLITS", 5)
+    rows = [(f"d{i * 7919 % 503:03}", i % 4 + 1) for i in range(503)]
+    want, total = {}, 0
+    for name, c in sorted(rows):
+        want[name], total = total, total + c
+    assert {r.doc_name: r.start for r in sync.starts(spark.createDataFrame(rows, "doc_name string, c long")).collect()} == want
+    assert sync.starts(spark.createDataFrame([], "doc_name string, c long")).count() == 0
+
+
+def test_containing_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "Cat  sat"), (2, "dog"), (3, None), (4, "at")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the cat\nSAT down"), (2, "dogma"), (3, None)], "doc_id long, text string")
+    want = [(1, 1), (2, 2), (4, 1)]
+    for size in (1 << 20, 3):
+        monkeypatch.setattr(evaluate, "BLOCK_BYTES", size)
+        assert sorted(map(tuple, evaluate.containing(items, docs, "item_id", "doc_id").collect())) == want
+
+
+def test_chat_client_errors(tmp_path):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class H(BaseHTTPRequestHandler):
+        def log_message(self, *a):
+            pass
+
+        def do_POST(self):
+            n = int(self.headers["Content-Length"])
+            body = json.loads(self.rfile.read(n))
+            user = body["messages"][1]["content"]
+            self.send_response(500 if user == "500" else 200)
+            self.end_headers()
+            if body["stream"]:
+                self.wfile.write(b'data: {"choices":[{"delta":{"content":"a"}}]}\n\n' + (b"data: [DONE]\n\n" if user == "ok" else b"data: {\n\n"))
+            else:
+                self.wfile.write(b'{"choices":[{"message":{"content":"hi"}}]}' if user == "ok" else b"[]")
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), H)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = llm_client.ChatClient(config.Settings(llm_base_url=f"http://127.0.0.1:{server.server_port}"))
+    assert client.chat("s", "ok") == "hi" and list(client.stream("s", "ok")) == ["a"]
+    for user in ("500", "other"):
+        with pytest.raises(llm_client.LLMError):
+            client.chat("s", user)
+        with pytest.raises(llm_client.LLMError):
+            list(client.stream("s", user))
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(llm_client.LLMError):
+        client.chat("s", "ok")
+
+    def breaks():
+        yield b'data: {"choices":[{"delta":{"content":"a"}}]}'
+        raise ConnectionResetError
+
+    with pytest.raises(llm_client.LLMError):
+        list(llm_client.arriving(breaks()))
+
+
 def test_service(running):
-    e, _ = running
+    e, docs = running
     e.sync()
     e.client = lambda: type("C", (), {"chat": lambda self, a, b: "home", "stream": lambda self, a, b: iter(["ho", "me"])})()
     from http.server import ThreadingHTTPServer
@@ -180,6 +401,12 @@ def test_service(running):
     with pytest.raises(error.HTTPError) as bad:
         post("/ask", {"question": ""})
     assert bad.value.code == 422
+    for p in docs.iterdir():
+        p.unlink()
+    docs.rmdir()
+    with pytest.raises(error.HTTPError) as bad:
+        post("/reindex", {})
+    assert bad.value.code == 400
     server.shutdown()
 
 
