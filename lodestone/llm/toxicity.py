@@ -100,10 +100,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.xxhash64(key) <= cut)).select(text, label, F.xxhash64(key).alias("h")).orderBy("h", text, label).limit(max_train)
     ws = Workspace(labelled.sparkSession, "toxicity-fit")
-    seen = ws.save(learnt_from(rows.repartition(PARTS, "h").select(text, label)).repartition(PARTS, "grams"), "grams")
+    seen = ws.save(learnt_from(rows.repartition(PARTS, "h").select(text, label)).repartition(PARTS, "text"), "learnt-from")
     df = np.zeros((2, 1 << BITS), np.float32)
     total = np.zeros(2)
-    for part in map_arrow(seen.select("label", "grams"), class_counts, "n0 long, n1 long, counts binary").toLocalIterator():
+    for part in map_arrow(seen, class_counts, "n0 long, n1 long, counts binary").toLocalIterator():
         total += part[0], part[1]
         df += np.frombuffer(zlib.decompress(part[2]), np.uint16).reshape(2, -1)
     if not total.all():
@@ -116,10 +116,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train
         table = np.full(1 << BITS, -1, np.int32)
         table[slots] = np.arange(len(slots))
         for batch in batches:
-            own = [table[np.frombuffer(x, np.int32)] for x in batch.column(1).to_pylist()]
+            own = [table[x] for x in distinct_grams(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[x >= 0].tobytes() for x in own], pa.binary())], ["label", "features"])
 
-    train = map_arrow(seen.select("label", "grams"), chosen, "label int, features binary").orderBy("label", "features").toArrow()
+    train = map_arrow(seen, chosen, "label int, features binary").orderBy("label", "features").toArrow()
     y = train.column("label").to_numpy().astype(float)
     cols = [np.frombuffer(x, np.int32) for x in train.column("features").to_pylist()]
     weights, bias = logistic(np.repeat(np.arange(len(y)), [len(c) for c in cols]), np.concatenate(cols), ratio[slots], y, ridge, toxic_weight)
@@ -127,34 +127,40 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_train
 
 
 def learnt_from(rows: DataFrame) -> DataFrame:
-    """(label, grams) of rows (text, label): one row for each set of n-grams, with the label that most of its texts have.
+    """(label, text) of rows (text, label): one row for each set of n-grams, with the label that most of its texts have.
 
     Copies repeat a wrong label and would outvote the rest. A set with as many texts of either label gives a row of each.
+    Texts travel, not their n-grams, which take twelve times the room; any text of a set stands for it.
     """
-    each = map_arrow(rows, distinct_grams, "label int, grams binary, k1 long, k2 long")
+    each = map_arrow(rows, gram_keys, "text string, label int, k1 long, k2 long")
     ones = 2 * F.sum("label") - F.count("*")
     labels = F.when(ones > 0, F.array(F.lit(1))).when(ones < 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    return each.groupBy("k1", "k2").agg(labels.alias("labels"), F.min("grams").alias("grams")).select(F.explode("labels").alias("label"), "grams")
+    return each.groupBy("k1", "k2").agg(labels.alias("labels"), F.min("text").alias("text")).select(F.explode("labels").alias("label"), "text")
 
 
-def distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label, distinct n-grams of each text in ascending order, and their 128-bit hash."""
+def distinct_grams(column: pa.Array) -> Iterator[np.ndarray]:
+    """Distinct n-grams of each text in ascending order."""
+    for a, b, row, slot in presence(column):
+        cut = np.searchsorted(row, np.arange(b - a + 1))
+        for i in range(b - a):
+            yield slot[cut[i] : cut[i + 1]].astype(np.int32)
+
+
+def gram_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text and label with the 128-bit hash of its distinct n-grams."""
     for batch in batches:
-        out: list[bytes] = []
-        for a, b, row, slot in presence(batch.column(0)):
-            cut = np.searchsorted(row, np.arange(b - a + 1))
-            out += [slot[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in range(b - a)]
-        keys = np.frombuffer(b"".join(hashlib.blake2b(g, digest_size=16).digest() for g in out), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(out, pa.binary()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["label", "grams", "k1", "k2"])
+        marks = b"".join(hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in distinct_grams(batch.column(0)))
+        keys = np.frombuffer(marks, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["text", "label", "k1", "k2"])
 
 
 def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one task: texts of each class, and how many of them hold each n-gram (at most max_train, so 16 bits do)."""
     n, df = [0, 0], np.zeros((2, 1 << BITS), np.uint16)
     for batch in batches:
-        for label, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for label, grams in zip(batch.column(0).to_pylist(), distinct_grams(batch.column(1)), strict=True):
             n[label] += 1
-            df[label, np.frombuffer(grams, np.int32)] += 1
+            df[label, grams] += 1
     yield pa.RecordBatch.from_arrays([pa.array([n[0]]), pa.array([n[1]]), pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())], ["n0", "n1", "counts"])
 
 
