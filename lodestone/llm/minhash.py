@@ -7,7 +7,8 @@ their signatures agree in enough coordinates, and every link is confirmed on the
 
 Both are permutations of 32-bit integers (a 64-bit one whose upper half is the place; multiplications and shifts that can be undone).
 Two sets with a similarity of s share no band with a chance of about (1 - s**4)**24: 2e-8 at 0.85. Agreement is asked to be
-within six standard deviations of its mean, which a linked pair misses with a chance under 1e-7.
+within six standard deviations of its mean, which a linked pair misses with a chance under 1e-7. A candidate is also ruled out
+where the parities of SKETCH counts differ in more bits than the sets may in shingles: that bound is never wrong.
 
 Copies are one class. In each band the class that meets most others is the middle; each class is first compared with the middle that its signature is nearest to.
 What is left is completed in rounds: components propose the nearest pairs between them, twice in the first round and GROWTH times as many in each that
@@ -38,10 +39,11 @@ WORDS, PERCENT = 3, 85
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 SIGMA = np.uint64(0xC2B2AE3D27D4EB4F)
-HOT = 2_000  # classes of one band that a task pairs with others
+SKETCH = 2_048  # bits
+HOT = 1_000  # classes of one band that a task pairs with others
 FIRST, GROWTH = 2, 8  # pairs that a component proposes in the first round, and how that grows
 PIECE = 1 << 14  # pairs that one vectorised step looks at
-PROFILE = "doc_id long, th long, cls long, n long, sig binary"
+PROFILE = "doc_id long, th long, cls long, n long, sig binary, sketch binary"
 
 
 def sets_in(column: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
@@ -83,6 +85,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """SKETCH bits, each the parity of how many tokens fall on it: sketches of sets differ in at most as many bits as the sets in tokens."""
+    bit = (mix(s + SIGMA) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
 def least_agreement(percent: int) -> int:
     """Coordinates in which a linked pair's signatures agree at least: six standard deviations under the mean."""
     s = percent / 100
@@ -93,21 +101,37 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x == y).sum(1, dtype=np.int64)
 
 
+def candidates(n: np.ndarray, m: np.ndarray, sketches: list[np.ndarray], sigs: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs may be linked, and in how many coordinates each pair's signatures differ. Two sets of n and m with a similarity of p % differ in (n + m)(100 - p) / (100 + p)."""
+    ok, far = np.zeros(len(n), bool), np.zeros(len(n), np.int64)
+    for i in range(0, len(n), PIECE):
+        j = slice(i, i + PIECE)
+        bits = np.bitwise_count(sketches[0][j] ^ sketches[1][j]).sum(1, dtype=np.int64)
+        far[j] = COORDINATES - agreement(sigs[0][j], sigs[1][j])
+        ok[j] = ((100 + percent) * bits <= (100 - percent) * (n[j] + m[j])) & (far[j] <= COORDINATES - least_agreement(percent))
+    return ok, far
+
+
 def unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
 
 
+def bits_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
 def profile(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """A row for each document: its number, hash of its text, class (hash of its set), size of the set and signature."""
+    """A row for each document: its number, hash of its text, class (hash of its set), size of the set, signature and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, n, sig = [], [], []
+            cls, n, sig, bits = [], [], [], []
             for sets in sets_in(batch.column(1), words):
                 cls += map(class_of, sets)
                 n += map(len, sets)
                 sig += [s.tobytes() for s in signatures(sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "th", "cls", "n", "sig"])
+                bits += map(sketch, sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "th", "cls", "n", "sig", "sketch"])
 
     return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")), run, PROFILE)
 
@@ -143,16 +167,16 @@ def middles(met: DataFrame, known: DataFrame, ws: Workspace, percent: int) -> Da
     central = met.groupBy("cls").agg(F.sum("size").alias("central"))
     hubs = ws.save(met.join(central, "cls").groupBy("band").agg(F.max(F.struct("central", "cls"))["cls"].alias("hub")), "hubs")
     pairs = met.join(hubs, "band").where("hub <> cls").select("cls", "hub").distinct()
-    both = pairs.join(known.select("cls", "n", "sig"), "cls").join(known.select(F.col("cls").alias("hub"), F.col("n").alias("m"), F.col("sig").alias("other")), "hub")
-    both = both.where(f"100 * n >= {percent} * m AND 100 * m >= {percent} * n").select("cls", "hub", "sig", "other")
-    low = least_agreement(percent)
+    other = known.select(F.col("cls").alias("hub"), F.col("n").alias("m"), F.col("sig").alias("sig_of"), F.col("sketch").alias("sketch_of"))
+    both = pairs.join(known.select("cls", "n", "sig", "sketch"), "cls").join(other, "hub").where(f"100 * n >= {percent} * m AND 100 * m >= {percent} * n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            agree = agreement(unpacked(batch.column(2)), unpacked(batch.column(3)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree)], ["cls", "hub", "agree"]).filter(pa.array(agree >= low))
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            ok, far = candidates(n, m, [bits_of(batch.column(j)) for j in (4, 5)], [unpacked(batch.column(j)) for j in (6, 7)], percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(-far)], ["cls", "hub", "agree"]).filter(pa.array(ok))
 
-    best = map_arrow(both, run, "cls long, hub long, agree long").groupBy("cls").agg(F.max(F.struct("agree", "hub"))["hub"].alias("hub"))
+    best = map_arrow(both.select("cls", "hub", "n", "m", "sketch", "sketch_of", "sig", "sig_of"), run, "cls long, hub long, agree long").groupBy("cls").agg(F.max(F.struct("agree", "hub"))["hub"].alias("hub"))
     return best.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
 
 
@@ -182,37 +206,34 @@ def proposed(met: DataFrame, known: DataFrame, comp: DataFrame, ws: Workspace, m
     per = rows.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.sum("c").alias("holders"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
     # written, so that Spark can split a band that many classes hold when they meet
     across = ws.save(per.where("comps > 1").select("band", "holders", F.col("top.comp").alias("main"), (F.col("holders") - F.col("top.c")).alias("minor")), f"across-{name}")
-    rows = rows.join(across, "band").join(known.select("cls", "n", "sig"), "cls")
+    rows = rows.join(across, "band").join(known.select("cls", "n", "sig", "sketch"), "cls")
     cold = F.expr(f"array(struct(pmod(xxhash64(band), {parts}) AS g, 0 AS side))")
     all_blocks, minor_blocks = f"holders div {HOT}", f"minor div {HOT}"
     outside = F.expr(f"IF(comp = main, slice(array(struct(0L AS g, 1 AS side)), 1, 0), transform(sequence(0L, {all_blocks}), j -> struct(xxhash64(band, pmod(xxhash64(cls, 1), {minor_blocks} + 1), j) AS g, 1 AS side)))")
     every = F.expr(f"transform(sequence(0L, {minor_blocks}), i -> struct(xxhash64(band, i, pmod(xxhash64(cls, 2), {all_blocks} + 1)) AS g, 2 AS side))")
     dealt = rows.withColumn("x", F.explode(F.when(F.col("holders") <= HOT, cold).otherwise(F.concat(outside, every))))
-    low = least_agreement(percent)
 
     def run(table: pa.Table) -> pa.Table:
-        a, b, more = best_pairs(table, most, percent, low)
+        a, b, more = best_pairs(table, most, percent)
         a, b = (pa.array(x).cast(pa.int64()) for x in (np.minimum(a, b), np.maximum(a, b)))
         mark = pa.nulls(int(more), pa.int64())
         return pa.table({"a": pa.concat_arrays([a, mark]), "b": pa.concat_arrays([b, mark])})
 
-    return dealt.select("x.g", "x.side", "band", "cls", "comp", (F.col("comp") == F.col("main")).alias("in_main"), "n", "sig").groupBy("g").applyInArrow(run, "a long, b long").distinct()
+    return dealt.select("x.g", "x.side", "band", "cls", "comp", (F.col("comp") == F.col("main")).alias("in_main"), "n", "sig", "sketch").groupBy("g").applyInArrow(run, "a long, b long").distinct()
 
 
-def best_pairs(table: pa.Table, most: int, percent: int, low: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def best_pairs(table: pa.Table, most: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Classes of the pairs that one task proposes, and whether it left some out."""
     band, side, cls, comp, n, in_main = (table.column(x).to_numpy() for x in ("band", "side", "cls", "comp", "n", "in_main"))
     by = np.lexsort((side, band))
     band, side, cls, comp, n, in_main = (x[by] for x in (band, side, cls, comp, n, in_main))
-    sig = unpacked(table.column("sig"))[by]
+    sig, bits = unpacked(table.column("sig"))[by], bits_of(table.column("sketch"))[by]
     found, more = [np.zeros(0, np.int64)] * 3, False
     for x, y in met_pairs(band, side):
         keep = (comp[x] != comp[y]) & (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x])
         keep &= (side[x] == 0) | in_main[y] | (cls[x] < cls[y])  # two rows outside the largest component meet twice
         x, y = x[keep], y[keep]
-        far = [np.zeros(0, np.int64)] + [COORDINATES - agreement(sig[x[i : i + PIECE]], sig[y[i : i + PIECE]]) for i in range(0, len(x), PIECE)]
-        far = np.concatenate(far)
-        keep = far <= COORDINATES - low
+        keep, far = candidates(n[x], n[y], [bits[x], bits[y]], [sig[x], sig[y]], percent)
         found = [np.concatenate(z) for z in zip(found, (x[keep], y[keep], far[keep]), strict=True)]
         once = nearest(comp, cls, *found, len(found[0]) + 1)
         found = [z[once] for z in found]
@@ -232,14 +253,14 @@ def contracted(ws: Workspace, comp: DataFrame, links: DataFrame, name: str) -> D
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, known, links).
 
-    members (doc_id, th, cls, n, sig) has a row for each document; known (cls, low, n, component) one for each class that is not empty, low being its
+    members (doc_id, th, cls, n, sig, sketch) has a row for each document; known (cls, low, n, component) one for each class that is not empty, low being its
     smallest doc_id and component the smallest class reachable; links (a, b) are the verified pairs of classes that connect each component.
     """
     ws = Workspace(docs.sparkSession, "minhash")
     parts = parallelism(docs)
     members = ws.save(profile(docs, doc_id, text, words), "members")
-    known = members.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    known = ws.save(known.select("cls", "one.doc_id", "one.th", "low", "n", "sig"), "known")
+    known = members.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    known = ws.save(known.select("cls", "one.doc_id", "one.th", "low", "n", "sig", "sketch"), "known")
     held = bands(known)
     shared = ws.save(held.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     met = ws.save(held.join(shared, "band"), "met")
