@@ -36,20 +36,21 @@ def pack(pieces: list[str], size: int, overlap: int) -> list[str]:
     return out
 
 
-def chunks(docs: DataFrame, size: int = 1000, overlap: int = 150, doc: str = "doc_name", text: str = "text") -> DataFrame:
-    """(doc, chunk_no, chunk_id, text); chunk_no from 0. Null and blank texts have no chunks.
+def chunks(docs: DataFrame, size: int = 1000, overlap: int = 150, doc: str = "doc_name", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, chunk_no, chunk_id, text, *keep); chunk_no from 0. Null and blank texts have no chunks. Columns in ``keep`` go with each chunk.
 
     Splitting is done by column functions; packing is an ordered fold over each row's pieces, in Arrow batches without a shuffle.
     """
     check_sizes(size, overlap)
     pieces = X.hard_split(X.split_sentences(F.col(text)), size, overlap)
-    kind = docs.schema[doc].dataType.simpleString()
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (doc, *keep))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             packed = [pack(list(p), size, overlap) for p in rows.pieces]
             n = [len(p) for p in packed]
-            yield pd.DataFrame({doc: rows[doc].repeat(n).to_numpy(), "chunk_no": [i for k in n for i in range(k)], "text": [c for p in packed for c in p]})
+            own = rows[[doc, *keep]].loc[rows.index.repeat(n)].reset_index(drop=True)
+            yield own.assign(chunk_no=[i for k in n for i in range(k)], text=[c for p in packed for c in p])
 
-    rows = docs.select(F.col(doc), pieces.alias("pieces")).where(F.size("pieces") > 0).mapInPandas(run, f"`{doc}` {kind}, chunk_no int, text string")
-    return rows.select(doc, "chunk_no", F.concat(F.col(doc).cast("string"), F.lit("#chunk-"), F.col("chunk_no").cast("string")).alias("chunk_id"), "text")
+    rows = docs.select(doc, *keep, pieces.alias("pieces")).where(F.size("pieces") > 0).mapInPandas(run, f"{kinds}, chunk_no int, text string")
+    return rows.select(doc, "chunk_no", F.concat(F.col(doc).cast("string"), F.lit("#chunk-"), F.col("chunk_no").cast("string")).alias("chunk_id"), "text", *keep)
