@@ -5,12 +5,13 @@ score (the score of a passage that holds all its terms), so a score runs from 0
 threshold serves items of any length. Items lie in blocks of BLOCK by order of their length; each
 term keeps its greatest impact in each block and in all.
 
-Passages are windows of twice the longest item's words, one item's length apart, so that every
-occurrence of an item lies whole in one. Block-max WAND in its set-at-a-time form: the sum of the
+The passages that an item of L words is held against are windows of 2 L words, L apart, so that every occurrence lies whole in
+one, and whether an item is found does not hang on which other items there are. Items are indexed in bands of lengths up to a power of two, and
+each band's index is queried by passages that hold every window of its items: 4 times that power, half as far apart. Block-max WAND in its set-at-a-time form: the sum of the
 greatest impacts of a passage's words bounds every item (most passages end here, by running sums over
 whole batches); then the sum of the block maxima bounds each block; only items of blocks above the
-threshold are scored. Whatever reaches the threshold is verified: the passage must hold enough of
-the word pairs of the question and of those of the answer.
+threshold are scored. Whatever reaches the threshold there is verified in the item's own windows: one of them must reach the threshold
+and hold enough of the word pairs of the question and of those of the answer.
 
 Items come to the driver in groups of at most about GROUP_ITEMS and GROUP_CHARS, one after another, a bound on
 each broadcast and on the driver; a larger benchmark makes more passes over the documents (a stated query set against all
@@ -77,7 +78,9 @@ class Index:
         self.ids = [x[0] for x in items]
         terms = np.unique(np.array([t[0] for x in items for t in x[2]], np.int64).view(np.uint64))
         at, item, impact = [], [], []
-        self.longest = 1
+        self.size = [int(sum(t[1] for t in x[2])) for x in items]  # words
+        self.step = 2 << band_of(self.size[-1])  # items of one band: two blocks hold any window of each
+        self.own = []
         for i, (_, _, tt) in enumerate(items):
             h = np.array([t[0] for t in tt], np.int64).view(np.uint64)
             tf, df = np.array([t[1] for t in tt], float), np.array([t[2] for t in tt], float)
@@ -86,7 +89,7 @@ class Index:
             at.append(np.searchsorted(terms, h))
             item.append(np.full(len(h), i))
             impact.append(w / w.sum())
-            self.longest = max(self.longest, int(dl))
+            self.own.append((h, impact[-1]))
         self.terms = terms
         at, item, impact = np.concatenate(at), np.concatenate(item), np.concatenate(impact)
         by = np.lexsort((item, at))
@@ -129,6 +132,19 @@ class Index:
         return [(int(i), min(1.0, float(score[i]))) for i in np.flatnonzero(score >= threshold)]
 
 
+def band_of(words: int) -> int:
+    """Binary logarithm of the least power of two that is not under the number of words."""
+    return (words - 1).bit_length()
+
+
+def indexes(items: list[tuple], n: int, avgdl: float) -> list[Index]:
+    """One index for each band of the items (id, text, [(hash, tf, df)])."""
+    by: dict[int, list[tuple]] = {}
+    for x in items:
+        by.setdefault(band_of(sum(t[1] for t in x[2])), []).append(x)
+    return [Index(by[b], n, avgdl) for b in sorted(by)]
+
+
 def ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All integers of the ranges a:b one after another, and the ranges' lengths."""
     n = b - a
@@ -171,10 +187,10 @@ def grouped(ws: Workspace, items: DataFrame, item_id: str = "item_id", text: str
 def passages(index: Index, words: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, list[tuple[int, float]]]]:
     """(row, first word, end word, items above the threshold with scores) of the windows that have any.
 
-    Window j of a row is its blocks j and j + 1 of one item's length, so a word stands in two windows
+    Window j of a row is its blocks j and j + 1 of ``index.step`` words, so a word stands in two windows
     at most; it counts in one unless the same term stands before it there.
     """
-    term, step = index.term_of(words), index.longest
+    term, step = index.term_of(words), index.step
     sizes = np.diff(first)
     windows = np.maximum(1, -(-sizes // step) - 1)
     base = np.cumsum(windows) - windows
@@ -212,24 +228,42 @@ def passages(index: Index, words: np.ndarray, first: np.ndarray, threshold: floa
                 yield r, begin, int(min(begin + 2 * step, first[r + 1])), hits
 
 
-def leaks_of(index: Index, column: pa.Array, threshold: float, overlap: float) -> list[list[dict] | None]:
-    """For each row its leaks, best passage for each item."""
+def held(index: Index, i: int, words: np.ndarray, begin: int, a: int, b: int, end: int, threshold: float, overlap: float) -> tuple[float, float, float] | None:
+    """Best (score, question, answer) of item i in those of its own windows of a text (words begin:end) that lie in a:b."""
+    size, (terms, impact), best = index.size[i], index.own[i], None
+    for x in range(begin + -(-(a - begin) // size) * size, b, size):
+        y = min(x + 2 * size, end)
+        if y > b:
+            break
+        own = words[x:y]
+        score = min(1.0, float(impact[np.isin(terms, own)].sum()))
+        if score < threshold:
+            continue
+        two = pairs(own)
+        q, r = (share(p, two, own, len(p) == 1 and not np.isin(p, two).all()) for p in index.parts[i])
+        if q >= overlap and r >= overlap:
+            best = max(best or (0.0, 0.0, 0.0), (score, q, r))
+    return best
+
+
+def leaks_of(own: list[Index], column: pa.Array, threshold: float, overlap: float) -> list[list[dict] | None]:
+    """For each row its leaks, best window for each item."""
     out: list[list[dict] | None] = [None] * len(column)
+    threshold -= 1e-9
     for a0, _, flat, offsets in chunks(column):
         flat = lower(flat)
         starts, ends, first = word_spans(flat, offsets, NOT_ALNUM)
         words = word_hashes(flat, starts, ends)
-        found: dict[int, dict[int, tuple]] = {}
-        for row, a, b, hits in passages(index, words, first, threshold - 1e-9):
-            own = words[a:b]
-            two = pairs(own)
-            for i, score in hits:
-                q, r = (share(p, two, own, len(p) == 1 and not np.isin(p, two).all()) for p in index.parts[i])
-                if q >= overlap and r >= overlap:
-                    known = found.setdefault(row, {})
-                    known[i] = max(known.get(i, (0.0, 0.0, 0.0)), (score, q, r))
+        found: dict[int, dict[tuple[int, int], tuple]] = {}
+        for n, index in enumerate(own):
+            for row, a, b, hits in passages(index, words, first, threshold):
+                for i, _ in hits:
+                    best = held(index, i, words, int(first[row]), a, b, int(first[row + 1]), threshold, overlap)
+                    if best is not None:
+                        known = found.setdefault(row, {})
+                        known[n, i] = max(known.get((n, i), best), best)
         for row, known in found.items():
-            out[a0 + row] = [{"item_id": index.ids[i], "score": s, "question": q, "answer": r} for i, (s, q, r) in sorted(known.items())]
+            out[a0 + row] = [{"item_id": own[n].ids[i], "score": s, "question": q, "answer": r} for (n, i), (s, q, r) in sorted(known.items())]
     return out
 
 
@@ -248,7 +282,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "
         rows = table.where(F.col("group") == g).select("item_id", "text", "terms").collect()
         if not rows:
             continue
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps(Index([(r[0], r[1], [tuple(t) for t in r[2]]) for r in rows], n, avgdl)))
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(indexes([(r[0], r[1], [tuple(t) for t in r[2]]) for r in rows], n, avgdl)))
 
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             own = pickle.loads(shared.value)
