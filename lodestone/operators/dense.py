@@ -1,4 +1,4 @@
-"""Nearest vectors by inner product: exact as an expression, exact in NumPy blocks, or by cells of near vectors.
+"""Nearest vectors by inner product: exact as an expression, exact in NumPy blocks, or by cells of near vectors. ``graph`` walks graphs.
 
 A searcher is any function (queries, vectors, k) -> (query_id, rank, vec_id, score) for queries (query_id, embedding)
 against vectors (vec_id, embedding); ``search`` takes one by name or as it is. Null vectors take no part; vectors
@@ -29,15 +29,21 @@ SHARE = 0.5  # of the cells that a query looks into
 
 
 def choose(n: int, backend: str = "auto", approximate_from: int = APPROXIMATE_FROM) -> str:
-    if backend not in ("auto", *SEARCHERS):
-        raise ValueError(f"backend must be one of auto, {', '.join(SEARCHERS)}")
-    return backend if backend != "auto" else "cells" if n >= approximate_from else "exact"
+    names = ("auto", "graph", *SEARCHERS)
+    if backend not in names:
+        raise ValueError(f"backend must be one of {', '.join(names)}")
+    return backend if backend != "auto" else "graph" if n >= approximate_from else "exact"
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, backend: str | Searcher = "auto") -> DataFrame:
     if callable(backend):
         return backend(queries, vectors, k)
-    return SEARCHERS[choose(vectors.count() if backend == "auto" else 0, backend)](queries, vectors, k)
+    name = choose(vectors.count() if backend == "auto" else 0, backend)
+    if name == "graph":
+        from lodestone.operators import graph  # which is built on this module
+
+        return graph.near(queries, vectors, k)
+    return SEARCHERS[name](queries, vectors, k)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -149,14 +155,14 @@ def exact_columns(queries: DataFrame, vectors: DataFrame, k: int, digits: int =
     return ranked(vectors.select("vec_id", "embedding").crossJoin(q).select("query_id", "vec_id", (F.round(X.cosine(F.col("q"), F.col("embedding")), digits) + F.lit(0.0)).alias("score")), k)
 
 
-def fit_cells(vectors: DataFrame, n: int, seed: int = 7, rounds: int = 8) -> np.ndarray:
-    """Unit centres of min(MOST_CELLS, 4 sqrt(n)) cells, by spherical k-means on the SAMPLE vectors of least hash; none for no vectors."""
+def fit_cells(vectors: DataFrame, n: int, seed: int = 7, rounds: int = 8, count: int | None = None) -> np.ndarray:
+    """Unit centres of ``count`` cells, 4 sqrt(n) where not given and at most MOST_CELLS, by spherical k-means on the SAMPLE vectors of least hash; none for no vectors."""
     some = vectors.where("embedding IS NOT NULL").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE).select("vec_id", "embedding").toArrow()
     if not some.num_rows:
         return np.zeros((0, 0))
     _, v = matrix(some.combine_chunks().to_batches()[0], len(some.column(1)[0]))
     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    cells = max(1, min(MOST_CELLS, int(4 * math.sqrt(n)), len(v)))
+    cells = max(1, min(MOST_CELLS, count or int(4 * math.sqrt(n)), len(v)))
     centres = v[np.random.default_rng(seed).choice(len(v), cells, replace=False)]
     for _ in range(rounds):
         own = (v @ centres.T).argmax(1)

@@ -9,16 +9,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import dense, lexical
+from lodestone.operators import graph, lexical
 
-FORMAT = 2  # of a snapshot
+FORMAT = 3  # of a snapshot
 SPLITS, SAMPLE = 100, 1000  # ranges of names that numbers are dealt by, and names that these ranges are read from
 TABLES = {
     "chunks": "chunk_id string, doc_name string, chunk_no int, chunk_ord long, text string, embedding array<float>",
     "postings": "term string, chunk_ord long, dl long, tf long",
     "terms": "term string, df long, idf double",
     "stats": "n long, avgdl double",
-    "vectors": "vec_id long, embedding array<float>, cell int",
+    "graph": graph.SCHEMA,
     "centres": "cell int, centre array<double>",
     "doc_state": "doc_name string, doc_hash string",
     "actions": "doc_name string, action string, error string",
@@ -102,26 +102,26 @@ class Snapshots:
     def _table(self, name: str, table: str) -> DataFrame:
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{name}/{table}")
 
-    def _write(self, name: str, table: str, df: DataFrame) -> DataFrame:
-        df.select(*df.columns).to(self.spark.createDataFrame([], TABLES[table]).schema).write.parquet(f"{self.root}/{name}/{table}")
+    def _write(self, name: str, table: str, df: DataFrame, **options: int) -> DataFrame:
+        df.select(*df.columns).to(self.spark.createDataFrame([], TABLES[table]).schema).write.options(**options).parquet(f"{self.root}/{name}/{table}")
         return self._table(name, table)
 
     def index(self) -> lexical.Index:
         """The stored postings, terms and lengths."""
         return lexical.Index(self.read("postings"), self.read("terms"), self.read("stats"))
 
-    def cells(self) -> tuple[DataFrame, np.ndarray] | None:
-        """Vectors by cell and the cells' centres (at most ``dense.MOST_CELLS``), where the snapshot has them."""
+    def graph(self) -> tuple[DataFrame, np.ndarray] | None:
+        """Graphs of vectors, a row a shard, and the cells' centres (at most ``dense.MOST_CELLS``), where the snapshot has them."""
         now = self.current()
-        if now is None or not now.get("cells"):
+        if now is None or not now.get("graph"):
             return None
-        return self.read("vectors"), np.array([r[0] for r in self.read("centres").orderBy("cell").select("centre").collect()])
+        return self.read("graph"), np.array([r[0] for r in self.read("centres").orderBy("cell").select("centre").collect()])
 
-    def publish(self, chunks: DataFrame, state: DataFrame, model: str, actions: DataFrame | None = None, cells_from: int | None = None) -> str:
+    def publish(self, chunks: DataFrame, state: DataFrame, model: str, actions: DataFrame | None = None, graph_from: int | None = None) -> str:
         """Write all tables, check them, then flip the pointer in one rename. A change of model needs a rebuild.
 
-        Postings are sorted by term and vectors by cell, so that a reader of few terms or cells skips the other row groups.
-        From ``cells_from`` chunks on the vectors are dealt to cells.
+        Postings are sorted by term, so that a reader of few terms skips the other row groups.
+        From ``graph_from`` chunks on the vectors get graphs, a file each, so that each is a task.
         """
         name = f"v-{uuid.uuid4().hex}"
         written = self._write(name, "chunks", chunks)
@@ -137,16 +137,16 @@ class Snapshots:
         post = self._write(name, "postings", lexical.postings(texts, "chunk_ord").repartitionByRange("term", "chunk_ord").sortWithinPartitions("term", "chunk_ord"))
         stats = self._write(name, "stats", lexical.corpus(texts, post))
         self._write(name, "terms", lexical.idf(post, stats).repartitionByRange("term").sortWithinPartitions("term"))
-        dealt = cells_from is not None and 0 < rows >= cells_from
+        dealt = graph_from is not None and 0 < rows >= graph_from
         if dealt:
             vectors = written.select(F.col("chunk_ord").alias("vec_id"), "embedding")
-            centres = dense.fit_cells(vectors, rows)  # each row has a vector, as checked above
-            self._write(name, "vectors", dense.with_cells(vectors, centres).repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id"))
+            shards, centres = graph.build(vectors)
+            self._write(name, "graph", shards, maxRecordsPerFile=1)
             self._write(name, "centres", self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], TABLES["centres"]))
         fs, path, jvm = self._fs(f"{self.root}/CURRENT")
         tmp = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT.{uuid.uuid4().hex}")
         out = fs.create(tmp)
-        out.write(bytearray(json.dumps({"snapshot": name, "model": model, "format": FORMAT, "cells": dealt}).encode()))
+        out.write(bytearray(json.dumps({"snapshot": name, "model": model, "format": FORMAT, "graph": dealt}).encode()))
         out.close()
         ctx = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)

@@ -265,6 +265,13 @@ def ann_cells_recall(s: SparkSession, d: str) -> DataFrame:
     return dense.recall(dense.cells(q, e, 10), dense.exact(q, e, 10))
 
 
+@query()
+def ann_graph_recall(s: SparkSession, d: str) -> DataFrame:
+    """Recall at 10 of walks over graphs, for each question."""
+    e, q = t(s, d, "embeddings"), item_vectors(s, d)
+    return dense.recall(dense.search(q, e, 10, "graph"), dense.exact(q, e, 10))
+
+
 def fused(s: SparkSession, d: str) -> DataFrame:
     near = dense.exact(item_vectors(s, d), doc_vectors(s, d), K).withColumnRenamed("vec_id", "doc_id")
     return fusion.fuse(near, lexical.bm25(asked(s, d), t(s, d, "documents"), K), K)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions import embed
 from lodestone.functions import text as X
-from lodestone.operators import chunking, dense, evaluate, fusion, lexical, sync
+from lodestone.operators import chunking, dense, evaluate, fusion, graph, lexical, sync
 from lodestone.operators.evaluate import KS
 from lodestone.plans import config, llm_client
 from lodestone.sources import files
@@ -55,7 +55,7 @@ class Engine:
         chunks = sync.upsert(old_chunks, delta, gone)
         kept = sync.remove(state, gone).unionByName(good.select("doc_name", "doc_hash"))
         out = actions.join(texts.select("doc_name", "error"), "doc_name", "left").select("doc_name", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("action")).alias("action"), "error")
-        searched = {"auto": s.approximate_min_chunks, "cells": 0}.get(s.vector_backend)
+        searched = {"auto": s.approximate_min_chunks, "graph": 0}.get(s.vector_backend)
         try:
             self.store.publish(chunks, kept, s.embedding_model, out, searched)
         finally:
@@ -82,15 +82,15 @@ class Engine:
         return fusion.cut(found, keep or s.top_k)
 
     def _near(self, asked: DataFrame, chunks: DataFrame) -> DataFrame:
-        """Nearest chunks: by the searcher that was given, by the stored cells, or exactly."""
+        """Nearest chunks: by the searcher that was given, by the stored graphs, or exactly."""
         s = self.settings
         vectors = chunks.select(F.col("chunk_ord").alias("vec_id"), "embedding")
         if self.searcher is not None:
             return self.searcher(asked, vectors, s.top_k)
-        dealt = None if s.vector_backend == "exact" else self.store.cells()
+        dealt = None if s.vector_backend == "exact" else self.store.graph()
         if dealt is None:
             return dense.exact(asked, vectors, s.top_k)
-        return dense.probe(asked, *dealt, s.top_k)
+        return graph.search(asked, *dealt, s.top_k)
 
     def prompts(self, questions: DataFrame) -> DataFrame:
         """(query_id, prompt, contexts): null prompt where nothing was found."""

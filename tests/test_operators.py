@@ -83,7 +83,7 @@ def test_dense(spark):
     for found in (dense.exact(q, v, 1), dense.exact_columns(q, v, 1), dense.search(q, v, 1, "auto"), dense.cells(q, v, 1, share=1.0), dense.search(q, v, 1, dense.exact)):
         assert sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect()) == want
     assert dense.exact(q, v, 0).count() == 0 and dense.exact(q.limit(0), v, 3).count() == 0
-    assert dense.choose(50_000) == "cells" and dense.choose(10) == "exact"
+    assert dense.choose(50_000) == "graph" and dense.choose(10) == "exact"
     with pytest.raises(ValueError):
         dense.choose(1, "other")
 
@@ -288,10 +288,10 @@ def test_stored_index_serves_as_a_new_one(running, spark):
     assert both[0] == both[1] and len(both[0]) == 24
     plan = lexical.scores(q, lexical.narrowed(q, e.store.index()), "chunk_ord")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term" in plan or "In(term" in plan
-    dealt = engine.Engine(spark, config.replace(e.settings, vector_backend="cells"), e.embedder, e.scorer)
+    dealt = engine.Engine(spark, config.replace(e.settings, vector_backend="graph"), e.embedder, e.scorer)
     dealt.sync(full=True)
-    vectors, centres = dealt.store.cells()
-    assert vectors.count() == 32 and len(centres) == 22 and dealt.retrieve(q.withColumnRenamed("text", "question")).count() == 15
+    shards, centres = dealt.store.graph()
+    assert [r["n"] for r in shards.select("n").collect()] == [32] and len(centres) == 1 and dealt.retrieve(q.withColumnRenamed("text", "question")).count() == 15
     seen = []
     own = engine.Engine(spark, e.settings, e.embedder, e.scorer, lambda qs, vs, k: seen.append(k) or dense.exact(qs, vs, k))
     assert own.retrieve(q.withColumnRenamed("text", "question"), hybrid=False).count() == 15 and seen == [5]
