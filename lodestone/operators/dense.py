@@ -90,6 +90,34 @@ def matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), width)
 
 
+def packed(vectors: DataFrame) -> DataFrame:
+    """(ids, vectors): vectors (vec_id, embedding) of a batch as two runs of bytes; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, v = matrix(batch, len(batch.column(1)[0]))
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["ids", "vectors"])
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("embedding IS NOT NULL").mapInArrow(run, "ids binary, vectors binary")
+
+
+def nearest_packed(q: np.ndarray, packs: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """(vec_id, score) of the k vectors nearest to one query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, v = np.frombuffer(ids, np.int64), np.frombuffer(v, np.float32)
+                if len(v) != len(ids) * len(q):
+                    raise ValueError(f"vectors must all have {len(q)} numbers")
+                s = np.round(v.reshape(len(ids), -1).astype(np.float64) @ q, digits) + 0.0
+                top = np.lexsort((ids, -s))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[top]), pa.array(s[top])], ["vec_id", "score"])
+
+    return packs.mapInArrow(run, "vec_id long, score double").orderBy(F.desc("score"), "vec_id").limit(k)
+
+
 def blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     """Numbers and vectors of the queries, the stated side, a block at a time."""
     ids, rows = [], []

@@ -1,6 +1,6 @@
 """BM25 over an inverted index of tokens. Okapi with the usual defaults (assumed, see README).
 
-An ``Index`` is built once and can be stored; queries start from their own terms and meet only those postings.
+An ``Index`` is built once; ``blocks`` packs it for storing. Queries start from their own terms and meet only those postings.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-LITERALS = 200  # up to so many different query terms reach the scan of stored postings as a list
+BLOCK = 1024  # keys whose postings lie together
 
 
 class Index(NamedTuple):
@@ -25,7 +25,7 @@ class Index(NamedTuple):
 def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """(term, key, dl, tf): one row for each distinct term of a chunk. dl is known before the explosion, so no second pass."""
     tokens = chunks.select(key, X.tokenize(F.col("text")).alias("t")).where(F.size("t") > 0)
-    return tokens.select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    return tokens.select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).where("term IS NOT NULL").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
 def corpus(chunks: DataFrame, post: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def corpus(chunks: DataFrame, post: DataFrame) -> DataFrame:
 
 def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf): ln(n - df + .5) - ln(df + .5); where that is negative, EPSILON times the mean over all terms."""
-    raw = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
+    # counting by tf asks for the same columns as the other uses of the postings do, so Spark makes them once
+    raw = post.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
     raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -45,8 +46,7 @@ def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
 
 def build(chunks: DataFrame, key: str = "doc_id") -> Index:
     post = postings(chunks, key)
-    stats = corpus(chunks, post)
-    return Index(post, idf(post, stats), stats)
+    return Index(post, idf(post, chunks.agg(F.count("*").alias("n"))), corpus(chunks, post))
 
 
 def scores(queries: DataFrame, index: Index, key: str = "doc_id") -> DataFrame:
@@ -54,19 +54,45 @@ def scores(queries: DataFrame, index: Index, key: str = "doc_id") -> DataFrame:
 
     The queries' terms are the small side of both joins; Spark broadcasts them where its own size limit allows.
     """
-    terms = queries.select("query_id", F.explode(X.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    met = terms.join(index.terms.select("term", "idf"), "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats))
+    met = asked_terms(queries).join(index.terms.select("term", "idf"), "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", key).agg(F.sum(F.col("times") * part).alias("score"))
 
 
-def narrowed(queries: DataFrame, stored: Index) -> Index:
-    """The stored index with a list of the queries' terms pushed to its scans, where they are few."""
-    seen = queries.select(F.explode(X.tokenize(F.col("text"))).alias("term")).distinct().limit(LITERALS + 1).collect()
-    if len(seen) > LITERALS:
-        return stored
-    only = F.col("term").isin([r[0] for r in seen])
-    return Index(stored.postings.where(only), stored.terms.where(only), stored.stats)
+def blocks(index: Index, key: str) -> DataFrame:
+    """(term, block, top, low, keys, impacts): the index packed for storing.
+
+    A row holds the postings of a term in one range of BLOCK keys, as sorted keys and what each adds to a score, with the greatest and least of these.
+    """
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    rows = index.postings.join(index.terms.select("term", "idf"), "term").crossJoin(F.broadcast(index.stats)).select("term", F.floor(F.col(key) / BLOCK).alias("block"), F.col(key).alias("key"), part.alias("impact"))
+    packed = rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("key", "impact"))).alias("p"))  # BLOCK at most
+    return packed.select("term", "block", F.array_max("p.impact").alias("top"), F.array_min("p.impact").alias("low"), F.col("p.key").alias("keys"), F.col("p.impact").alias("impacts"))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(X.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def live(terms: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """(query_id, block) of ``blocks`` that may hold one of a query's k best keys; the packed postings themselves are not read.
+
+    The greatest impact of each block is reached by a key, so the kth greatest over all blocks is a score that k keys reach; a block whose
+    terms' greatest impacts add up to less has none of the k best. Where some impact is negative all blocks are live.
+    """
+    per = terms.join(stored.select("term", "block", "top", "low"), "term").groupBy("query_id", "block").agg(F.sum(F.col("times") * F.greatest("top", F.lit(0.0))).alias("bound"), F.max(F.col("times") * F.col("top")).alias("sure"), F.min("low").alias("low"))
+    own = Window.partitionBy("query_id")
+    placed = per.withColumn("place", F.row_number().over(own.orderBy(F.desc("sure"), "block")))
+    known = placed.withColumns({"kth": F.max(F.when(F.col("place") == k, F.col("sure"))).over(own), "least": F.min("low").over(own)})
+    return known.where("kth IS NULL OR least < 0 OR bound >= kth - 1e-6").select("query_id", "block")  # scores are rounded to six digits
+
+
+def stored_scores(queries: DataFrame, stored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """``scores`` from ``blocks``, without keys that are surely not among a query's k best."""
+    terms = asked_terms(queries)
+    met = terms.join(stored.select("term", "block", "keys", "impacts"), "term").join(live(terms, stored, k), ["query_id", "block"])
+    each = met.select("query_id", "times", F.explode(F.arrays_zip("keys", "impacts")).alias("p"))
+    return each.groupBy("query_id", F.col("p.keys").alias(key)).agg(F.sum(F.col("times") * F.col("p.impacts")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", digits: int = 6) -> DataFrame:
@@ -76,15 +102,15 @@ def top_k(scored: DataFrame, k: int, key: str = "doc_id", digits: int = 6) -> Da
     return rounded.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", fill: bool = False, index: Index | None = None) -> DataFrame:
-    """Top k chunks of each query, from ``index`` or from one built for this call.
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", fill: bool = False, stored: DataFrame | None = None) -> DataFrame:
+    """Top k chunks of each query, from ``stored`` blocks or from an index built for this call.
 
     ``fill``: chunks without a shared token rank with score 0, in key order, among the rest. Only queries with under k
     positive scores are filled, each from the first m + k keys, m being its matches; as such a query has
     under k positive matches, m passes k only by matches whose scores are not positive. So at most k rows a query more
     than its matches are made, and the head that holds them is as long as the largest m plus k.
     """
-    found = scores(queries, build(chunks, key) if index is None else narrowed(queries, index), key)
+    found = scores(queries, build(chunks, key), key) if stored is None else stored_scores(queries, stored, k, key)
     if not fill:
         return top_k(found, k, key)
     counts = queries.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.round("score", 6) > 0).alias("p")), "query_id", "left").fillna(0)

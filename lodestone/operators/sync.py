@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph, lexical
 
-FORMAT = 3  # of a snapshot
+FORMAT = 4  # of a snapshot
 SPLITS, SAMPLE = 100, 1000  # ranges of names that numbers are dealt by, and names that these ranges are read from
 TABLES = {
     "chunks": "chunk_id string, doc_name string, chunk_no int, chunk_ord long, text string, embedding array<float>",
-    "postings": "term string, chunk_ord long, dl long, tf long",
+    "postings": "term string, chunk_ord long, dl long, tf long",  # while a snapshot is written
+    "blocks": "term string, block long, top double, low double, keys array<long>, impacts array<double>",
     "terms": "term string, df long, idf double",
     "stats": "n long, avgdl double",
     "graph": graph.SCHEMA,
@@ -89,7 +90,11 @@ class Snapshots:
         fs, path, _ = self._fs(f"{self.root}/CURRENT")
         if not fs.exists(path):
             return None
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        stream = fs.open(path)  # a question must not cost a job for this
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def read(self, table: str) -> DataFrame:
         now = self.current()
@@ -106,10 +111,6 @@ class Snapshots:
         df.select(*df.columns).to(self.spark.createDataFrame([], TABLES[table]).schema).write.options(**options).parquet(f"{self.root}/{name}/{table}")
         return self._table(name, table)
 
-    def index(self) -> lexical.Index:
-        """The stored postings, terms and lengths."""
-        return lexical.Index(self.read("postings"), self.read("terms"), self.read("stats"))
-
     def graph(self) -> tuple[DataFrame, np.ndarray] | None:
         """Graphs of vectors, a row a shard, and the cells' centres (at most ``dense.MOST_CELLS``), where the snapshot has them."""
         now = self.current()
@@ -117,13 +118,24 @@ class Snapshots:
             return None
         return self.read("graph"), np.array([r[0] for r in self.read("centres").orderBy("cell").select("centre").collect()])
 
+    def _delete(self, name: str) -> None:
+        fs, path, _ = self._fs(f"{self.root}/{name}")
+        fs.delete(path, True)
+
+    def _tidy(self, keep: set[str | None]) -> None:
+        """Older snapshots and those that failed go; the last but one stays for who still reads it. One writer at a time is assumed."""
+        fs, path, _ = self._fs(self.root)
+        for found in fs.listStatus(path):
+            if (folder := found.getPath().getName()).startswith("v-") and folder not in keep:
+                self._delete(folder)
+
     def publish(self, chunks: DataFrame, state: DataFrame, model: str, actions: DataFrame | None = None, graph_from: int | None = None) -> str:
         """Write all tables, check them, then flip the pointer in one rename. A change of model needs a rebuild.
 
-        Postings are sorted by term, so that a reader of few terms skips the other row groups.
+        Packed postings are sorted by term, so that a reader of few terms skips the other row groups.
         From ``graph_from`` chunks on the vectors get graphs, a file each, so that each is a task.
         """
-        name = f"v-{uuid.uuid4().hex}"
+        name, before = f"v-{uuid.uuid4().hex}", self.current()
         written = self._write(name, "chunks", chunks)
         told = self._write(name, "doc_state", state)
         if actions is not None:
@@ -134,9 +146,12 @@ class Snapshots:
         if ids != rows or not written.join(told, "doc_name", "left_anti").isEmpty():
             raise ValueError("chunks need names of their own and documents that are known")
         texts = written.select("chunk_ord", "text")
-        post = self._write(name, "postings", lexical.postings(texts, "chunk_ord").repartitionByRange("term", "chunk_ord").sortWithinPartitions("term", "chunk_ord"))
+        post = self._write(name, "postings", lexical.postings(texts, "chunk_ord"))
         stats = self._write(name, "stats", lexical.corpus(texts, post))
-        self._write(name, "terms", lexical.idf(post, stats).repartitionByRange("term").sortWithinPartitions("term"))
+        terms = self._write(name, "terms", lexical.idf(post, stats).repartitionByRange("term").sortWithinPartitions("term"))
+        packs = lexical.blocks(lexical.Index(post, terms, stats), "chunk_ord")
+        self._write(name, "blocks", packs.repartitionByRange("term", "block").sortWithinPartitions("term", "block"))
+        self._delete(f"{name}/postings")
         dealt = graph_from is not None and 0 < rows >= graph_from
         if dealt:
             vectors = written.select(F.col("chunk_ord").alias("vec_id"), "embedding")
@@ -152,4 +167,5 @@ class Snapshots:
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         ctx.rename(tmp, path, options)
+        self._tidy({name, (before or {}).get("snapshot")})
         return name

@@ -62,12 +62,13 @@ def qa(engine: Engine, args: argparse.Namespace) -> int:
     if not engine.health().first()["chunks"]:
         print("the index is empty", file=sys.stderr)
         return 1
+    engine.one.warm()
     while (line := sys.stdin.readline()) and line.strip().lower() not in ("", "quit", "exit", "q"):
         try:
             for part in engine.ask_stream(line.strip())[1]:
                 print(part, end="", flush=True)
             print()
-        except llm_client.LLMError as err:
+        except (llm_client.LLMError, ValueError) as err:  # the next question may do better
             print(err, file=sys.stderr)
     return 0
 

@@ -14,7 +14,7 @@ from lodestone.functions import embed
 from lodestone.functions import text as X
 from lodestone.operators import chunking, dense, evaluate, fusion, graph, lexical, sync
 from lodestone.operators.evaluate import KS
-from lodestone.plans import config, llm_client
+from lodestone.plans import config, llm_client, serving
 from lodestone.sources import files
 
 # The instruction that opens a grounded question.
@@ -31,6 +31,7 @@ class Engine:
         self.scorer = scorer or embed.cross_encoder(settings.reranker_model)
         self.searcher = searcher
         self.store = sync.Snapshots(spark, settings.index_dir)
+        self.one = serving.OneQuestion(self)
 
     def sync(self, full: bool = False) -> DataFrame:
         """Bring the index up to date with docs_dir; returns (doc_name, action, error). Only changed files are read as text.
@@ -73,7 +74,7 @@ class Engine:
         asked = questions.select("query_id", self.embedder(X.with_prefix(F.col("question"), s.embedding_model, X.QUERY_PREFIX)).alias("embedding"))
         best = self._near(asked, chunks).withColumnRenamed("vec_id", "chunk_ord")
         if hybrid:
-            words = lexical.bm25(questions.select("query_id", F.col("question").alias("text")), chunks.select("chunk_ord", "text"), s.top_k, "chunk_ord", fill=True, index=self.store.index())
+            words = lexical.bm25(questions.select("query_id", F.col("question").alias("text")), chunks.select("chunk_ord", "text"), s.top_k, "chunk_ord", fill=True, stored=self.store.read("blocks"))
             best = fusion.fuse(best, words, s.top_k, "chunk_ord").select("query_id", "rank", "chunk_ord", "score")
         found = best.join(chunks.select("chunk_ord", "chunk_id", "text"), "chunk_ord").select("query_id", "rank", "chunk_id", "text", "score")
         if rerank:
@@ -104,22 +105,19 @@ class Engine:
 
     def ask(self, question: str) -> dict:
         """Answer and contexts of one question."""
-        row = self._one(question)
-        if row["prompt"] is None:
-            return {"answer": NO_CONTEXT, "contexts": []}
-        answer = self.client().chat(config.system_prompt(self.settings), row["prompt"])
-        return {"answer": answer, "contexts": [c.asDict() for c in row["contexts"]]}
+        contexts, prompt = self._one(question)
+        return {"answer": self.client().chat(config.system_prompt(self.settings), prompt) if contexts else NO_CONTEXT, "contexts": contexts}
 
     def ask_stream(self, question: str) -> tuple[list[dict], Iterator[str]]:
-        row = self._one(question)
-        if row["prompt"] is None:
-            return [], iter([NO_CONTEXT])
-        return [c.asDict() for c in row["contexts"]], self.client().stream(config.system_prompt(self.settings), row["prompt"])
+        contexts, prompt = self._one(question)
+        return contexts, self.client().stream(config.system_prompt(self.settings), prompt) if contexts else iter([NO_CONTEXT])
 
-    def _one(self, question: str):
+    def _one(self, question: str) -> tuple[list[dict], str]:
         if not 1 <= len(question) <= 10_000:
             raise ValueError("a question has 1 to 10000 characters")
-        return self.prompts(self.spark.createDataFrame([("q", question)], "query_id string, question string")).first()
+        contexts = self.one.search(question, keep=self.settings.top_n_contexts)
+        asked = self.spark.createDataFrame([(question, [c["text"] for c in contexts])], "question string, texts array<string>")
+        return contexts, asked.select(X.rag_prompt(F.col("question"), F.col("texts"), INSTRUCTION)).first()[0]
 
     def analyze(self, path: str) -> str:
         """The model's analysis of one document, cut to max_analysis_chars."""
@@ -133,20 +131,24 @@ class Engine:
 
         ``timed`` adds latency_ms: each question of the stated set is asked alone, after one that warms up and does not count.
         """
-        def ask(asked: DataFrame) -> DataFrame:
-            return how(asked) if callable(how) else self.retrieve(asked, **how)
-
         asked = questions.select(F.col("id").alias("query_id"), "question")
-        found = evaluate.first_relevant(ask(asked), questions)
         if not timed:
-            return found
-        schema = T.StructType([T.StructField("id", questions.schema["id"].dataType), T.StructField("latency_ms", T.DoubleType())])
-        times, rows = [], asked.collect()
+            return evaluate.first_relevant(how(asked) if callable(how) else self.retrieve(asked, **how), questions)
+
+        def ask(row: T.Row) -> list[tuple]:
+            if callable(how):
+                return [(r["rank"], r["text"]) for r in how(self.spark.createDataFrame([row], asked.schema)).select("rank", "text").collect()]
+            return [(r["rank"], r["text"]) for r in self.one.search(row["question"], **how)]
+
+        kind = questions.schema["id"].dataType.simpleString()
+        times, found, rows = [], [], asked.collect()
         for row in [*rows[:1], *rows]:
             began = time.perf_counter()
-            ask(self.spark.createDataFrame([row], asked.schema)).select("rank", "text").collect()
+            got = ask(row)
             times.append((row["query_id"], (time.perf_counter() - began) * 1000))
-        return found.join(self.spark.createDataFrame(times[1:], schema), "id", "left")
+            found.append([(row["query_id"], *x) for x in got])
+        ranked = self.spark.createDataFrame([x for part in found[1:] for x in part], f"query_id {kind}, rank int, text string")
+        return evaluate.first_relevant(ranked, questions).join(self.spark.createDataFrame(times[1:], f"id {kind}, latency_ms double"), "id", "left")
 
     def evaluate(self, questions: DataFrame, configs: dict[str, Retrieve | dict] | None = None, ks: tuple[int, ...] = KS, timed: bool = False) -> DataFrame:
         """(config, metric, value) for each configuration of ``results``, e.g. {"dense": {"hybrid": False}}."""

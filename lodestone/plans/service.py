@@ -81,4 +81,5 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
 
 
 def serve(engine: Engine, host: str, port: int) -> None:
+    engine.one.warm()
     ThreadingHTTPServer((host, port), handler(engine)).serve_forever()
