@@ -116,8 +116,10 @@ class Engine:
         if not 1 <= len(question) <= 10_000:
             raise ValueError("a question has 1 to 10000 characters")
         contexts = self.one.search(question, keep=self.settings.top_n_contexts)
-        asked = self.spark.createDataFrame([(question, [c["text"] for c in contexts])], "question string, texts array<string>")
-        return contexts, asked.select(X.rag_prompt(F.col("question"), F.col("texts"), INSTRUCTION)).first()[0]
+        if not contexts:
+            return [], ""
+        prompt = X.rag_prompt(F.lit(question), F.array(*[F.lit(c["text"]) for c in contexts]), INSTRUCTION)
+        return contexts, self.spark.range(0, 1, 1, 1).select(prompt).collect()[0][0]
 
     def analyze(self, path: str) -> str:
         """The model's analysis of one document, cut to max_analysis_chars."""

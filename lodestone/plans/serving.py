@@ -62,8 +62,8 @@ class OneQuestion:
         e, s, tables = self.engine, self.engine.settings, self._tables()
         hybrid = s.use_hybrid_search if hybrid is None else hybrid
         rerank = s.use_reranker if rerank is None else rerank
-        asked = e.spark.createDataFrame([(question,)], "question string")
-        one = asked.select(X.tokenize(F.col("question")).alias("terms"), e.embedder(X.with_prefix(F.col("question"), s.embedding_model, X.QUERY_PREFIX)).alias("v")).first()
+        asked = e.spark.range(0, 1, 1, 1).select(F.lit(question).alias("question"))  # one task
+        one = asked.select(X.tokenize(F.col("question")).alias("terms"), e.embedder(X.with_prefix(F.col("question"), s.embedding_model, X.QUERY_PREFIX)).alias("v")).collect()[0]
         with ThreadPoolExecutor(2) as pool:  # both rankings at once
             near = pool.submit(inheritable_thread_target(e.spark)(self._near), one["v"], tables)
             words = self._words(question, one["terms"], tables) if hybrid else None
