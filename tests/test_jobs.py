@@ -1,5 +1,6 @@
 """The jobs on growing copies of tables, rerun, and against the library's own functions."""
 
+import hashlib
 import json
 import subprocess
 import sys
@@ -55,7 +56,7 @@ def test_chunks_follow_a_growing_folder(spark, tmp_path, caplog):
     assert "read 6 rows (0 without doc_id), 1 documents added, 3 updated" in caplog.text
     assert Counter(r.version for r in ledger(spark, at)) == {0: 5, 1: 4}
     put(spark, f"{at}/in", [(7, "a b.", "x"), (7, "c d.", "y"), (8, "Ω.", "x/y=z %")])
-    assert {(i, lang) for i, lang, *_ in take(spark, at) if i > 6} == {(8, "x/y=z %"), max(((7, "x"), (7, "y")), key=lambda r: __import__("hashlib").sha256({"x": b"a b.", "y": b"c d."}[r[1]]).hexdigest())}
+    assert {(i, lang) for i, lang, *_ in take(spark, at) if i > 6} == {(8, "x/y=z %"), max(((7, "x"), (7, "y")), key=lambda r: hashlib.sha256({"x": b"a b.", "y": b"c d."}[r[1]]).hexdigest())}
 
 
 def test_batches_of_one_file_give_the_same(spark, tmp_path):

@@ -2,7 +2,9 @@ import io
 import json
 import logging
 import re
+import sys
 import threading
+import types
 import zipfile
 from urllib import error, request
 
@@ -180,6 +182,56 @@ def test_word_files():
     assert files.heading_level("Heading 9") == 6 and files.heading_level("Überschrift 1") == 1 and files.heading_level("Normal") == 0
 
 
+def test_merged_word_cells_are_told_in_each_place():
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+    def cell(text, span=1, merge=None):
+        props = (f'<w:gridSpan w:val="{span}"/>' if span > 1 else "") + {None: "", "start": '<w:vMerge w:val="restart"/>', "on": "<w:vMerge/>"}[merge]
+        return f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+
+    rows = [[cell("wide", 2), cell("c")], [cell("tall", 1, "start"), cell("x"), cell("y")], [cell("", 1, "on"), cell("z"), cell("", 1, "on")], [cell("end"), cell(""), cell("e")]]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:tbl>' + "".join(f"<w:tr>{''.join(r)}</w:tr>" for r in rows) + "</w:tbl></w:body></w:document>")
+    assert files.docx(out.getvalue()) == "| wide | wide | c |\n| tall | x | y |\n| tall | z | y |\n| end |  | e |"
+
+
+class FakePage:
+    def get_text(self, kind):
+        return "page text"
+
+    def get_images(self, full):
+        return [(1,), (2,), (3,)]
+
+
+class FakeBook:
+    def __enter__(self):
+        return iter_book(self)
+
+    def __exit__(self, *error):
+        return False
+
+
+def iter_book(book):
+    class Pages(list):
+        def extract_image(self, reference):
+            if reference == 2:
+                raise RuntimeError("no such picture")
+            return {"image": b"picture %d" % reference}
+
+    return Pages([FakePage()])
+
+
+def test_a_bad_picture_loses_only_itself(monkeypatch):
+    """Stand-ins for the packages: a picture that cannot be taken out leaves the page and the other pictures."""
+    picture = types.SimpleNamespace(size=(2, 2), convert=lambda mode: picture, resize=lambda size: picture, point=lambda f, mode: picture)
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda **kw: FakeBook()))
+    monkeypatch.setitem(sys.modules, "pytesseract", types.SimpleNamespace(image_to_string=lambda image, config: " seen "))
+    monkeypatch.setitem(sys.modules, "PIL", types.SimpleNamespace(Image=types.SimpleNamespace(open=lambda data: picture)))
+    monkeypatch.setattr(files.importlib.util, "find_spec", lambda name: True)
+    assert files.pdf_with_figures(b"") == "page text\n[Figure p.1] seen\n[Figure p.1] seen"
+
+
 def test_excel_files():
     openpyxl = pytest.importorskip("openpyxl")
     book, out = openpyxl.Workbook(), io.BytesIO()
