@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file:///tmp/lodestone-checkpoints"
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
