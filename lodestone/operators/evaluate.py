@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lodestone.functions import text as X
 
 KS = (1, 3, 5, 10)
 BLOCK_BYTES = 8 << 20  # texts of items that one broadcast holds
+GRAM = 3  # adjacent words by which items are looked up in documents
 
 
 def first_relevant(ranked: DataFrame, questions: DataFrame) -> DataFrame:
@@ -58,20 +61,56 @@ def record(results: DataFrame, config: str, ks: tuple[int, ...] = KS) -> dict:
     return {"config": config, "recall_at_k": {str(k): m[f"recall@{k}"] for k in ks}, "mrr": m["mrr"], "latency_p50_ms": m["latency_p50_ms"], "latency_p95_ms": m["latency_p95_ms"], "num_answerable": int(m["num_answerable"]), "num_unanswerable": int(m["num_unanswerable"]), "per_question": per}
 
 
+def word_grams(words: Column) -> Column:
+    """Distinct hashes of each GRAM words in a row."""
+
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - GRAM)
+        return F.when(F.size(w) >= GRAM, F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[w[i + j] for j in range(GRAM)])))).otherwise(F.array().cast("array<long>"))
+
+    return F.transform(F.array(words), of)[0]  # bound once: an expression would be evaluated anew for each place
+
+
+def anchors(own: DataFrame, item: str) -> DataFrame:
+    """(item, h, gram): of the word grams inside each text, without its first and last word, the one that fewest texts share.
+
+    Where a text stands in another, these words are whole words of the other, whatever its first and last word are part of.
+    """
+    words = F.split("g", " ", -1)
+    grams = own.select(item, "h", F.explode(word_grams(F.slice(words, 2, F.size(words) - 2))).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    return grams.join(shared, "gram").groupBy(item, "h").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+
+
 def containing(items: DataFrame, docs: DataFrame, item: str, doc: str) -> DataFrame:
     """(item, doc) of ``docs`` (doc, text) that contain the text of ``items`` (item, text), both normalised.
 
-    The items are the stated side: they go to the documents in blocks of about BLOCK_BYTES, and no text is shuffled.
+    The items are the stated side: they go to the documents in blocks of about BLOCK_BYTES, whose number is counted beforehand,
+    and no text of a document is shuffled. A document's word grams are looked up among the items' anchors, and only items
+    whose anchor it holds are compared with it: work follows the words of the documents, not items times documents. Items
+    of fewer than GRAM + 2 words have no anchor and are tried on each document. An empty item is in every document but null
+    ones; null texts contain nothing and are in nothing; rows that repeat give their pairs again.
     """
-    own = items.select(item, X.normalize(F.col("text")).alias("g")).where("g IS NOT NULL")
-    total = own.agg(F.sum(F.octet_length("g"))).first()[0] or 0
-    blocks = int(total) // BLOCK_BYTES + 1
-    texts, out = docs.select(doc, X.normalize(F.col("text")).alias("n")), None
-    for b in range(blocks):
-        block = own.where(F.pmod(F.xxhash64("g", item), F.lit(blocks)) == b).agg(F.collect_list(F.struct(item, "g")).alias("items"))
-        hit = texts.crossJoin(F.broadcast(block)).select(doc, F.explode(F.filter("items", lambda i: F.contains("n", i["g"]))).alias("i")).select(f"i.{item}", doc)
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    own = items.select(F.col(item).alias("item"), X.normalize(F.col("text")).alias("g")).where("g IS NOT NULL").withColumn("h", F.xxhash64("g"))
+    short = F.size(F.split("g", " ", -1)) < GRAM + 2
+    sizes = own.agg(*[F.coalesce(F.sum(F.when(which, F.octet_length("g") + 1)), F.lit(0)) for which in (~short, short)]).first()
+    texts, out = docs.select(F.col(doc).alias("doc"), X.normalize(F.col("text")).alias("n")), []
+
+    def parts(rows: DataFrame, size: int) -> list[DataFrame]:
+        n = int(size) // BLOCK_BYTES + 1 if size else 0
+        return [rows.where(F.pmod(F.xxhash64("h", "item"), F.lit(n)) == b) for b in range(n)]
+
+    if sizes[0]:
+        chosen = anchors(own.where(~short).distinct(), "item").select(F.col("item").alias("i"), F.col("h").alias("ih"), "gram")
+        held = own.where(~short).join(chosen, F.col("item").eqNullSafe(F.col("i")) & (F.col("h") == F.col("ih"))).select("item", "g", "h", "gram")
+        grams = texts.select("doc", "n", F.explode(word_grams(F.split("n", " ", -1))).alias("gram"))
+        for block in parts(held, sizes[0]):
+            out.append(grams.join(F.broadcast(block), "gram").where(F.contains("n", "g")))
+    for block in parts(own.where(short), sizes[1]):
+        listed = block.agg(F.collect_list(F.struct("item", "g")).alias("items"))
+        out.append(texts.crossJoin(F.broadcast(listed)).select("doc", F.explode(F.filter("items", lambda i: F.contains("n", i["g"]))).alias("i")).select("i.item", "doc"))
+    pairs = [p.select(F.col("item").alias(item), F.col("doc").alias(doc)) for p in out]
+    return reduce(DataFrame.unionByName, pairs) if pairs else own.join(texts, F.lit(False)).select(F.col("item").alias(item), F.col("doc").alias(doc))
 
 
 def pivot(summaries: DataFrame, configs: list[str]) -> DataFrame:

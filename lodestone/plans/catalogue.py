@@ -322,7 +322,7 @@ def rag_prompt(s: SparkSession, d: str) -> DataFrame:
 # --- evaluation ------------------------------------------------------------------------------
 @query(f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({norm_sql('d.text')}, {norm_sql('b.text')})")
 def relevance_semi_join(s: SparkSession, d: str) -> DataFrame:
-    """Documents that contain an item. The items are the stated side; each text is normalised once and all items are tried on it."""
+    """Documents that contain an item. The items are the stated side; each text is normalised once and compared with those whose anchor words it holds."""
     return evaluate.containing(t(s, d, "benchmark"), t(s, d, "documents"), "item_id", "doc_id")
 
 

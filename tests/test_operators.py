@@ -1,6 +1,7 @@
 import io
 import json
 import logging
+import random
 import re
 import sys
 import threading
@@ -390,6 +391,42 @@ def test_containing_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, evaluate.containing(items, docs, "item_id", "doc_id").collect())) == want
 
 
+def test_containing_against_brute_force(spark, monkeypatch):
+    """Items of one to forty words cut from documents at any character, shared phrases, repeated rows, nulls and odd white space."""
+    rng = random.Random(5)
+    words = ["a", "ab", "the", "cat", "Sat", "mat", "größe", "x.y"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(120)] + [(200, None), (201, ""), (202, " \t\n "), (None, "the cat sat on the mat again and again"), (203, "the\tcat\n sat on  THE mat again")]
+    docs += docs[:3] + [(204, "tail " + "cat sat the mat ab " * 4000 + "at the very end of it")]
+    items = [(900, None), (901, ""), (902, "the cat sat on the mat"), (None, "at sat on the mat ag"), (903, "no such words stand in any document"), (904, "at the very end of it"), (904, "at the very end of it")]
+    for i in range(80):
+        text = rng.choice([t for _, t in docs[:120] if t])
+        a = rng.randrange(len(text))
+        items.append((i, text[a : a + rng.randint(1, 160)]))
+    flat = lambda t: " ".join(t.split()).lower()
+    want = sorted(((i, d) for i, g in items if g is not None for d, t in docs if t is not None and flat(g) in flat(t)), key=str)
+    assert len(want) > 500
+    ours, theirs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("g", "n", "h", "gram", "item", "doc")})
+    for size in (1 << 20, 700):
+        monkeypatch.setattr(evaluate, "BLOCK_BYTES", size)
+        got = evaluate.containing(ours, theirs, "item_id", "doc_id")
+        assert got.columns == ["item_id", "doc_id"]
+        assert sorted(map(tuple, got.collect()), key=str) == want
+    assert evaluate.containing(ours.limit(0), theirs, "item_id", "doc_id").count() == 0
+    assert evaluate.containing(ours, theirs.limit(0), "item_id", "doc_id").count() == 0
+
+
+def test_containing_compares_only_items_whose_anchor_is_held(spark):
+    """Texts are compared after the look-up: of 400 items that share most of their words each document meets its own."""
+    items = spark.range(400).select(F.col("id").alias("item_id"), F.concat(F.lit("all of these items begin alike but end with number "), F.col("id"), F.lit(" and so on")).alias("text"))
+    docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("some words "), "text", F.lit(" some more")).alias("text"))
+    got = evaluate.containing(items, docs, "item_id", "doc_id")
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(400)]
+    own = items.select(F.col("item_id").alias("item"), X.normalize(F.col("text")).alias("g")).withColumn("h", F.xxhash64("g"))
+    assert evaluate.anchors(own, "item").select("gram").distinct().count() == 400
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_chat_client_errors(tmp_path):
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
