@@ -6,7 +6,8 @@ each text, template and diagonal. Diagonals of one template whose values follow
 neighbours (an inserted or lost word moves the rest by one); of neighbours those whose places lie at most
 GAP words apart are merged, so a stray vote of a phrase that stands twice in a template does not part a notice, and each merged span is verified on the words:
 at least half of the template's grams must have voted, and the longest common subsequence of span and
-template must hold SHARE of the template. The numbers of a template, its version, tell it from others
+template must hold SHARE of the template. The spans of a text go to its words together, so these are sent
+once. The numbers of a template, its version, tell it from others
 and must stand where the votes place them, after the same word ("version 3"; "v 3" and "v3" will do, and
 "2" for "2 0"). A hash that is in
 no template joins nothing, so the scan of a text passes on only those in some template; the templates
@@ -166,24 +167,25 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrase
     apart = F.col("begin") > F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1)) + GAP
     merged = votes.withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(by_place)).groupBy("doc_id", "th", "template", "group", "span").agg(F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
     words = rows.where("words IS NOT NULL").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.first("words").alias("words"))
-    spans = merged.join(words, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "template", "begin", "end", "words", "votes", "low", "high")
+    half = F.array(*[F.lit((len(h) - K + 2) // 2) for _, _, h in sized])  # of a template's grams
+    kept = merged.where(F.col("votes") >= half[F.col("template")]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("template", "begin", "end", "low", "high")).alias("found"))
+    texts = kept.join(words, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "found", "words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, h, i, begin, end, raw, n, low, high in zip(*(batch.column(j).to_pylist() for j in range(9)), strict=True):
-                _, label, t = sized[i]
-                if 2 * n < len(t) - K + 1:
-                    continue
-                w = np.frombuffer(raw, np.uint64)
-                begin, end = max(0, begin - len(t)), min(len(w), end + len(t))  # grams lost at the edges
-                share = common(t, w[begin:end]) / len(t)
-                if share >= SHARE and same_versions(t, w, low, high):
-                    out.append((d, h, label, begin, end, share))
+            for d, h, found, raw in zip(*(batch.column(j) for j in range(4)), strict=True):
+                w = np.frombuffer(raw.as_buffer(), np.uint64)
+                for i, begin, end, low, high in zip(*(x.to_pylist() for x in found.values.flatten()), strict=True):
+                    _, label, t = sized[i]
+                    begin, end = max(0, begin - len(t)), min(len(w), end + len(t))  # grams lost at the edges
+                    share = common(t, w[begin:end]) / len(t)
+                    if share >= SHARE and same_versions(t, w, low, high):
+                        out.append((d.as_py(), h.as_py(), label, begin, end, share))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["doc_id", "th", "label", "begin", "end", "share"])
 
-    return rows, map_arrow(spans, verify, "doc_id long, th long, label string, begin long, end long, share double")
+    return rows, map_arrow(texts, verify, "doc_id long, th long, label string, begin long, end long, share double")
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:

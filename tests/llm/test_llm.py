@@ -457,6 +457,19 @@ def test_license_versions(spark):
     assert got == {i: labels for i, (_, labels) in enumerate(cases)}
 
 
+def test_license_words_go_once_for_each_text(spark):
+    """Thousands of notices in one text: every one is verified, in one row of that text; repeated rows and null ids share it."""
+    notice = license_scan.TEMPLATES[4][1]
+    text = " ".join(f"{notice} filler{i} words{i} between{i} two{i} notices{i} so{i} that{i} none{i} of{i} them{i} are{i} merged{i} ever{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "nothing here")], "doc_id long, text string")
+    _, spans = license_scan.licenses(docs)
+    begin = len(notice.split()) + 13
+    got = spans.where(F.col("share") == 1.0).select("doc_id", "label", (F.col("end") - F.lit(len(notice.split()))).alias("e")).collect()
+    assert {d for d, _, _ in got} == {1, None} and {label for _, label, _ in got} == {"apache-2.0"}
+    want = {min(i * begin + len(notice.split()), 3000 * begin - len(notice.split())) for i in range(3000)}
+    assert {e for d, _, e in got if d == 1} >= want and {e for d, _, e in got if d is None} >= want
+
+
 def test_license_base_places_against_brute_force(spark):
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
     rng = random.Random(6)
