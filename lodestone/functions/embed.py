@@ -56,13 +56,13 @@ def sentence_model(name: str, batch_size: int = 64) -> Embedder:
 
 
 def cross_encoder(name: str) -> Callable[[Column, Column], Column]:
-    """A cross-encoder's score of (query, text) for ``fusion.rerank``."""
+    """A cross-encoder's score of (query, text) for ``fusion.rerank``; nulls are read as empty."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from sentence_transformers import CrossEncoder
 
         model = once("cross", name, lambda: CrossEncoder(name))
         for query, text in batches:
-            yield pd.Series(model.predict(list(zip(query, text, strict=True))).astype(float))
+            yield pd.Series(model.predict(list(zip(query.fillna(""), text.fillna(""), strict=True))).astype(float))
 
     return lambda query, text: F.pandas_udf(run, "double")(query, text)

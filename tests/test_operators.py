@@ -1,3 +1,4 @@
+import importlib.util
 import io
 import json
 import logging
@@ -264,6 +265,46 @@ def test_models_are_kept_by_worker():
     assert loads == ["a", "b", "c"]
 
 
+FAKE_MODELS = """
+import numpy as np
+
+class SentenceTransformer:
+    def __init__(self, name):
+        assert name == "some/e5-model"
+
+    def encode(self, texts, batch_size, normalize_embeddings):
+        assert batch_size == 2 and normalize_embeddings and all(isinstance(t, str) for t in texts)
+        v = np.array([[1 + t.count(c) for c in "aeiou"] for t in texts], float).reshape(-1, 5)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+class CrossEncoder:
+    def __init__(self, name):
+        assert name == "some/reranker"
+
+    def predict(self, pairs):
+        return np.array([len(set(q.split()) & set(t.split())) for q, t in pairs], np.float32)
+"""
+
+
+def test_models_run_on_workers(spark, tmp_path):
+    """Embedder and reranker through Spark, with a package of the same interface in place of the real one."""
+    if importlib.util.find_spec("sentence_transformers"):
+        pytest.skip("the real package is here")
+    (tmp_path / "sentence_transformers.py").write_text(FAKE_MODELS)
+    spark.sparkContext.addPyFile(str(tmp_path / "sentence_transformers.py"))
+    texts = spark.createDataFrame([(1, "a banana"), (2, "queue"), (3, None), (4, "")], "id long, text string")
+    model = embed.sentence_model("some/e5-model", batch_size=2)
+    rows = {r.id: r for r in texts.select("id", model(X.with_prefix(F.col("text"), "some/e5-model", X.PASSAGE_PREFIX)).alias("v"), model(F.col("text")).alias("bare")).collect()}
+    for r in rows.values():
+        assert len(r.v) == 5 and np.linalg.norm(r.v) == pytest.approx(1, abs=1e-6)
+    want = np.array([1 + "passage: queue".count(c) for c in "aeiou"], float)
+    assert rows[2].v == pytest.approx(want / np.linalg.norm(want), abs=1e-6)
+    assert rows[3].bare == rows[4].bare == pytest.approx([5**-0.5] * 5, abs=1e-6) and rows[1].bare != rows[1].v
+    pairs = spark.createDataFrame([("q one two", "one two three", 2.0), ("q one two", "two", 1.0), (None, "two", 0.0), ("q", None, 0.0)], "query string, text string, want double")
+    got = pairs.withColumn("score", embed.cross_encoder("some/reranker")(F.col("query"), F.col("text"))).collect()
+    assert [r.score for r in got] == [r.want for r in got]
+
+
 def test_log_sink(tmp_path):
     log = logs.start(config.Settings(log_dir=str(tmp_path / "l"), log_level="info"))
     log.debug("no")
