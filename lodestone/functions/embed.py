@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Embedder = Callable[[Column], Column]
@@ -66,3 +66,19 @@ def cross_encoder(name: str) -> Callable[[Column, Column], Column]:
             yield pd.Series(model.predict(list(zip(query.fillna(""), text.fillna(""), strict=True))).astype(float))
 
     return lambda query, text: F.pandas_udf(run, "double")(query, text)
+
+
+def by_content(pieces: DataFrame, known: DataFrame, embedder: Embedder) -> DataFrame:
+    """``pieces`` (with text) and ``embedding``: what ``known`` (chunk_ord, text, embedding) holds of equal texts, a new vector for each other text.
+
+    Texts meet by their SHA-256. A text is embedded once however often it stands in ``pieces``, and on the side of
+    the vectors it is one row, so a text that many chunks share is left to AQE's split of the other side. Texts of
+    like length share a batch, which spares a model its padding. A null text is a text of its own.
+    """
+    content = F.coalesce(F.sha2("text", 256), F.lit(""))
+    asked = pieces.select(content.alias("content"), "text").dropDuplicates(["content"])
+    held = known.select(content.alias("content"), "chunk_ord", "embedding").join(asked.select("content"), "content", "left_semi")
+    held = held.groupBy("content").agg(F.min_by("embedding", "chunk_ord").alias("embedding"))
+    new = asked.join(held.select("content"), "content", "left_anti").sortWithinPartitions(F.length("text"))
+    vectors = held.unionByName(new.select("content", embedder(F.col("text")).alias("embedding")))
+    return pieces.withColumn("content", content).join(vectors, "content").drop("content")

@@ -36,7 +36,8 @@ class Engine:
     def sync(self, full: bool = False) -> DataFrame:
         """Bring the index up to date with docs_dir; returns (doc_name, action, error). Only changed files are read as text.
 
-        A file that cannot be read keeps its old chunks and hash, so the next sync tries it again.
+        A file that cannot be read keeps its old chunks and hash, so the next sync tries it again. Where no file
+        changed nothing is written. Only texts of chunks that the index does not hold are embedded, each once.
         """
         s = self.settings
         now = self.store.current()
@@ -46,25 +47,33 @@ class Engine:
         old_chunks, state = (self.spark.createDataFrame([], sync.TABLES[t]) if fresh else self.store.read(t) for t in ("chunks", "doc_state"))
         found = files.load(self.spark, s.docs_dir)
         actions = sync.classify(state, found, full).persist()
+        searched = {"auto": s.approximate_min_chunks, "graph": 0}.get(s.vector_backend)
+        if not fresh and actions.where("action <> 'unchanged'").isEmpty() and not self._lacks_graph(now, old_chunks, searched):
+            actions.unpersist()
+            log.info("no document changed")
+            return state.select("doc_name", F.lit("unchanged").alias("action"), F.lit(None).cast("string").alias("error"))
         todo = actions.where(F.col("action").isin("added", "updated")).select("doc_name")
         texts = files.extract(found.join(todo, "doc_name", "left_semi"), s.ocr_images).persist()
         good = texts.where("error IS NULL")
         pieces = chunking.chunks(good, s.chunk_size_chars, s.chunk_overlap_chars)
-        vectors = self.embedder(X.with_prefix(F.col("text"), s.embedding_model, X.PASSAGE_PREFIX))
-        delta = pieces.select("chunk_id", "doc_name", "chunk_no", F.lit(0).cast("long").alias("chunk_ord"), "text", vectors.alias("embedding"))
+        vectors = embed.by_content(pieces, old_chunks, lambda text: self.embedder(X.with_prefix(text, s.embedding_model, X.PASSAGE_PREFIX)))
+        delta = vectors.select("chunk_id", "doc_name", "chunk_no", F.lit(0).cast("long").alias("chunk_ord"), "text", "embedding").persist()
         gone = actions.where("action = 'removed'").select("doc_name").unionByName(good.select("doc_name"))
         chunks = sync.upsert(old_chunks, delta, gone)
         kept = sync.remove(state, gone).unionByName(good.select("doc_name", "doc_hash"))
         out = actions.join(texts.select("doc_name", "error"), "doc_name", "left").select("doc_name", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("action")).alias("action"), "error")
-        searched = {"auto": s.approximate_min_chunks, "graph": 0}.get(s.vector_backend)
         try:
             self.store.publish(chunks, kept, s.embedding_model, out, searched)
         finally:
-            actions.unpersist()
-            texts.unpersist()
+            for kept_for_now in (actions, texts, delta):
+                kept_for_now.unpersist()
         log.info("index published")
         return self.store.read("actions")
 
+    def _lacks_graph(self, now: dict, chunks: DataFrame, searched: int | None) -> bool:
+        """Whether the settings ask for graphs of vectors that the current snapshot was written without."""
+        return searched is not None and not now.get("graph") and 0 < chunks.count() >= searched
+
     def retrieve(self, questions: DataFrame, hybrid: bool | None = None, rerank: bool | None = None, keep: int | None = None) -> DataFrame:
         """(query_id, rank, chunk_id, text, score) for questions (query_id, question), all in one plan; texts join after the cut."""
         s = self.settings

@@ -371,6 +371,64 @@ def test_lifecycle(running, spark):
     assert rows[("hybrid", "recall@5")] == 1.0 and rows[("dense", "num_answerable")] == 1.0
 
 
+def test_no_change_writes_nothing(running, spark):
+    e, docs = running
+    e.sync()
+    before = e.store.current()
+    assert [tuple(r) for r in e.sync().orderBy("doc_name").collect()] == [("pigeons.txt", "unchanged", None), ("python.md", "unchanged", None)]
+    assert e.store.current() == before
+    graphs = engine.Engine(spark, config.replace(e.settings, vector_backend="graph"), e.embedder, e.scorer)
+    graphs.sync()  # the settings now ask for what this snapshot lacks
+    assert (after := graphs.store.current())["graph"] and after != before
+    graphs.sync()
+    assert graphs.store.current() == after
+    for f in docs.iterdir():
+        f.unlink()
+    assert {r.action for r in graphs.sync().collect()} == {"removed"} and not graphs.store.read("chunks").count()
+    last = graphs.store.current()
+    assert graphs.sync().count() == 0 and graphs.store.current() == last
+
+
+def counting(counter):
+    """The stand-in embedder, telling ``counter`` of every text."""
+    plain = embed.hashed()
+
+    def count(texts):
+        counter.add(len(texts))
+        return texts
+
+    return lambda text: plain(F.pandas_udf(count, "string")(text))
+
+
+def test_a_moved_paragraph_is_not_embedded_again(running, spark):
+    e, docs = running
+    seen = spark.sparkContext.accumulator(0)
+    e = engine.Engine(spark, config.replace(e.settings, chunk_size_chars=40, chunk_overlap_chars=0), counting(seen), e.scorer)
+    parts = [f"Paragraph number {i:02d} of this document." for i in range(8)]
+    (docs / "long.txt").write_text(" ".join(parts))
+    (docs / "copy.txt").write_text(parts[3])
+    e.sync()
+    assert seen.value == 10  # eight paragraphs once, two other documents
+    (docs / "long.txt").write_text(" ".join([*parts[4:], *parts[:4], "A paragraph that is quite new here."]))
+    e.sync()
+    assert seen.value == 11 and e.store.read("chunks").where("doc_name = 'long.txt'").count() == 9
+    plain = embed.hashed()
+    wrong = e.store.read("chunks").where(F.col("embedding") != plain(X.with_prefix(F.col("text"), "hashed", X.PASSAGE_PREFIX)))
+    assert wrong.count() == 0
+    e.sync(full=True)
+    assert seen.value == 22  # a rebuild trusts no stored vector
+
+
+def test_vectors_by_content_of_odd_tables(spark):
+    pieces = spark.createDataFrame([(0, "a"), (1, None), (2, "a"), (3, ""), (4, None), (5, "b")], "id int, text string")
+    known = spark.createDataFrame([(7, "a", [7.0]), (3, "a", [3.0]), (9, "z", [9.0]), (1, None, [1.0])], "chunk_ord long, text string, embedding array<float>")
+    made = lambda t: F.array(F.length(F.coalesce(t, F.lit("null"))).cast("float"))
+    got = {r.id: r.embedding for r in embed.by_content(pieces, known, made).collect()}
+    assert got == {0: [3.0], 1: [1.0], 2: [3.0], 3: [0.0], 4: [1.0], 5: [1.0]}
+    assert embed.by_content(pieces.limit(0), known, made).count() == 0
+    assert embed.by_content(pieces, known.limit(0), made).count() == 6
+
+
 def test_stored_index_serves_as_a_new_one(running, spark):
     e, docs = running
     for i in range(30):
