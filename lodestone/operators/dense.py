@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import text as X
 
@@ -139,6 +140,7 @@ def against(queries: DataFrame, vectors: DataFrame, k: int, digits: int, centres
     none = queries.select("query_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
     if k <= 0:
         return ranked(none, 1)
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", *(["cell"] if centres is not None else [])).where("embedding IS NOT NULL")
 
     def found(ids: list, q: np.ndarray) -> DataFrame:
@@ -159,7 +161,7 @@ def against(queries: DataFrame, vectors: DataFrame, k: int, digits: int, centres
                         best.add(rows, vec[part], np.round(q[rows] @ v[part].T, digits) + 0.0)
             if best.kept:
                 i, vec, s = best.cut()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i]), pa.array(vec), pa.array(s)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], kind), pa.array(vec), pa.array(s)], ["query_id", "vec_id", "score"])
 
         rows = given
         if near is not None and not near.any(0).all():

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.operators import dense
 
@@ -164,7 +165,7 @@ def search(queries: DataFrame, shards: DataFrame, centres: np.ndarray, k: int, w
 
     ``width`` is WIDTH at least, and never under k. Shards are read where they lie and queries, the stated side, go to them in blocks.
     """
-    kind = queries.schema["query_id"].dataType.simpleString()
+    kind, told = queries.schema["query_id"].dataType.simpleString(), to_arrow_type(queries.schema["query_id"].dataType)
     none = queries.select("query_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
     width = max(width or WIDTH, k)
 
@@ -193,7 +194,7 @@ def search(queries: DataFrame, shards: DataFrame, centres: np.ndarray, k: int, w
                         by = np.lexsort((own[at], -s, r))
                         r, at, s = r[by], at[by], s[by]
                         top = np.arange(len(r)) - np.searchsorted(r, r) < k
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in part[r[top]]]), pa.array(own[at[top]]), pa.array(s[top])], ["query_id", "vec_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in part[r[top]]], told), pa.array(own[at[top]]), pa.array(s[top])], ["query_id", "vec_id", "score"])
 
         cells = np.flatnonzero(near.any(0)).tolist()
         rows = shards if len(cells) == len(centres) else shards.where(F.col("cell").isin(cells))  # reaches the scan of a stored table

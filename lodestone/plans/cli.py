@@ -1,4 +1,4 @@
-"""Commands: index, update, qa, analyze, eval, serve. Exit codes: 0, 1 (failed), 2 (settings), 130 (interrupted)."""
+"""Commands: index, update, qa, answers, analyze, eval, serve. Exit codes: 0, 1 (failed), 2 (settings), 130 (interrupted)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from lodestone.plans import answers as batch
 from lodestone.plans import config, llm_client, logs
 from lodestone.plans.engine import Engine
 from lodestone.sources import questions
@@ -24,6 +26,12 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
     sub.add_parser("update")
     sub.add_parser("qa")
     sub.add_parser("analyze").add_argument("file")
+    a = sub.add_parser("answers")
+    a.add_argument("--questions", default="eval/questions.yaml")
+    a.add_argument("--kept", required=True)
+    a.add_argument("--output", required=True)
+    a.add_argument("--tasks", type=int, default=4)
+    a.add_argument("--concurrent", type=int, default=4)
     e = sub.add_parser("eval")
     e.add_argument("--questions", default="eval/questions.yaml")
     e.add_argument("--ablate", action="store_true")
@@ -78,6 +86,15 @@ def analyze(engine: Engine, args: argparse.Namespace) -> int:
     return 0
 
 
+def answers(engine: Engine, args: argparse.Namespace) -> int:
+    """Answers to a file of questions as JSON lines; 1 where a question has none. A rerun asks only those."""
+    asked = questions.load(engine.spark, args.questions).select(F.col("id").alias("query_id"), "question")
+    batch.answer(engine, asked, args.kept, args.tasks, args.concurrent).write.mode("overwrite").json(args.output)
+    rows, failed = engine.spark.read.schema("error string").json(args.output).agg(F.count("*"), F.count("error")).first()
+    print(f"answered: {rows - failed}, failed: {failed}")
+    return int(failed > 0)
+
+
 def evaluation(engine: Engine, args: argparse.Namespace) -> int:
     ks = tuple(int(k) for k in args.k.split(","))
     asked = questions.load(engine.spark, args.questions)
@@ -108,7 +125,7 @@ def serve(engine: Engine, args: argparse.Namespace) -> int:
     return 0
 
 
-COMMANDS = {"index": index, "update": index, "qa": qa, "analyze": analyze, "eval": evaluation, "serve": serve}
+COMMANDS = {"index": index, "update": index, "qa": qa, "answers": answers, "analyze": analyze, "eval": evaluation, "serve": serve}
 
 if __name__ == "__main__":
     sys.exit(main())

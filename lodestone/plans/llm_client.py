@@ -1,4 +1,4 @@
-"""Client of any endpoint for chat completions, on the driver."""
+"""Client of any endpoint for chat completions: on the driver for one question, in tasks for many (answers.py)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,11 @@ from lodestone.plans.config import Settings
 
 
 class LLMError(RuntimeError):
-    """The endpoint cannot be reached, refuses, or answers in another form."""
+    """The endpoint cannot be reached, refuses, or answers in another form. ``again``: a later call may do better, after ``wait`` seconds."""
+
+    def __init__(self, said: str, again: bool = False, wait: float = 0.0):
+        super().__init__(said)
+        self.again, self.wait = again, wait
 
 
 class ChatClient:
@@ -24,16 +28,17 @@ class ChatClient:
         try:
             return request.urlopen(request.Request(f"{self.s.llm_base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), headers), timeout=self.s.llm_timeout_seconds)
         except error.HTTPError as e:
-            raise LLMError(f"the endpoint answered {e.code}") from e
+            after = e.headers.get("Retry-After", "")
+            raise LLMError(f"the endpoint answered {e.code}", e.code in (408, 429) or e.code >= 500, float(after) if after.isdecimal() else 0.0) from e
         except OSError as e:
-            raise LLMError("the endpoint cannot be reached") from e
+            raise LLMError("the endpoint cannot be reached", True) from e
 
     def chat(self, system: str, user: str) -> str:
         with self._open(system, user, False) as r:
             try:
                 return json.loads(r.read())["choices"][0]["message"]["content"] or ""
             except (OSError, HTTPException) as e:
-                raise LLMError("the endpoint broke off") from e
+                raise LLMError("the endpoint broke off", True) from e
             except (ValueError, KeyError, IndexError, TypeError) as e:
                 raise LLMError("the endpoint's answer has another form") from e
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import embed
 from lodestone.functions import text as X
-from lodestone.operators import chunking, dense, evaluate, fusion, lexical, sync
+from lodestone.operators import chunking, dense, evaluate, fusion, graph, lexical, sync
 from lodestone.plans import cli, config, engine, llm_client, logs, service
 from lodestone.sources import files, questions
 
@@ -121,6 +121,15 @@ def test_cells_prune_and_find(spark):
     assert dense.cells(queries, vectors.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "long", "string"])
+def test_query_ids_keep_their_type(spark, kind):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [-1.0, 0.0])], "query_id int, embedding array<double>").withColumn("query_id", F.col("query_id").cast(kind))
+    for got in (dense.exact(asked, vectors, 2), graph.search(asked, *graph.build(vectors), 2)):
+        assert got.schema["query_id"].dataType == asked.schema["query_id"].dataType
+        assert sorted((str(r.query_id), r.rank, r.vec_id) for r in got.collect()) == [("7", 1, 3), ("7", 2, 2), ("8", 1, 0), ("8", 2, 1)]
+
+
 def test_fusion_and_rerank(spark):
     a = spark.createDataFrame([("q", 1, 10), ("q", 2, 20)], "query_id string, rank int, doc_id long")
     b = spark.createDataFrame([("q", 1, 20), ("q", 2, 10), ("q", 3, 30)], "query_id string, rank int, doc_id long")
