@@ -1,7 +1,7 @@
-"""A file source that triggers the same sync as a batch.
+"""A clock stream that brings the index up to date at each tick.
 
-A file stream sees additions only, so each micro-batch runs the full comparison of hashes: edits
-and deletions are found then too, and a batch that is repeated changes nothing.
+A file stream tells additions only. Here each micro-batch of a clock runs the full comparison of hashes, so edits
+and deletions are found as well, and a tick that finds no change, or is repeated after a failure, writes nothing.
 """
 
 from __future__ import annotations
@@ -11,16 +11,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.plans.engine import Engine
 
-SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-
 
 def watch(engine: Engine, checkpoint: str, interval: str = "30 seconds", once: bool = False) -> StreamingQuery:
-    """Sync whenever docs_dir gets files; ``once`` handles what is there and stops."""
-    names = engine.spark.readStream.format("binaryFile").schema(SCHEMA).load(engine.settings.docs_dir).select("path")
+    """Sync with docs_dir every ``interval``; ``once`` handles what is there and stops. A sync that fails ends the stream.
+
+    A sync that takes longer than the interval delays the next one, so two never run together. A checkpoint of the
+    older file stream cannot be taken on: name a new one.
+    """
+    ticks = engine.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
 
     def handle(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
             engine.sync()
 
-    writer = names.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = ticks.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

@@ -6,6 +6,7 @@ import random
 import re
 import sys
 import threading
+import time
 import types
 import zipfile
 from urllib import error, request
@@ -613,6 +614,30 @@ def test_stream_trigger(running, tmp_path):
     assert e.health().first()["documents"] == 2
 
 
+def test_stream_finds_edits_and_deletions_alone(running, tmp_path):
+    from lodestone.streaming import append
+
+    e, docs = running
+    tick = lambda: append.watch(e, str(tmp_path / "cp"), once=True).awaitTermination(120)
+    tick()
+    (docs / "pigeons.txt").write_text("Pigeons fly.")
+    tick()
+    assert {r.text for r in e.store.read("chunks").collect()} == {"Pigeons fly.", "Python is a language."}
+    (docs / "python.md").unlink()
+    tick()
+    assert [r.text for r in e.store.read("chunks").collect()] == ["Pigeons fly."]
+    before = e.store.current()
+    tick()
+    assert e.store.current() == before
+    stream = append.watch(e, str(tmp_path / "cp"), interval="1 second")
+    (docs / "pigeons.txt").write_text("Pigeons rest.")
+    limit = time.monotonic() + 90
+    while time.monotonic() < limit and stream.isActive and e.store.current() == before:
+        time.sleep(0.5)
+    stream.stop()
+    assert [r.text for r in e.store.read("chunks").collect()] == ["Pigeons rest."]
+
+
 def test_upsert_moves_changed_documents_to_the_end(spark):
     old = spark.createDataFrame([("a", 0, 0, "x"), ("b", 0, 1, "y"), ("c", 0, 2, "z")], "doc_name string, chunk_no int, chunk_ord long, text string")
     new = spark.createDataFrame([("a", 0, 0, "x2"), ("a", 1, 0, "x3")], old.schema)
