@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
 
 
 def index(engine: Engine, args: argparse.Namespace) -> int:
-    done = engine.sync(full=args.command == "index" and not args.incremental).groupBy("action").count().collect()
+    done = engine.sync(full=args.command == "index" and not args.incremental, lazy=True).groupBy("action").count().collect()
     print(", ".join(f"{r['action']}: {r['count']}" for r in sorted(done)) or "nothing to do")
     return int(any(r["action"] == "failed" for r in done))
 

@@ -33,11 +33,12 @@ class Engine:
         self.store = sync.Snapshots(spark, settings.index_dir)
         self.one = serving.OneQuestion(self)
 
-    def sync(self, full: bool = False) -> DataFrame:
+    def sync(self, full: bool = False, lazy: bool = False) -> DataFrame:
         """Bring the index up to date with docs_dir; returns (doc_name, action, error). Only changed files are read as text.
 
-        A file that cannot be read keeps its old chunks and hash, so the next sync tries it again. Where no file
-        changed nothing is written. Only texts of chunks that the index does not hold are embedded, each once.
+        A file that cannot be read keeps its old chunks and hash, so the next sync tries it again. Only texts of chunks
+        that the index does not hold are embedded, each once. A snapshot is published in any case; with ``lazy`` only
+        where a document changed, or where the settings ask for graphs that the current one lacks.
         """
         s = self.settings
         now = self.store.current()
@@ -48,7 +49,7 @@ class Engine:
         found = files.load(self.spark, s.docs_dir)
         actions = sync.classify(state, found, full).persist()
         searched = {"auto": s.approximate_min_chunks, "graph": 0}.get(s.vector_backend)
-        if not fresh and actions.where("action <> 'unchanged'").isEmpty() and not self._lacks_graph(now, old_chunks, searched):
+        if lazy and not fresh and actions.where("action <> 'unchanged'").isEmpty() and not self._lacks_graph(now, old_chunks, searched):
             actions.unpersist()
             log.info("no document changed")
             return state.select("doc_name", F.lit("unchanged").alias("action"), F.lit(None).cast("string").alias("error"))

@@ -22,7 +22,7 @@ def watch(engine: Engine, checkpoint: str, interval: str = "30 seconds", once: b
 
     def handle(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            engine.sync()
+            engine.sync(lazy=True)
 
     writer = ticks.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

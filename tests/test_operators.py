@@ -385,18 +385,18 @@ def test_no_change_writes_nothing(running, spark):
     e, docs = running
     e.sync()
     before = e.store.current()
-    assert [tuple(r) for r in e.sync().orderBy("doc_name").collect()] == [("pigeons.txt", "unchanged", None), ("python.md", "unchanged", None)]
+    assert [tuple(r) for r in e.sync(lazy=True).orderBy("doc_name").collect()] == [("pigeons.txt", "unchanged", None), ("python.md", "unchanged", None)]
     assert e.store.current() == before
     graphs = engine.Engine(spark, config.replace(e.settings, vector_backend="graph"), e.embedder, e.scorer)
-    graphs.sync()  # the settings now ask for what this snapshot lacks
+    graphs.sync(lazy=True)  # the settings now ask for what this snapshot lacks
     assert (after := graphs.store.current())["graph"] and after != before
-    graphs.sync()
+    graphs.sync(lazy=True)
     assert graphs.store.current() == after
     for f in docs.iterdir():
         f.unlink()
-    assert {r.action for r in graphs.sync().collect()} == {"removed"} and not graphs.store.read("chunks").count()
+    assert {r.action for r in graphs.sync(lazy=True).collect()} == {"removed"} and not graphs.store.read("chunks").count()
     last = graphs.store.current()
-    assert graphs.sync().count() == 0 and graphs.store.current() == last
+    assert graphs.sync(lazy=True).count() == 0 and graphs.store.current() == last
 
 
 def counting(counter):
