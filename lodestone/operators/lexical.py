@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BLOCK = 1024  # keys whose postings lie together
+BROADCAST = 500_000  # terms of queries that go to every task
 
 
 class Index(NamedTuple):
@@ -22,10 +23,36 @@ class Index(NamedTuple):
     stats: DataFrame  # one row: n, avgdl
 
 
-def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(term, key, dl, tf): one row for each distinct term of a chunk. dl is known before the explosion, so no second pass."""
+def counted(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, dl, terms, tfs): of each key its length in tokens and its distinct terms with their counts, as two arrays; none for keys without tokens.
+
+    Counts are made within the row, by sorting its tokens: nothing is shuffled. Only rows whose key repeats, which is asked beforehand, are put together first.
+    """
     tokens = chunks.select(key, X.tokenize(F.col("text")).alias("t")).where(F.size("t") > 0)
-    return tokens.select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).where("term IS NOT NULL").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    repeated = chunks.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
+    if not repeated.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("again"))
+        whole = tokens.join(repeated, same, "left_semi").groupBy(key).agg(F.flatten(F.collect_list("t")).alias("t"))
+        tokens = tokens.join(repeated, same, "left_anti").unionByName(whole)
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        return F.transform(F.array(starts), lambda b: F.struct(F.size(s).cast("long").alias("dl"), F.transform(b, lambda i: F.get(s, i)).alias("terms"), F.transform(b, lambda i, j: F.coalesce(F.get(b, j + 1), F.size(s)) - i).alias("tfs")))[0]
+
+    # bound once, as in evaluate.word_grams: an expression would be evaluated anew for each place
+    return tokens.select(key, F.inline(F.transform(F.array(F.sort_array("t")), runs)))
+
+
+def spread(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(term, key, dl, tf): one row for each distinct term of a chunk, from ``counted``."""
+    each = rows.select(key, "dl", F.inline(F.arrays_zip("terms", "tfs")))
+    # true of every row; by it each use of the postings asks for the same columns, so Spark makes and exchanges them once
+    return each.select(F.col("terms").alias("term"), key, "dl", F.col("tfs").cast("long").alias("tf")).where("term IS NOT NULL AND tf <= dl")
+
+
+def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(term, key, dl, tf): one row for each distinct term of a chunk, without a shuffle."""
+    return spread(counted(chunks, key), key)
 
 
 def corpus(chunks: DataFrame, post: DataFrame) -> DataFrame:
@@ -45,16 +72,20 @@ def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def build(chunks: DataFrame, key: str = "doc_id") -> Index:
-    post = postings(chunks, key)
+    """The index of one call. Chunks are tokenised once and dealt by key with their counted terms: a row a chunk crosses the network, not a row a posting."""
+    post = spread(counted(chunks, key).repartition(key), key)
     return Index(post, idf(post, chunks.agg(F.count("*").alias("n"))), corpus(chunks, post))
 
 
 def scores(queries: DataFrame, index: Index, key: str = "doc_id") -> DataFrame:
     """(query_id, key, score) of chunks that share a token with the query (query_id, text); repeated query tokens count again.
 
-    The queries' terms are the small side of both joins; Spark broadcasts them where its own size limit allows.
+    The queries' terms, counted beforehand, are broadcast up to BROADCAST of them, so that the postings stay in place; an index that ``build`` dealt by
+    key has all of a chunk's terms in one partition, and its scores are summed there. More terms than that meet the postings by a shuffle.
     """
-    met = asked_terms(queries).join(index.terms.select("term", "idf"), "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats))
+    asked = asked_terms(queries)
+    weighed = asked.join(index.terms.select("term", "idf"), "term")
+    met = index.postings.join(F.broadcast(weighed) if asked.count() <= BROADCAST else weighed, "term").crossJoin(F.broadcast(index.stats))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", key).agg(F.sum(F.col("times") * part).alias("score"))
 
@@ -106,19 +137,25 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, key: str = "doc_id", fil
     """Top k chunks of each query, from ``stored`` blocks or from an index built for this call.
 
     ``fill``: chunks without a shared token rank with score 0, in key order, among the rest. Only queries with under k
-    positive scores are filled, each from the first m + k keys, m being its matches; as such a query has
-    under k positive matches, m passes k only by matches whose scores are not positive. So at most k rows a query more
-    than its matches are made, and the head that holds them is as long as the largest m plus k.
+    positive scores are filled, each from the first m + k keys, m being its matches; these are its ranked ones if fewer than k are ranked.
+    Else some of its matches have no positive score, and only then are matches counted apart. The ranked ones are made once and held: at most k rows a query.
     """
     found = scores(queries, build(chunks, key), key) if stored is None else stored_scores(queries, stored, k, key)
+    best = top_k(found, k, key)
     if not fill:
-        return top_k(found, k, key)
-    counts = queries.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.round("score", 6) > 0).alias("p")), "query_id", "left").fillna(0)
+        return best
+    best = best.localCheckpoint()
+    counts = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.col("score") > 0).alias("p")), "query_id", "left").fillna(0)
     short = counts.where(F.col("p") < k).select("query_id", "m")
     most = short.agg(F.max("m")).first()[0]
     if most is None:
-        return top_k(found, k, key)
+        return best
+    matched = best
+    if most >= k:
+        matched = found.join(short.select("query_id"), "query_id", "left_semi")
+        short = short.select("query_id").join(matched.groupBy("query_id").agg(F.count("*").alias("m")), "query_id", "left").fillna(0)
+        most = short.agg(F.max("m")).first()[0]
     head = chunks.select(key).orderBy(key).limit(int(most) + k)
     head = head.select(key, F.row_number().over(Window.orderBy(key)).alias("at"))  # over the limited head only
-    zero = short.join(head, F.col("at") <= F.col("m") + k).select("query_id", key).join(found.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(found.unionByName(zero), k, key)
+    zero = short.join(head, F.col("at") <= F.col("m") + k).select("query_id", key).join(matched.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(best.select("query_id", key, "score").unionByName(zero), k, key)

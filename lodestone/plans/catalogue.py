@@ -140,12 +140,13 @@ def doc_lengths(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def corpus_idf(s: SparkSession, d: str) -> DataFrame:
     docs = t(s, d, "documents")
-    return lexical.build(docs).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.idf(lexical.postings(docs), docs.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH tok AS (SELECT unnest({tokens_sql('text')}) FROM documents) SELECT (SELECT count(*) FROM documents) AS n, round((SELECT count(*) FROM tok) / (SELECT count(*) FROM documents), 6) AS avgdl")
 def corpus_stats(s: SparkSession, d: str) -> DataFrame:
-    return lexical.build(t(s, d, "documents")).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    docs = t(s, d, "documents")
+    return lexical.corpus(docs, lexical.postings(docs)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"SELECT doc_id, {norm_sql('text')} AS normal FROM documents")
