@@ -273,6 +273,11 @@ def ann_graph_recall(s: SparkSession, d: str) -> DataFrame:
     return dense.recall(dense.search(q, e, 10, "graph"), dense.exact(q, e, 10))
 
 
+def with_texts(found: DataFrame, s: SparkSession, d: str) -> DataFrame:
+    """Documents found with their texts. At most K a question are found, so they go to the texts, which are neither shuffled nor sorted."""
+    return t(s, d, "documents").select("doc_id", "text").join(F.broadcast(found), "doc_id")
+
+
 def fused(s: SparkSession, d: str) -> DataFrame:
     near = dense.exact(item_vectors(s, d), doc_vectors(s, d), K).withColumnRenamed("vec_id", "doc_id")
     return fusion.fuse(near, lexical.bm25(asked(s, d), t(s, d, "documents"), K), K)
@@ -301,7 +306,7 @@ best AS (SELECT * FROM (SELECT query_id, doc_id, text, s AS score, row_number()
 @query(f"WITH {RERANKED} SELECT query_id, rank::INT AS rank, doc_id, score FROM best")
 def rerank_topn(s: SparkSession, d: str) -> DataFrame:
     """Reranked by a stand-in for a cross-encoder: how many distinct tokens are shared."""
-    found = lexical.bm25(asked(s, d), t(s, d, "documents"), K).join(t(s, d, "documents").select("doc_id", "text"), "doc_id")
+    found = with_texts(bm25_topk(s, d), s, d)
     pairs = found.join(asked(s, d).withColumnRenamed("text", "query"), "query_id")
     return fusion.rerank(pairs, shared_tokens, 5).select("query_id", "rank", "doc_id", "score")
 
@@ -314,7 +319,7 @@ def context_cut(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {LEX}, ctx AS (SELECT query_id, string_agg('Context ' || rank || ':' || chr(10) || d.text, chr(10) || chr(10) ORDER BY rank) AS c FROM lex JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY 1)
 SELECT ctx.query_id, '{INSTRUCTION}' || chr(10) || chr(10) || c || chr(10) || chr(10) || 'Question: ' || array_to_string(q, ' ') AS prompt FROM ctx JOIN asked USING (query_id)""")
 def rag_prompt(s: SparkSession, d: str) -> DataFrame:
-    found = fusion.cut(bm25_topk(s, d), 3).join(t(s, d, "documents").select("doc_id", "text"), "doc_id")
+    found = with_texts(fusion.cut(bm25_topk(s, d), 3), s, d)
     held = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
     both = held.join(asked(s, d), "query_id")
     return both.select("query_id", X.rag_prompt(F.col("text"), F.col("c.text"), INSTRUCTION).alias("prompt"))
@@ -330,8 +335,7 @@ def relevance_semi_join(s: SparkSession, d: str) -> DataFrame:
 def results(s: SparkSession, d: str) -> DataFrame:
     gold = t(s, d, "benchmark").join(relevance_semi_join(s, d).select("item_id").distinct().withColumn("hit", F.lit(True)), "item_id", "left")
     questions = gold.select(F.col("item_id").alias("id"), F.coalesce("hit", F.lit(False)).alias("answerable"), F.array("text").alias("sources"))
-    ranked = bm25_topk(s, d).join(t(s, d, "documents").select("doc_id", "text"), "doc_id")
-    return evaluate.first_relevant(ranked, questions)
+    return evaluate.first_relevant(with_texts(bm25_topk(s, d), s, d), questions)
 
 
 @query(f"WITH {RESULTS} SELECT id, answerable, rank::INT AS rank FROM results")
