@@ -176,11 +176,8 @@ def chunk_stats(s: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, chunk_no, max(k)::INT AS shared FROM pairs, range(0, 151) AS ks(k) WHERE before IS NOT NULL AND k <= length(text) AND left(text, k) = right(before, k) GROUP BY 1, 2""")
 def chunk_overlap_check(s: SparkSession, d: str) -> DataFrame:
     """Chunks whose beginning ends the chunk before: by how many characters of whole sentences."""
-    from pyspark.sql import Window
-
-    before = F.lag("text").over(Window.partitionBy("doc_id").orderBy("chunk_no"))
-    both = chunking.chunks(t(s, d, "documents"), 400, 150, "doc_id").withColumn("before", before).where("before IS NOT NULL")
-    shared = F.expr("array_max(filter(sequence(0, 150), n -> n <= length(text) AND left(text, n) = right(before, n)))")
+    both = chunking.chunks(t(s, d, "documents"), 400, 150, "doc_id", before=150).where("before IS NOT NULL").withColumn("head", F.left("text", F.lit(150)))
+    shared = F.expr("array_max(filter(sequence(0, length(head)), n -> endswith(before, left(head, n))))")
     return both.select("doc_id", "chunk_no", shared.alias("shared"))
 
 

@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 
 from lodestone.operators import chunking
+from lodestone.plans import catalogue
 
 
 def test_steps_are_bounded():
@@ -22,3 +23,8 @@ def test_before_is_the_end_of_the_chunk_before(spark):
     got = chunking.chunks(docs, 40, 15, "doc_id", before=15).orderBy("doc_id", "chunk_no").collect()
     assert [tuple(r)[:-1] for r in got] == [tuple(r) for r in plain] and len(plain) > 10
     assert [r.before for r in got] == [plain[i - 1].text[-15:] if r.chunk_no else None for i, r in enumerate(plain)]
+
+
+def test_overlap_check_has_no_shuffle(spark):
+    got = catalogue.queries()["chunk_overlap_check"](spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and got.count()
