@@ -293,8 +293,21 @@ def stars(sets: DataFrame) -> DataFrame:
     return map_arrow(pairs, allowed, "a long, b long").distinct()
 
 
+def asked_for(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cls, toks) of the classes in pairs (a, b) and of few others, by a filter as in ``sets_of``: whole sets are shuffled only where a pair needs them."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = sets.sparkSession.sparkContext.broadcast(bitmap(ends.select(F.xxhash64("cls").alias("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(in_filter(wanted.value, batch.column(2))).select(["cls", "toks"])
+
+    return map_arrow(sets.select("cls", "toks", F.xxhash64("cls").alias("h")), run, "cls long, toks binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, ok) of distinct pairs: whether their similarity is 3/4 or more. Sizes, then prefixes under A and B, then the whole sets."""
+    """(a, b, ok) of distinct pairs, a saved table: whether their similarity is 3/4 or more. Sizes, then prefixes under A and B, then the whole sets."""
+    sets = asked_for(sets, pairs)
     left = sets.select(F.col("cls").alias("a"), F.col("toks").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("toks").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -337,7 +350,9 @@ def across(sets: DataFrame, comp: DataFrame) -> DataFrame:
 
     each = map_arrow(sets.join(comp, "cls").select("cls", "comp", "n", "toks"), spread, "cls long, comp long, tok long")
     held = each.groupBy("tok", "comp").agg(F.lit(1).alias("one")).groupBy("tok").agg(F.sum("one").alias("freq")).where("freq > 1")
-    met = each.select("cls", "tok").join(held, "tok").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("freq", F.xxhash64("tok").alias("h"), "tok"))).alias("t"))
+    met = each.select("cls", "tok").join(held, "tok").groupBy("cls").agg(F.collect_list(F.struct("freq", "tok")).alias("t"))
+    # the hash that breaks ties is made where a class's tokens are together: it would be a third of what crosses the network
+    met = met.withColumn("t", F.sort_array(F.transform("t", lambda x: F.struct(x["freq"].alias("freq"), F.xxhash64(x["tok"]).alias("h"), x["tok"].alias("tok")))))
     met = met.join(sets.select("cls", "n", "sketch"), "cls").withColumn("k", F.size("t").cast("long")).where("4 * k >= 3 * n")
     # tokens of one component come first in the order and meet nothing: n - k of the prefix
     return met.withColumn("cut", F.expr("CAST(k - (3 * n + 3) div 4 + 1 AS int)")).where("cut > 0").select(F.explode(F.expr("slice(t, 1, cut)")["tok"]).alias("tok"), "cls", "n", "k", "sketch")
@@ -477,7 +492,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     ws = Workspace(docs.sparkSession, "ngram-join")
     parts = parallelism(docs)
     members, sets = chosen(ws, docs, doc_id, text, parts)
-    checked = ws.save(verified(stars(sets), sets), "checked-stars")
+    checked = ws.save(verified(ws.save(stars(sets), "stars"), sets), "checked-stars")
     comp = contracted(ws, sets.select("cls", F.col("cls").alias("comp")), checked.where("ok"), "stars")
     prefix = ws.save(across(sets, comp), "prefixes")
     most = FIRST
